@@ -1,4 +1,4 @@
-"""Ranking inside groups of any size."""
+"""Ranking and exact medians inside groups of any size."""
 
 from __future__ import annotations
 
@@ -6,27 +6,31 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tillgrain.session import through_table
 
+#: value bands per power of ten
+BANDS_PER_DECADE = 40
 
 
 def _band(value: Column) -> Column:
-    """Order-preserving band of a non-negative number: its decade and the two
-    leading digits. A pure function of the value, so a retry gives the same."""
+    """Order-preserving band of a number, a pure function of the value, so a
+    retried task puts a row into the same band."""
     v = value.cast("double")
-    decade = F.when(v >= 1, F.floor(F.log10(v))).otherwise(F.lit(0))
-    lead = F.floor(v / F.pow(F.lit(10.0), F.greatest(decade - 1, F.lit(0))))
-    return (decade * 1000 + lead).cast("int")
+    size = F.floor(F.log10(F.abs(v)) * BANDS_PER_DECADE) + 100_000
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("int")
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "place") -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], value: str, tie: str, name: str = "place", write: bool = True
+) -> DataFrame:
     """Row number by ``value`` descending, then ``tie`` ascending, per group.
 
     A plain window would sort all of a hot group in one task. Here rows are
     numbered inside (group, value band), and the sizes of the bands before are
     added. The band table holds a bounded number of rows per group, so its
     window stays small however big a group is. The aggregated input is written
-    once, because both branches need it and the fact scan must not run twice.
+    once (``write``), because both branches need it and the fact scan must not
+    run twice.
     """
-    banded = through_table(df, "ranked").withColumns({
+    banded = (through_table(df, "ranked") if write else df).withColumns({
         "_band": -_band(F.col(value)),
         "_value": -F.col(value),
     })
@@ -42,6 +46,21 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "pl
     )
 
 
+def median(df: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
+    """Exact median per group from the one or two middle ranks. The built-in
+    ``median`` keeps every distinct value of a group in one task's memory.
+    ``df`` must be a stored table: it is read three times."""
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_size"))
+    middle = F.col("_place").isin(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1)
+    return (
+        ranked(df, keys, value, tie, "_place", write=False)
+        .join(sizes, keys)
+        .filter(middle)
+        .groupBy(*keys)
+        .agg(((F.min(value) + F.max(value)) / 2).alias(name))
+    )
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each input partition to ``k`` rows
     per group before the shuffle (window group limit), so hot groups are cheap."""
