@@ -85,7 +85,7 @@ def main(argv: list[str]) -> int:
             continue
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name:28s} {got.num_rows:8d} spark {t1 - t0:6.2f}s duck {t2 - t1:6.2f}s {problem or ''}"[:1500], flush=True)
-    print("failed:", failed)
+    print("failed:", failed, flush=True)
     return failed
 
 

@@ -42,9 +42,19 @@ def items(sales: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     )
 
 
+def with_rules(items: DataFrame) -> DataFrame:
+    """Elasticity and cost cap of the item's category."""
+    return items.withColumns({
+        "elasticity": rules.elasticity(F.col("category"))["value"],
+        "cost_cap": rules.cost_cap(F.col("category"))["value"],
+    })
+
+
 def item_table(sales: DataFrame) -> DataFrame:
-    """Items as a stored table, read by every branch of a pricing job."""
-    return through_table(items(sales), "items")
+    """Items with their category rules as a stored table, read by every branch
+    of a pricing job; filters on later results stop at this table instead of
+    dragging the rule lookup along."""
+    return through_table(with_rules(items(sales)), "items")
 
 
 def thresholds(items: DataFrame, factor: float = POPULARITY_FACTOR, keys: tuple[str, ...] = ("user_id",), margin: str = "margin") -> DataFrame:
@@ -233,8 +243,7 @@ def textbook_check(items: DataFrame, deltas: tuple[int, ...] = (-20, -10, 10, 20
     from tillgrain.operators.pricing import project_qty
 
     steps = values(items.sparkSession, [(d,) for d in deltas], "delta_pct int")
-    e = rules.elasticity(F.col("category"))["value"]
-    grid = items.withColumn("elasticity", e).crossJoin(F.broadcast(steps))
+    grid = items.crossJoin(F.broadcast(steps))
     factor = 1.0 + F.col("delta_pct") / 100.0
     ours = project_qty(F.col("qty"), F.col("price"), F.col("price") * factor, F.col("elasticity"))
     book = F.col("qty") * F.pow(factor, F.col("elasticity"))

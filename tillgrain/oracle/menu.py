@@ -5,15 +5,12 @@ from __future__ import annotations
 from tillgrain.functions import rules
 from tillgrain.oracle.base import big, block, classify, pct, query, r, uavg, usum, whole
 
-SIM_MARGIN = "CASE WHEN {q} * {p} > 0 THEN {q} * ({p} - {c}) / ({q} * {p}) * 1e2 ELSE 0e0 END"
-
-
 def project(p: str, e: str = "elasticity", prefix: str = "") -> str:
     return f"(CASE WHEN {prefix}price > 0 THEN greatest(0e0, {prefix}qty * pow(({p}) / {prefix}price, {e})) ELSE CAST({prefix}qty AS DOUBLE) END)"
 
 
 def margin(q: str, p: str, c: str) -> str:
-    return f"(CASE WHEN {q} * {p} > 0 THEN ({q} * ({p} - {c})) / ({q} * {p}) * 1e2 ELSE 0e0 END)"
+    return f"(CASE WHEN {q} * {p} > 0 THEN ({p} - {c}) / ({p}) * 1e2 ELSE 0e0 END)"
 
 
 def pop(q: str) -> str:
@@ -187,8 +184,8 @@ SQL = {
     "price_puzzle": "SELECT user_id, product, price, CAST(sug AS BIGINT) AS suggested_price, kind FROM suggested WHERE classification = 'Puzzle'",
     "price_profit_guard": f"""SELECT user_id, product, classification, CAST(cand AS BIGINT) AS candidate, {GAIN.format(c='cand')} AS pays
         FROM (SELECT *, CASE WHEN classification = 'Dog' THEN dog_p ELSE puz_p END AS cand FROM candidates WHERE classification IN ('Dog', 'Puzzle'))""",
-    "price_star_protect": f"""SELECT user_id, product, price, cost, {r('margin_cut')} AS margin_cut, {r('cost / (1e0 - margin_cut / 1e2)')} AS demotion_price
-        FROM suggested WHERE kind = 'star_protect'""",
+    "price_star_protect": f"""SELECT user_id, product, price, cost, {r('margin_cut')} AS margin_cut, kind = 'star_protect' AS held,
+        CASE WHEN kind = 'star_protect' THEN {r('cost / (1e0 - margin_cut / 1e2)')} END AS demotion_price FROM suggested WHERE classification = 'Star'""",
     "price_direction": f"""SELECT user_id, product, CASE WHEN sug > ip THEN 'raise' WHEN sug < ip THEN 'lower' ELSE 'hold' END AS direction,
         CASE WHEN price > 0 THEN {pct('price', 'sug')} END AS price_change_pct, ncls AS new_classification, {CHANGE.format(n='ncls')} AS classification_change,
         {whole(SQ)} AS projected_qty, {r(f'{SQ} * (sug - cost)')} AS projected_profit, {r(margin(SQ, 'sug', 'cost'))} AS projected_margin,
@@ -196,8 +193,8 @@ SQL = {
     "price_cost_lowering": f"""SELECT user_id, product, cost, tc AS suggested_cost, {r('(cost - tc) / cost * 1e2', 1)} AS reduction_pct, {r('(cost - tc) * qty')} AS additional_profit,
         classification AS current_classification, c_sug AS new_classification, c_sug <> classification AS moves_classification,
         c_cur AS classification_at_current_price, c_cur <> classification AS flips_at_current_price
-        FROM (SELECT *, {classify('popularity', '(ref - tc) / ref * 1e2', 'pop_cut', 'margin_cut')} AS c_sug,
-                     {classify('popularity', '(price - tc) / price * 1e2', 'pop_cut', 'margin_cut')} AS c_cur FROM costed WHERE tc IS NOT NULL)""",
+        FROM (SELECT *, CASE WHEN tc IS NOT NULL THEN {classify('popularity', '(ref - tc) / ref * 1e2', 'pop_cut', 'margin_cut')} END AS c_sug,
+                     CASE WHEN tc IS NOT NULL THEN {classify('popularity', '(price - tc) / price * 1e2', 'pop_cut', 'margin_cut')} END AS c_cur FROM costed)""",
     "price_break_even": f"""SELECT user_id, product, CASE WHEN qty > 0 AND price > 0 THEN {r(search('greatest(0.01e0, price * 0.3e0)', 'price * 3e0', 'cost'))} END AS break_even_price FROM priced""",
     "price_cost_defense": f"""SELECT user_id, product, {r('nc')} AS new_cost, {r('km')} AS keep_margin_price, {r('(km - price) / price * 1e2', 1)} AS keep_margin_pct,
         {r('kp')} AS keep_profit_price, {r('(kp - price) / price * 1e2', 1)} AS keep_profit_pct

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillgrain.operators import menu, pricing
 from tillgrain.plans.dashboard import real
+from tillgrain.session import through_table
 from tillgrain.sources import sales as src
 
 
@@ -18,7 +19,7 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.lever(priced(spark, sf_dir))
+    return through_table(pricing.lever(priced(spark, sf_dir)), "levers")
 
 
 QUERIES = {
@@ -47,7 +48,7 @@ QUERIES = {
     "price_cost_defense": lambda s, d: pricing.cost_defense(priced(s, d)),
     "price_bulk": lambda s, d: pricing.bulk(priced(s, d), 10),
     "price_linear_demand": lambda s, d: pricing.linear_demand(priced(s, d)),
-    "price_lever": levers,
+    "price_lever": lambda s, d: pricing.lever(priced(s, d)),
     "price_lever_summary": lambda s, d: pricing.lever_summary(levers(s, d)),
     "price_lever_skipped": lambda s, d: pricing.lever_skipped(levers(s, d)),
     "menu_quadrant_share": lambda s, d: menu.quadrant_share(table(s, d)),
