@@ -91,8 +91,8 @@ SQL = {
     "tbl_quality_counts": """SELECT 'uploads' AS metric, count(*) AS n FROM star_uploads UNION ALL SELECT 'orders', count(*) FROM star_orders
         UNION ALL SELECT 'imputed_orders', count(*) FILTER (is_imputed) FROM star_orders UNION ALL SELECT 'real_orders', count(*) FILTER (NOT is_imputed) FROM star_orders
         UNION ALL SELECT 'items', count(*) FROM star_items UNION ALL SELECT 'users', count(*) FROM nation""",
-    "ing_seed_refs": """SELECT user_id, is_imputed, is_imputed OR order_id % 107 = 3 AS synthetic, count(*) AS rows,
-        CASE WHEN is_imputed OR order_id % 107 = 3 THEN count(*) ELSE count(DISTINCT order_id) END AS "references" FROM sales GROUP BY ALL""",
+    "ing_seed_refs": """SELECT user_id, is_imputed, synthetic, count(*) AS rows, CASE WHEN synthetic THEN count(*) ELSE count(DISTINCT order_id) END AS "references"
+        FROM (SELECT *, is_imputed OR order_id % 107 = 3 AS synthetic FROM sales) GROUP BY user_id, is_imputed, synthetic""",
     "ing_stream": "SELECT l_orderkey AS order_reference, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem GROUP BY l_orderkey",
     "sink_tables": f"SELECT CAST(year(order_date) AS INTEGER) AS year, count(*) AS days, {big('sum(orders)')} AS orders FROM daily_rev GROUP BY 1",
     "sink_signature": f"SELECT user_id, CAST(max(year(order_date) * 100 + user_id) AS BIGINT) AS upload_id, count(*) AS item_count, '{MODEL_VERSION}' AS model_version FROM sales GROUP BY user_id",
