@@ -2,3 +2,4 @@
 
 AS_OF = "2001-08-01"
 PERIOD = 7
+LONG_PERIOD = 240
