@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
@@ -35,26 +35,22 @@ WMO_CODES = [
 DEFAULT_TEMP = 28.0
 
 
-@lru_cache(maxsize=8)
-def _month_starts(jvm_key: int, first: int, last: int, of) -> tuple[tuple[int, int, dt.date], ...]:
-    epoch = dt.date(1970, 1, 1)
-    return tuple(
-        (year, month, epoch + dt.timedelta(days=of(year, month, 1).toEpochDay()))
-        for year in range(first, last + 1)
-        for month in range(1, 13)
-    )
+_MONTHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def hijri_months(spark: SparkSession, first: int = HIJRI_YEARS[0], last: int = HIJRI_YEARS[1]) -> DataFrame:
     """Umm al-Qura month starts from the JVM's own calendar: one row per month,
-    with the start of the next month. 12 rows per year, so always small."""
-    of = spark._jvm.java.time.chrono.HijrahDate.of
-    starts = _month_starts(id(spark._jvm), first, last + 1, of)
-    rows = [
-        (y, m, start, starts[i + 1][2])
-        for i, (y, m, start) in enumerate(starts[: (last - first + 1) * 12])
-    ]
-    return values(spark, rows, "hijri_year int, hijri_month int, month_start date, next_start date")
+    with the start of the next month. 12 rows per year, so always small; built
+    once per session."""
+    known = _MONTHS.setdefault(spark, {})
+    if (first, last) not in known:
+        of = spark._jvm.java.time.chrono.HijrahDate.of
+        epoch = dt.date(1970, 1, 1)
+        months = [(y, m) for y in range(first, last + 1) for m in range(1, 13)] + [(last + 1, 1)]
+        starts = [epoch + dt.timedelta(days=of(y, m, 1).toEpochDay()) for y, m in months]
+        rows = [(m, a, b) for (_, m), a, b in zip(months, starts, starts[1:])]
+        known[first, last] = values(spark, rows, "hijri_month int, month_start date, next_start date")
+    return known[first, last]
 
 
 def calendar(spark: SparkSession, first: int = HIJRI_YEARS[0], last: int = HIJRI_YEARS[1]) -> DataFrame:

@@ -10,14 +10,16 @@ from tillgrain.functions.ranking import ranked
 from tillgrain.functions.tables import values
 from tillgrain.operators import calendar
 
-REVENUE = F.col("quantity") * F.col("price_cents")
+
+def line_cents() -> Column:
+    return F.col("quantity") * F.col("price_cents")
 
 
 def _by_order(sales: DataFrame, *keys: str) -> DataFrame:
     """Revenue and units per order: distinct order counts become plain counts
     on top of it, so one partial aggregation serves all measures."""
     return sales.groupBy("user_id", "order_date", *keys, "order_id").agg(
-        F.sum(REVENUE).alias("rev"), F.sum("quantity").alias("units")
+        F.sum(line_cents()).alias("rev"), F.sum("quantity").alias("units")
     )
 
 
@@ -99,7 +101,7 @@ def product_totals(sales: DataFrame) -> DataFrame:
     """Revenue and units per product with its category."""
     return sales.groupBy("user_id", "product").agg(
         F.min("category").alias("category"),
-        F.sum(REVENUE).alias("rev"),
+        F.sum(line_cents()).alias("rev"),
         F.sum("quantity").alias("qty"),
     )
 
@@ -177,7 +179,7 @@ def monthly_growth(sales: DataFrame) -> DataFrame:
     """Monthly revenue and growth over the previous present month. The window
     runs over at most one row per workspace and month."""
     monthly = sales.groupBy("user_id", F.trunc("order_date", "month").alias("month")).agg(
-        F.sum(REVENUE).alias("rev")
+        F.sum(line_cents()).alias("rev")
     )
     w = Window.partitionBy("user_id").orderBy("month")
     return monthly.withColumn("before", F.lag("rev").over(w)).select(
@@ -190,7 +192,7 @@ def monthly_growth(sales: DataFrame) -> DataFrame:
 
 def by_category(sales: DataFrame) -> DataFrame:
     return sales.groupBy("user_id", "category").agg(
-        money(F.sum(REVENUE)).alias("revenue"), F.sum("quantity").alias("units")
+        money(F.sum(line_cents())).alias("revenue"), F.sum("quantity").alias("units")
     )
 
 

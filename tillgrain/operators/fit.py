@@ -143,9 +143,11 @@ def dense_series(sales: DataFrame, key: str, least: int = 10) -> DataFrame:
     bounds = sold.groupBy(key).agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
     periods = values(sales.sparkSession, [(p, i) for i, p in enumerate(labels.PERIODS)], "time_period string, period_code int")
     dense = calendar.spine(bounds, "a", "b", [key]).crossJoin(F.broadcast(periods)).join(sold, [key, "ds", "time_period"], "left")
-    w = Window.partitionBy(key).orderBy("ds", "period_code")
-    fill = lambda c: F.coalesce(
-        F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # both directions as running frames: a frame that ends in UNBOUNDED FOLLOWING
+    # is evaluated anew for every row
+    ahead = Window.partitionBy(key).orderBy("ds", "period_code").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(key).orderBy(F.desc("ds"), F.desc("period_code")).rowsBetween(Window.unboundedPreceding, 0)
+    fill = lambda c: F.coalesce(F.last(c, True).over(ahead), F.last(c, True).over(back))
     size = F.count("*").over(Window.partitionBy(key))
     return dense.withColumns({"y": F.coalesce("y", F.lit(0)), "season": fill("season"), "occasion": fill("occasion"), "_n": size}).filter(
         F.col("_n") >= least

@@ -23,7 +23,24 @@ BAND = 0.30
 SCENARIO_STEPS = (-20, -10, 0, 10, 20, 30)
 SEARCH_POINTS = 400
 
-P, C, Q, E = F.col("price"), F.col("cost"), F.col("qty"), F.col("elasticity")
+
+# today's price, cost, quantity and elasticity of an item
+
+
+def p0() -> Column:
+    return F.col("price")
+
+
+def c0() -> Column:
+    return F.col("cost")
+
+
+def q0() -> Column:
+    return F.col("qty")
+
+
+def e0() -> Column:
+    return F.col("elasticity")
 
 
 def priced(items: DataFrame) -> DataFrame:
@@ -55,17 +72,17 @@ def project_qty(qty: Column, price: Column, new_price: Column, elasticity: Colum
     return F.when(price > 0, projected).otherwise(qty.cast("double"))
 
 
-def with_outcome(df: DataFrame, new_price: Column, new_cost: Column = C, elasticity: Column = E, tag: str = "new") -> DataFrame:
+def with_outcome(df: DataFrame, new_price: Column, new_cost: Column | None = None, exponent: Column | None = None, tag: str = "new") -> DataFrame:
     """Append the projected ``{tag}_price, _qty, _revenue, _profit, _margin,
     _popularity, _class`` of a change. Each step names its result, so an
     expression is evaluated once and the plan stays small."""
     n = lambda name: F.col(f"{tag}_{name}")
-    step = df.withColumns({f"{tag}_price": new_price, f"{tag}_cost": new_cost})
-    step = step.withColumn(f"{tag}_qty", project_qty(Q, P, n("price"), elasticity))
+    step = df.withColumns({f"{tag}_price": new_price, f"{tag}_cost": c0() if new_cost is None else new_cost})
+    step = step.withColumn(f"{tag}_qty", project_qty(q0(), p0(), n("price"), e0() if exponent is None else exponent))
     step = step.withColumns({
         f"{tag}_revenue": n("qty") * n("price"),
         f"{tag}_profit": n("qty") * (n("price") - n("cost")),
-        f"{tag}_total": (F.col("total_qty") - Q) + n("qty"),
+        f"{tag}_total": (F.col("total_qty") - q0()) + n("qty"),
     })
     step = step.withColumns({
         f"{tag}_margin": F.when(n("revenue") > 0, (n("price") - n("cost")) / n("price") * 100.0).otherwise(0.0),
@@ -77,8 +94,8 @@ def with_outcome(df: DataFrame, new_price: Column, new_cost: Column = C, elastic
 
 
 def projection(priced: DataFrame, change_pct: float) -> DataFrame:
-    new_price = P * F.lit(1 + change_pct / 100)
-    qty = project_qty(Q, P, new_price, E)
+    new_price = p0() * F.lit(1 + change_pct / 100)
+    qty = project_qty(q0(), p0(), new_price, e0())
     return priced.select(
         "user_id", "product", "qty", "elasticity", rnd(qty, 4).alias("projected_qty"), whole(qty).alias("projected_int")
     )
@@ -86,7 +103,7 @@ def projection(priced: DataFrame, change_pct: float) -> DataFrame:
 
 def what_if(priced: DataFrame, price_pct: float, cost_pct: float) -> DataFrame:
     """One (price, cost) change applied to every item."""
-    o = with_outcome(priced, P * F.lit(1 + price_pct / 100), C * F.lit(1 + cost_pct / 100))
+    o = with_outcome(priced, p0() * F.lit(1 + price_pct / 100), c0() * F.lit(1 + cost_pct / 100))
     return o.select(
         "user_id", "product", rnd(F.col("new_price")).alias("new_price"), rnd(F.col("new_cost")).alias("new_cost"),
         whole(F.col("new_qty")).alias("projected_qty"), rnd(F.col("new_revenue")).alias("new_revenue"),
@@ -97,9 +114,9 @@ def what_if(priced: DataFrame, price_pct: float, cost_pct: float) -> DataFrame:
 
 def band(priced: DataFrame, price_pct: float) -> DataFrame:
     """Low and high ends from an elasticity 30 % up and down."""
-    new_price = P * F.lit(1 + price_pct / 100)
-    both = with_outcome(priced, new_price, C, E * (1 + BAND), "a")
-    both = with_outcome(both, new_price, C, E * (1 - BAND), "b")
+    new_price = p0() * F.lit(1 + price_pct / 100)
+    both = with_outcome(priced, new_price, c0(), e0() * (1 + BAND), "a")
+    both = with_outcome(both, new_price, c0(), e0() * (1 - BAND), "b")
 
     def ends(name: str, fmt=rnd) -> list[Column]:
         a, b = fmt(F.col(f"a_{name}")), fmt(F.col(f"b_{name}"))
@@ -111,7 +128,7 @@ def band(priced: DataFrame, price_pct: float) -> DataFrame:
 def scenarios(priced: DataFrame) -> DataFrame:
     """Six fixed price steps per item."""
     steps = values(priced.sparkSession, [(s,) for s in SCENARIO_STEPS], "change_pct int")
-    o = with_outcome(priced.crossJoin(F.broadcast(steps)), P * (1.0 + F.col("change_pct") / 100.0))
+    o = with_outcome(priced.crossJoin(F.broadcast(steps)), p0() * (1.0 + F.col("change_pct") / 100.0))
     return o.select(
         "user_id", "product", "change_pct", rnd(F.col("new_price")).alias("new_price"), whole(F.col("new_qty")).alias("projected_qty"),
         rnd(F.col("new_revenue")).alias("new_revenue"), rnd(F.col("new_profit")).alias("new_profit"),
@@ -125,12 +142,12 @@ def transition(old: Column, new: Column) -> Column:
 
 def delta(priced: DataFrame, price_pct: float, cost_pct: float) -> DataFrame:
     """Change of every measure in %, NULL without a base, and class transition."""
-    o = with_outcome(priced, P * F.lit(1 + price_pct / 100), C * F.lit(1 + cost_pct / 100))
+    o = with_outcome(priced, p0() * F.lit(1 + price_pct / 100), c0() * F.lit(1 + cost_pct / 100))
     return o.select(
         "user_id", "product",
-        pct_change(P, F.col("new_price")).alias("price_change_pct"),
-        pct_change(C, F.col("new_cost")).alias("cost_change_pct"),
-        pct_change(Q, whole(F.col("new_qty"))).alias("qty_change_pct"),
+        pct_change(p0(), F.col("new_price")).alias("price_change_pct"),
+        pct_change(c0(), F.col("new_cost")).alias("cost_change_pct"),
+        pct_change(q0(), whole(F.col("new_qty"))).alias("qty_change_pct"),
         pct_change(F.col("revenue"), rnd(F.col("new_revenue"))).alias("revenue_change_pct"),
         pct_change(F.col("profit"), rnd(F.col("new_profit"))).alias("profit_change_pct"),
         transition(F.col("classification"), F.col("new_class")).alias("classification_change"),
@@ -142,17 +159,17 @@ def delta(priced: DataFrame, price_pct: float, cost_pct: float) -> DataFrame:
 
 def gains(suggested: Column) -> Column:
     """A discount counts only when the projected profit exceeds today's."""
-    new = project_qty(Q, P, suggested, E) * (suggested - C)
-    return (suggested > 0) & (P > 0) & (new > Q * (P - C))
+    new = project_qty(q0(), p0(), suggested, e0()) * (suggested - c0())
+    return (suggested > 0) & (p0() > 0) & (new > q0() * (p0() - c0()))
 
 
 def _above(price: Column) -> Column:
     """Rounded-up test price, at least one unit over today's."""
-    return F.when(price <= F.rint(P), F.rint(P) + 1).otherwise(price)
+    return F.when(price <= F.rint(p0()), F.rint(p0()) + 1).otherwise(price)
 
 
 def _below(price: Column) -> Column:
-    return F.when(price >= F.rint(P), F.rint(P) - 1).otherwise(price)
+    return F.when(price >= F.rint(p0()), F.rint(p0()) - 1).otherwise(price)
 
 
 def candidates(priced: DataFrame) -> DataFrame:
@@ -161,22 +178,22 @@ def candidates(priced: DataFrame) -> DataFrame:
     dog, puzzle = F.col("dog_price"), F.col("puzzle_price")
     theory = F.col("theoretical")
     step = priced.withColumns({
-        "dog_price": F.greatest(_below(F.greatest(F.rint(P * 0.90), F.ceil(C * 1.20).cast("double"))), F.ceil(C * 1.05).cast("double")),
-        "puzzle_price": _below(F.greatest(F.rint(P * 0.92), F.ceil(C * 1.30).cast("double"))),
-        "theoretical": F.when(E <= ELASTIC_BELOW, E * C / (1.0 + E)),
+        "dog_price": F.greatest(_below(F.greatest(F.rint(p0() * 0.90), F.ceil(c0() * 1.20).cast("double"))), F.ceil(c0() * 1.05).cast("double")),
+        "puzzle_price": _below(F.greatest(F.rint(p0() * 0.92), F.ceil(c0() * 1.30).cast("double"))),
+        "theoretical": F.when(e0() <= ELASTIC_BELOW, e0() * c0() / (1.0 + e0())),
     })
     return step.withColumns({
-        "dog_pays": (E < ELASTIC_BELOW) & gains(dog),
-        "puzzle_pays": (E < ELASTIC_BELOW) & gains(puzzle),
-        "bounded": F.least(F.greatest(theory, P * 0.8), P * 1.2),
+        "dog_pays": (e0() < ELASTIC_BELOW) & gains(dog),
+        "puzzle_pays": (e0() < ELASTIC_BELOW) & gains(puzzle),
+        "bounded": F.least(F.greatest(theory, p0() * 0.8), p0() * 1.2),
     })
 
 
 def star_would_drop(price: Column) -> Column:
     """A Star cut to ``price`` would fall below the margin cutoff."""
     cut = F.col("margin_cut")
-    margin = F.when(price > 0, (price - C) / price * 100.0).otherwise(0.0)
-    return (F.col("classification") == "Star") & (price < P) & (cut > 0) & (margin < cut)
+    margin = F.when(price > 0, (price - c0()) / price * 100.0).otherwise(0.0)
+    return (F.col("classification") == "Star") & (price < p0()) & (cut > 0) & (margin < cut)
 
 
 def with_suggestion(priced: DataFrame, star_hold: bool = True) -> DataFrame:
@@ -185,26 +202,26 @@ def with_suggestion(priced: DataFrame, star_hold: bool = True) -> DataFrame:
     kind = (
         F.when(cls == "Dog", F.when(F.col("dog_pays"), "dog_discount").otherwise("dog_remove"))
         .when(cls == "Puzzle", F.when(F.col("puzzle_pays"), "puzzle_discount").otherwise("puzzle_visibility"))
-        .when(E > ELASTIC_BELOW, "test_increase")
+        .when(e0() > ELASTIC_BELOW, "test_increase")
         .when(F.lit(star_hold) & star_would_drop(F.col("bounded")), "star_protect")
-        .when(theory > P * 1.2, "capped_up")
-        .when(theory < P * 0.8, "capped_down")
+        .when(theory > p0() * 1.2, "capped_up")
+        .when(theory < p0() * 0.8, "capped_down")
         .otherwise("direct")
     )
     k = F.col("kind")
     price = (
         F.when(k == "dog_discount", F.col("dog_price"))
         .when(k == "puzzle_discount", F.col("puzzle_price"))
-        .when(k.isin("dog_remove", "star_protect"), F.rint(P))
-        .when(k == "puzzle_visibility", _above(F.ceil(P * 1.05).cast("double")))
-        .when(k == "test_increase", _above(F.ceil(P * 1.10).cast("double")))
+        .when(k.isin("dog_remove", "star_protect"), F.rint(p0()))
+        .when(k == "puzzle_visibility", _above(F.ceil(p0() * 1.05).cast("double")))
+        .when(k == "test_increase", _above(F.ceil(p0() * 1.10).cast("double")))
         .otherwise(F.rint(F.col("bounded")))
     )
     return candidates(priced).withColumn("kind", kind).withColumns({
         "suggested": price,
         "inelastic": k.isin("dog_remove", "puzzle_visibility", "test_increase"),
         "theoretical": F.when(k.isin("direct", "capped_up", "capped_down"), F.rint(theory)),
-        "demotion_price": F.when(k == "star_protect", rnd(F.when((frac < 1) & (frac > 0), C / (1.0 - frac)).otherwise(P))),
+        "demotion_price": F.when(k == "star_protect", rnd(F.when((frac < 1) & (frac > 0), c0() / (1.0 - frac)).otherwise(p0()))),
     })
 
 
@@ -244,7 +261,7 @@ def star_protect(priced: DataFrame) -> DataFrame:
 
 
 def _direction(suggested: Column) -> Column:
-    now, new = F.rint(P), F.rint(suggested)
+    now, new = F.rint(p0()), F.rint(suggested)
     return F.when(new > now, "raise").when(new < now, "lower").otherwise("hold")
 
 
@@ -252,7 +269,7 @@ def direction(priced: DataFrame) -> DataFrame:
     s = F.col("suggested")
     return with_outcome(with_suggestion(priced), s).select(
         "user_id", "product", _direction(s).alias("direction"),
-        F.when(P > 0, pct_change(P, s)).alias("price_change_pct"),
+        F.when(p0() > 0, pct_change(p0(), s)).alias("price_change_pct"),
         F.col("new_class").alias("new_classification"),
         transition(F.col("classification"), F.col("new_class")).alias("classification_change"),
         whole(F.col("new_qty")).alias("projected_qty"), rnd(F.col("new_profit")).alias("projected_profit"),
@@ -267,24 +284,24 @@ def direction(priced: DataFrame) -> DataFrame:
 def cost_target(category_cap: bool = True) -> Column:
     """Suggested unit cost in half units, NULL where no cut is worth it."""
     cap = F.col("cost_cap") if category_cap else F.lit(rules.DEFAULT_COST_CAP)
-    ref = F.when(F.col("suggested") > 0, F.col("suggested")).otherwise(P)
-    for_mean, floor = ref * (1.0 - F.col("margin_cut") / 100.0), C * (1.0 - cap)
-    target = F.when(for_mean < C, F.floor(F.greatest(for_mean, floor) * 2.0) / 2.0).otherwise(F.ceil(floor * 2.0) / 2.0)
-    worth = (P > 0) & (C >= 1) & (target < C) & ((C - target) / C >= 0.05)
+    ref = F.when(F.col("suggested") > 0, F.col("suggested")).otherwise(p0())
+    for_mean, floor = ref * (1.0 - F.col("margin_cut") / 100.0), c0() * (1.0 - cap)
+    target = F.when(for_mean < c0(), F.floor(F.greatest(for_mean, floor) * 2.0) / 2.0).otherwise(F.ceil(floor * 2.0) / 2.0)
+    worth = (p0() > 0) & (c0() >= 1) & (target < c0()) & ((c0() - target) / c0() >= 0.05)
     return F.when(worth, target)
 
 
 def with_cost(suggested: DataFrame, category_cap: bool = True) -> DataFrame:
     """Cost target with what it does to class and profit."""
     t, cut = F.col("target_cost"), F.col("margin_cut")
-    ref = F.when(F.col("suggested") > 0, F.col("suggested")).otherwise(P)
+    ref = F.when(F.col("suggested") > 0, F.col("suggested")).otherwise(p0())
     cls = lambda base: quadrant(F.col("popularity"), (base - t) / base * 100.0, F.col("pop_cut"), cut)
     have = t.isNotNull()
     return suggested.withColumn("target_cost", cost_target(category_cap)).withColumns({
-        "reduction_pct": F.when(have, (C - t) / C * 100.0),
-        "cost_gain": F.when(have, (C - t) * Q),
+        "reduction_pct": F.when(have, (c0() - t) / c0() * 100.0),
+        "cost_gain": F.when(have, (c0() - t) * q0()),
         "class_at_suggested": F.when(have, cls(ref)),
-        "class_at_current": F.when(have, cls(P)),
+        "class_at_current": F.when(have, cls(p0())),
     })
 
 
@@ -304,7 +321,6 @@ def cost_lowering(priced: DataFrame) -> DataFrame:
 # -- grid searches -----------------------------------------------------------
 
 
-@F.pandas_udf("double")
 def _closest(start: pd.Series, stop: pd.Series, cost: pd.Series, goal: pd.Series, qty: pd.Series, price: pd.Series, elasticity: pd.Series) -> pd.Series:
     """Of evenly spaced prices the one whose profit is closest to ``goal``, the
     first on ties. Arrow batches and one vectorised power per grid point: the
@@ -322,25 +338,26 @@ def _closest(start: pd.Series, stop: pd.Series, cost: pd.Series, goal: pd.Series
 
 
 def _search(start: Column, stop: Column, cost: Column) -> Column:
-    return _closest(start, stop, cost, F.col("profit"), Q.cast("double"), P, E)
+    search = F.pandas_udf(_closest, "double")
+    return search(start, stop, cost, F.col("profit"), q0().cast("double"), p0(), e0())
 
 
 def break_even(priced: DataFrame) -> DataFrame:
-    best = _search(F.greatest(F.lit(0.01), P * 0.3), P * 3.0, C)
+    best = _search(F.greatest(F.lit(0.01), p0() * 0.3), p0() * 3.0, c0())
     return priced.select(
-        "user_id", "product", F.when((Q > 0) & (P > 0), rnd(best)).alias("break_even_price")
+        "user_id", "product", F.when((q0() > 0) & (p0() > 0), rnd(best)).alias("break_even_price")
     )
 
 
 def cost_defense(priced: DataFrame, rise_pct: float = 20.0) -> DataFrame:
     """Prices that keep the margin, and the profit, when the cost rises."""
-    new_cost = C * (1 + rise_pct / 100)
-    keep_margin = F.when(C > 0, P * (new_cost / C)).otherwise(P)
-    keep_profit = _search(P, P * 3.0, new_cost)
+    new_cost = c0() * (1 + rise_pct / 100)
+    keep_margin = F.when(c0() > 0, p0() * (new_cost / c0())).otherwise(p0())
+    keep_profit = _search(p0(), p0() * 3.0, new_cost)
     return priced.withColumns({"new_cost": new_cost, "km": keep_margin, "kp": keep_profit}).select(
         "user_id", "product", rnd(F.col("new_cost")).alias("new_cost"),
-        rnd(F.col("km")).alias("keep_margin_price"), rnd((F.col("km") - P) / P * 100.0, 1).alias("keep_margin_pct"),
-        rnd(F.col("kp")).alias("keep_profit_price"), rnd((F.col("kp") - P) / P * 100.0, 1).alias("keep_profit_pct"),
+        rnd(F.col("km")).alias("keep_margin_price"), rnd((F.col("km") - p0()) / p0() * 100.0, 1).alias("keep_margin_pct"),
+        rnd(F.col("kp")).alias("keep_profit_price"), rnd((F.col("kp") - p0()) / p0() * 100.0, 1).alias("keep_profit_pct"),
     )
 
 
@@ -348,10 +365,10 @@ def cost_defense(priced: DataFrame, rise_pct: float = 20.0) -> DataFrame:
 
 
 def bulk_items(priced: DataFrame, change_pct: float) -> DataFrame:
-    new_price = P * F.lit(1 + change_pct / 100)
-    qty = project_qty(Q, P, new_price, E)
+    new_price = p0() * F.lit(1 + change_pct / 100)
+    qty = project_qty(q0(), p0(), new_price, e0())
     return priced.withColumns({"new_price": new_price, "new_qty": qty}).withColumns({
-        "new_rev": qty * new_price, "new_prof": qty * (new_price - C),
+        "new_rev": qty * new_price, "new_prof": qty * (new_price - c0()),
     })
 
 
@@ -381,12 +398,12 @@ def bulk(priced: DataFrame, change_pct: float) -> DataFrame:
 def linear_demand(priced: DataFrame, adjustments: tuple[int, ...] = (-2, 2)) -> DataFrame:
     """Linear variant: demand falls 15 % per price unit share up, rises 10 % down."""
     steps = values(priced.sparkSession, [(a,) for a in adjustments], "adjust int")
-    a, new_price = F.col("adjust"), P + F.col("adjust")
-    demand = F.when(a > 0, -(a / P) * 15.0).otherwise(F.abs(a) / P * 10.0)
-    gain = (new_price - C) * Q * (1.0 + demand / 100.0) - (P - C) * Q
+    a, new_price = F.col("adjust"), p0() + F.col("adjust")
+    demand = F.when(a > 0, -(a / p0()) * 15.0).otherwise(F.abs(a) / p0() * 10.0)
+    gain = (new_price - c0()) * q0() * (1.0 + demand / 100.0) - (p0() - c0()) * q0()
     return priced.crossJoin(F.broadcast(steps)).select(
         "user_id", "product", "adjust", rnd(demand, 4).alias("demand_change_pct"),
-        rnd((new_price - C) / new_price * 100.0).alias("new_margin"), rnd(gain).alias("profit_change"),
+        rnd((new_price - c0()) / new_price * 100.0).alias("new_margin"), rnd(gain).alias("profit_change"),
     )
 
 
@@ -454,7 +471,7 @@ def lever_summary(levers: DataFrame) -> DataFrame:
 
 def lever_skipped(levers: DataFrame) -> DataFrame:
     """Items without a cost suggestion, counted by reason."""
-    reason = F.when(C < 1, "cost below 1").otherwise("cut below 5 %")
+    reason = F.when(c0() < 1, "cost below 1").otherwise("cut below 5 %")
     return levers.filter(F.col("target_cost").isNull()).groupBy("user_id", reason.alias("reason")).agg(F.count("*").alias("items"))
 
 
@@ -462,7 +479,7 @@ def suggestion_audit(priced: DataFrame) -> DataFrame:
     """Profit change of every suggestion by the demand model; losing more than
     1 is flagged."""
     s = F.col("suggested")
-    change = project_qty(Q, P, s, E) * (s - C) - Q * (P - C)
+    change = project_qty(q0(), p0(), s, e0()) * (s - c0()) - q0() * (p0() - c0())
     return with_suggestion(priced).withColumn("change", change).select(
         "user_id", "product", "kind", F.col("suggested").cast("bigint").alias("suggested_price"),
         rnd(F.col("change")).alias("profit_delta"), (F.col("change") < -1).alias("loses"),
@@ -472,7 +489,7 @@ def suggestion_audit(priced: DataFrame) -> DataFrame:
 def discount_overshoot(priced: DataFrame) -> DataFrame:
     """Realised against intended discount of Dogs and Puzzles."""
     intended = F.when(F.col("classification") == "Dog", -10.0).otherwise(-8.0)
-    realised = rnd((F.col("suggested") - P) / P * 100.0)
+    realised = rnd((F.col("suggested") - p0()) / p0() * 100.0)
     return with_suggestion(priced.filter(F.col("classification").isin("Dog", "Puzzle"))).select(
         "user_id", "product", "classification", "kind", intended.alias("intended_pct"), realised.alias("realised_pct"),
         rnd(realised - intended).alias("overshoot_pp"),
