@@ -147,8 +147,9 @@ def safe_corr(a: Column, b: Column, least: int = 3) -> Column:
     side is constant."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    flat = (F.stddev_pop(x) < TINY) | (F.stddev_pop(y) < TINY)
-    return F.when(F.count_if(both) < least, None).when(flat, 0.0).otherwise(F.corr(x, y))
+    dx, dy = F.stddev_pop(x), F.stddev_pop(y)
+    # not corr(): under ANSI it raises on a constant side before any guard
+    return F.when(F.count_if(both) < least, None).when((dx < TINY) | (dy < TINY), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), dx * dy))
 
 
 def with_lag(rows: DataFrame, keys: list[str], value: str, lags: tuple[int, ...]) -> DataFrame:
