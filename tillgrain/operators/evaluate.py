@@ -223,8 +223,8 @@ def pattern(rows: DataFrame, keys: list[str]) -> DataFrame:
     real = rows.filter(F.col("y").isNotNull())
     e = F.abs(F.col("yhat") - F.col("y"))
     base = real.groupBy(*keys).agg(
-        F.count("*").alias("real_days"), rnd(F.avg("y"), 1).alias("mean_actual"), rnd(F.avg("yhat"), 1).alias("mean_forecast"),
-        rnd(F.avg(e), 1).alias("mae"), F.stddev_samp("yhat").alias("sf"), F.stddev_samp("y").alias("sa"),
+        F.count("*").alias("real_days"), rnd(micro_mean(F.col("y")), 1).alias("mean_actual"), rnd(micro_mean(F.col("yhat")), 1).alias("mean_forecast"),
+        rnd(micro_mean(e), 1).alias("mae"), F.stddev_samp("yhat").alias("sf"), F.stddev_samp("y").alias("sa"),
     )
     whole_window = rows.groupBy(*keys).agg(
         rnd(mapd("yhat", "naive"), 1).alias("mapd_naive"), F.stddev_samp("yhat").alias("wf"), F.stddev_samp("naive").alias("wn")
