@@ -229,7 +229,7 @@ def pattern(rows: DataFrame, keys: list[str]) -> DataFrame:
     whole_window = rows.groupBy(*keys).agg(
         rnd(mapd("yhat", "naive"), 1).alias("mapd_naive"), F.stddev_samp("yhat").alias("wf"), F.stddev_samp("naive").alias("wn")
     )
-    ratio = lambda a, b: rnd(F.when(F.col(b) > TINY, F.col(a) / F.col(b)), 3)
+    ratio = lambda a, b: rnd(F.when(F.col(b) > TINY, F.col(a) / F.col(b)), 5)
     out = base.join(whole_window, keys)
     parts = [
         autocorr(real, keys, "yhat", 7).withColumnRenamed("lag7", "lag7_fc"), autocorr(real, keys, "y", 7).withColumnRenamed("lag7", "lag7_ac"),
@@ -240,7 +240,7 @@ def pattern(rows: DataFrame, keys: list[str]) -> DataFrame:
     for part in parts:
         out = out.join(part, keys, "left")
     return out.withColumns({
-        "var_ratio": ratio("sf", "sa"), "var_over_naive": ratio("wf", "wn"), "fft_ratio": rnd(F.when(F.col("fft_ac") > 0, F.col("fft_fc") / F.col("fft_ac")), 3),
+        "var_ratio": ratio("sf", "sa"), "var_over_naive": ratio("wf", "wn"), "fft_ratio": rnd(F.when(F.col("fft_ac") > 0, F.col("fft_fc") / F.col("fft_ac")), 5),
     }).drop("sf", "sa", "wf", "wn")
 
 

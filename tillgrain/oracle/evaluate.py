@@ -80,8 +80,8 @@ block("cat_hit", "SELECT * FROM cat_rows WHERE y IS NOT NULL")
 UC = "user_id, category"
 block("pattern", f"""
 SELECT b.user_id, b.category, b.real_days, b.mean_actual, b.mean_forecast, b.mae, w.mapd_naive, lf.lag7_fc, la.lag7_ac, sf.ws_fc, sa.ws_ac, ff.fft_fc, fa.fft_ac, sp.spearman,
-  {r('CASE WHEN b.sa > 1e-9 THEN b.sf / b.sa END', 3)} AS var_ratio, {r('CASE WHEN w.wn > 1e-9 THEN w.wf / w.wn END', 3)} AS var_over_naive,
-  {r('CASE WHEN fa.fft_ac > 0 THEN ff.fft_fc / fa.fft_ac END', 3)} AS fft_ratio
+  {r('CASE WHEN b.sa > 1e-9 THEN b.sf / b.sa END', 5)} AS var_ratio, {r('CASE WHEN w.wn > 1e-9 THEN w.wf / w.wn END', 5)} AS var_over_naive,
+  {r('CASE WHEN fa.fft_ac > 0 THEN ff.fft_fc / fa.fft_ac END', 5)} AS fft_ratio
 FROM (SELECT {UC}, count(*) AS real_days, {r(uavg('y'), 1)} AS mean_actual, {r(uavg('yhat'), 1)} AS mean_forecast, {r(uavg('abs(yhat - y)'), 1)} AS mae,
         stddev_samp(yhat) AS sf, stddev_samp(y) AS sa FROM cat_hit GROUP BY ALL) b
 JOIN (SELECT {UC}, {r('avg(CASE WHEN naive > 1e-9 THEN abs(yhat - naive) / naive END) * 1e2', 1)} AS mapd_naive, stddev_samp(yhat) AS wf, stddev_samp(naive) AS wn FROM cat_rows GROUP BY ALL) w USING ({UC})
