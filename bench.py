@@ -13,10 +13,8 @@ from tillgrain.plans.registry import all_queries  # noqa: E402
 from tillgrain.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "dash_kpis", "dash_heatmap", "dash_top_revenue", "dash_special_days", "menu_classify", "price_scenarios",
-    "price_direction", "price_cost_lowering", "price_break_even", "price_bulk", "price_lever_summary",
-    "cln_valid_rows", "ing_replace_items", "tbl_upload_history", "imp_quality", "fc_fit_total",
-    "fc_baseline_scale", "fc_heatmap", "fc_total", "ev_slice", "ev_pattern",
+    "dash_kpis", "dash_heatmap", "dash_top_revenue", "menu_classify", "price_direction", "price_bulk",
+    "price_break_even", "cln_valid_rows", "ing_replace_items", "ev_slice",
 )
 
 

@@ -51,25 +51,28 @@ def pattern(spark: SparkSession, d: str) -> DataFrame:
     return ev.pattern(through_table(by_category(spark, d), "pattern"), ["user_id", "category"])
 
 
-def heat_pair(spark: SparkSession, d: str) -> DataFrame:
+def heat_pair(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
     """Forecast heat of the horizon next to the real heat."""
-    heat = views.heatmap_values(pf.predictions(spark, d), real(spark, d))
+    grid = pf.predictions(spark, d) if predictions is None else predictions
+    heat = views.heatmap_values(grid, real(spark, d))
     return heat.join(ev.real_heatmap(real(spark, d)).withColumnRenamed("units_per_day", "real"), ["user_id", "dow", "hour"])
 
 
-def dow_pairs(spark: SparkSession, d: str) -> DataFrame:
+def dow_pairs(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
     """Revenue per occurrence of each weekday: predicted and real."""
     dow = labels.dow(F.col("ds")).alias("dow")
-    p = views.daily_revenue(views.priced(pf.predictions(spark, d), menu.items(src.sales(spark, d))))
+    grid = pf.predictions(spark, d) if predictions is None else predictions
+    p = views.daily_revenue(views.priced(grid, menu.items(src.sales(spark, d))))
     pred = p.groupBy("user_id", dow).agg((micro_sum(F.col("revenue"), 2) / F.count("*")).alias("pred"))
     r = real(spark, d).groupBy("user_id", F.col("order_date").alias("ds")).agg(F.sum(F.col("quantity") * F.col("price_cents")).alias("c"))
     truth = r.groupBy("user_id", dow).agg((F.sum("c") / 100.0 / F.count("*")).alias("real"))
     return pred.join(truth, ["user_id", "dow"])
 
 
-def category_pairs(spark: SparkSession, d: str) -> DataFrame:
+def category_pairs(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
     """Category revenue: predicted, and real over the last 30 days."""
-    p = views.priced(pf.predictions(spark, d), menu.items(src.sales(spark, d)))
+    grid = pf.predictions(spark, d) if predictions is None else predictions
+    p = views.priced(grid, menu.items(src.sales(spark, d)))
     pred = p.groupBy("user_id", "category").agg(micro_sum(F.col("rev"), 4).alias("pred"))
     r = real(spark, d)
     ends = r.groupBy("user_id").agg(F.max("order_date").alias("end"))
@@ -97,9 +100,12 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
-    heat = ev.cell_agreement(heat_pair(spark, d))
-    dow = ev.rank_agreement(ev.ranked_pairs(dow_pairs(spark, d), "dow"), "dow", 2)
-    cat = ev.rank_agreement(ev.ranked_pairs(category_pairs(spark, d), "category"), "category", 3)
+    # the prediction grid is built once; the three small scores are stored,
+    # because several gates read each of them
+    p = pf.predictions(spark, d)
+    heat = through_table(ev.cell_agreement(heat_pair(spark, d, p)), "gate-heat")
+    dow = through_table(ev.rank_agreement(ev.ranked_pairs(dow_pairs(spark, d, p), "dow"), "dow", 2), "gate-dow")
+    cat = through_table(ev.rank_agreement(ev.ranked_pairs(category_pairs(spark, d, p), "category"), "category", 3), "gate-category")
     test = lambda df, c: df.select("user_id", c.alias("passed"))
     return ev.gates({
         "heatmap_pearson": test(heat, F.col("pearson") >= 0.85), "heatmap_top5_jaccard": test(heat, F.col("top5_jaccard") >= 0.6),
