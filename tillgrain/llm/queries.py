@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillgrain.llm import exact_blocks, host_quality, substring_windows
+from tillgrain.llm import exact_blocks, host_quality, ngram_join, substring_windows
 from tillgrain.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -22,4 +26,4 @@ def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_host_quality, op5_exact_blocks, op10_substring_windows)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_quality, op5_exact_blocks, op10_substring_windows)}
