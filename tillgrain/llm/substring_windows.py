@@ -39,13 +39,31 @@ def window_hashes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, hashes): per document the windows that a smaller doc_id also has.
 
-    All windows are dealt out by hash once; the count and the lookup of the
-    first document read that same exchange. The looked-up side holds repeated
-    windows only.
+    Windows are dealt out by hash and sorted by (hash, doc_id) once; a pass over
+    each sorted partition keeps only the first document of the current hash, so a
+    window that a third of all documents share takes no memory.
     """
-    dealt = window_hashes(docs, width).repartition("h")
-    first = dealt.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = dealt.join(first.select("h", "first").hint("shuffle_hash"), "h").where("doc_id > first")
+    dealt = window_hashes(docs, width).repartition("h").sortWithinPartitions("h", "doc_id")
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            h, doc = (c.to_numpy() for c in batch.columns)
+            if not len(h):
+                continue
+            new = np.concatenate([[h[0] != held], h[1:] != h[:-1]])
+            starts = np.where(new, doc, 0)
+            if not new[0]:
+                starts[0] = first
+                new[0] = True
+            firsts = starts[new][np.cumsum(new) - 1]
+            held, first = h[-1], firsts[-1]
+            later = doc > firsts
+            if later.any():
+                yield pa.record_batch([pa.array(h[later]), pa.array(doc[later])], schema=schema)
+
+    later = dealt.mapInArrow(run, "h bigint, doc_id bigint")
     return later.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))
 
 
