@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillgrain.llm import exact_blocks, host_quality, ngram_join, substring_windows
+from tillgrain.llm import exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows
 from tillgrain.llm.common import table
 
 
@@ -21,9 +21,18 @@ def op5_exact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_blocks.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_entities", "entity_types")
+
+
 def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_windows.dedup_windows(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_quality, op5_exact_blocks, op10_substring_windows)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_quality, op5_exact_blocks, op8_packing, op9_pii_surrogates, op10_substring_windows)}

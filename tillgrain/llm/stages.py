@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillgrain.llm import exact_blocks, host_quality
+from tillgrain.llm import exact_blocks, host_quality, ngram_join, packing, pii_surrogates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,4 +21,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate component: that with the smallest
+    doc_id. Documents without an id or without words are in no component and stay."""
+    found = ngram_join.join_ngrams(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates; ``n_chars``, where
+    there is one, follows the text."""
+    done = pii_surrogates.replace(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences as pieces of documents with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("PII surrogates", private), ("packing", packed),
+]
