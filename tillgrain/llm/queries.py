@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillgrain.llm import exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows
+from tillgrain.llm import (bpe, exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows,
+                           toxicity_chain, url_lm)
 from tillgrain.llm.common import table
 
 
@@ -12,6 +13,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,6 +27,14 @@ def op5_exact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_blocks.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op6_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -35,4 +49,5 @@ def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_quality, op5_exact_blocks, op8_packing, op9_pii_surrogates, op10_substring_windows)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op4_host_quality, op5_exact_blocks, op6_url_lm,
+                                     op7_toxicity_chain, op8_packing, op9_pii_surrogates, op10_substring_windows)}
