@@ -145,7 +145,7 @@ def chosen_prefixes(shared: DataFrame) -> DataFrame:
 def candidate_edges(shared: DataFrame) -> DataFrame:
     """(a, b): pairs with enough matches in their prefixes, and for shingles in
     many documents the link of each document to the first of them."""
-    rows = shared.join(chosen_prefixes(shared), "doc_id").where("place < p")
+    rows = shared.join(chosen_prefixes(shared).hint("merge"), "doc_id").where("place < p")
     heavy = rows.where(F.col("df") > LIGHT)
     rest = heavy.groupBy("doc_id").agg(F.count("*").alias("heavy"))
     light = rows.where(F.col("df") <= LIGHT).select("token", "doc_id", "n", "p")
@@ -158,7 +158,7 @@ def candidate_edges(shared: DataFrame) -> DataFrame:
     more = rest.select(F.col("doc_id").alias("a"), F.col("heavy").alias("ha"))
     also = rest.select(F.col("doc_id").alias("b"), F.col("heavy").alias("hb"))
     close = counted.withColumn("missing", missing)
-    enough = close.join(more, "a", "left").join(also, "b", "left").where(
+    enough = close.join(more.hint("merge"), "a", "left").join(also.hint("merge"), "b", "left").where(
         "missing <= least(coalesce(ha, 0), coalesce(hb, 0))").select("a", "b")
     hubs = heavy.groupBy("token").agg(F.min("doc_id").alias("b"))
     return enough.unionByName(heavy.join(hubs, "token").select(F.col("doc_id").alias("a"), "b"))
@@ -211,7 +211,9 @@ def verified_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
         F.col("node").alias("doc_id"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # a table of its own, so that a large cluster's rows can be split where they meet the texts
     placed = settled(placed, "placed")
-    rows = docs.join(placed, "doc_id").select("label", "doc_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # by merge at every size: a plan that broadcasts while tables are small would
+    # not show what the join costs when they are not
+    rows = docs.join(placed.hint("merge"), "doc_id").select("label", "doc_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
     dealt = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -265,7 +267,7 @@ def join_ngrams(docs: DataFrame) -> DataFrame:
     # equal sets are one class; links connect classes
     same = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     heads = settled(same.groupBy("s1", "s2").agg(F.min("doc_id").alias("head")), "heads")
-    member = settled(same.join(heads, ["s1", "s2"]).select("doc_id", "head").distinct(), "members")
+    member = settled(same.join(heads.hint("merge"), ["s1", "s2"]).select("doc_id", "head").distinct(), "members")
     labels = components(links.unionByName(member.where("doc_id <> head").toDF("a", "b")), "link-components")
     labels = settled(labels, "labels").toDF("doc_id", "label")
-    return rows.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return rows.join(labels.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
