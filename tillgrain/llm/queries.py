@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillgrain.llm import (bpe, exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows,
-                           toxicity_chain, url_lm)
+                           suffix_runs, toxicity_chain, url_lm)
 from tillgrain.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_runs.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,5 +54,5 @@ def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op4_host_quality, op5_exact_blocks, op6_url_lm,
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_suffix_runs, op4_host_quality, op5_exact_blocks, op6_url_lm,
                                      op7_toxicity_chain, op8_packing, op9_pii_surrogates, op10_substring_windows)}

@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillgrain.llm.common import mixed, raw_texts, settled, signed, slices
 
@@ -35,6 +35,8 @@ CELLS = 1 << 20
 SYMBOLS = 256
 #: Held-out scores are counted in bins of this width to choose the threshold.
 BIN = 0.02
+#: Share of held-out accepted URLs that the threshold may block.
+MISBLOCKED = 0.02
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -136,27 +138,23 @@ def scored(urls: DataFrame, arrays: list[np.ndarray] | None) -> DataFrame:
         for batch in slices(batches, most=1 << 20):
             yield batch.append_column("score", pa.array(ratios(raw_texts(batch), shared.value)))
 
-    schema = urls.schema.add("score", "double")
-    return urls.mapInArrow(run, schema)
+    return urls.mapInArrow(run, T.StructType([*urls.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def best_threshold(bins: list[tuple[int, int, int]]) -> float:
-    """The threshold with the least sum of both error rates, from (bin, accepted,
-    rejected); of equals the one nearest to the middle of the gap."""
+def best_threshold(bins: list[tuple[int, int, int]], most: float = MISBLOCKED) -> float:
+    """The least threshold, 0 or more, at which at most ``most`` of the held-out
+    accepted URLs are blocked, from (bin, accepted, rejected)."""
     bins = sorted(bins)
     accepted, rejected = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not accepted or not rejected:
         return 0.0
-    best, options, a, r = None, [], accepted, 0
-    for at, na, nr in [(bins[0][0] - 1, 0, 0), *bins]:
-        a, r = a - na, r + nr
-        error = a / accepted + r / rejected
-        if best is None or error < best - 1e-12:
-            best, options = error, [at]
-        elif error <= best + 1e-12:
-            options.append(at)
-    after = [b[0] for b in bins if b[0] > options[-1]]
-    return ((options[0] + 1) + (after[0] if after else options[-1] + 1)) / 2 * BIN
+    above, threshold = 0, (bins[-1][0] + 1) * BIN
+    for at, na, _ in reversed(bins):
+        above += na
+        if above > most * accepted:
+            break
+        threshold = at * BIN
+    return max(0.0, threshold)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -171,10 +169,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     found = rule_of(F.col("host"), F.col("path"), rules)
-    # the rule's own words must not train the model: it sees hosts without their
-    # last label and paths without their first folder
-    text = F.concat(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit(" "), F.regexp_replace("path", r"^/[^/]*", ""))
-    rows = rows.select("*", found["rule"].alias("rule"), found["verdict"].alias("by_rule"), F.lower(text).alias("text"))
+    rows = rows.select("*", found["rule"].alias("rule"), found["verdict"].alias("by_rule"), F.concat("host", "path").alias("text"))
     rows = settled(rows, "urls")
     known = rows.where("rule IS NOT NULL").select("text", (F.col("by_rule") == "block").alias("rejected"), (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("held"))
     trial = model(settled(counted(known.where("NOT held")), "url-trial"))
