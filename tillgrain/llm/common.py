@@ -34,6 +34,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores added until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with about ``most`` bytes of text each; one row at least."""
     for batch in batches:

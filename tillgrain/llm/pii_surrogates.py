@@ -16,9 +16,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tillgrain.llm.common import settled, slices
+from tillgrain.llm.common import settled, slices, unused
 
 KEY = b"surrogates"
 
@@ -230,17 +230,18 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
     found = settled(found_entities(docs.select(ids, "text")), "entities")
     others = settled(redrawn(settled(found.select("kind", "canon").distinct(), "distinct-entities"), key), "redrawn")
-    by_doc = settled(found.join(others, ["kind", "canon"]).groupBy("doc_id").agg(
-        F.collect_set(F.struct("kind", "canon", "made")).alias("redrawn")).withColumnRenamed("doc_id", "redrawn_of"), "redrawn-by-document")
-    joined = docs.join(by_doc, F.col("doc_id").cast("bigint").eqNullSafe(F.col("redrawn_of")), "left").drop("redrawn_of")
-    schema = joined.drop("redrawn").schema.add("n_entities", "long").add("entity_types", "string")
+    of, special = unused("redrawn_of", docs.columns), unused("redrawn", docs.columns)
+    by_doc = settled(found.join(others, ["kind", "canon"]).groupBy(F.col("doc_id").alias(of)).agg(
+        F.collect_set(F.struct("kind", "canon", "made")).alias(special)), "redrawn-by-document")
+    joined = docs.join(by_doc, docs["doc_id"].cast("bigint").eqNullSafe(by_doc[of]), "left").drop(of)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_types", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, counts, kinds = [], [], []
             at = batch.schema.get_field_index("text")
-            for text, special in zip(batch.column(at).to_pylist(), batch.column("redrawn").to_pylist()):
-                taken = {(r["kind"], r["canon"]): r["made"] for r in special or ()}
+            for text, redrawn_here in zip(batch.column(at).to_pylist(), batch.column(special).to_pylist()):
+                taken = {(r["kind"], r["canon"]): r["made"] for r in redrawn_here or ()}
                 parts, last, seen, n = [], 0, set(), 0
                 for kind, canon, a, b in entities(text or ""):
                     made = taken.get((kind, canon)) or surrogate(kind, canon, 0, key)
@@ -250,7 +251,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 texts.append("".join(parts) + text[last:] if n else text)
                 counts.append(n), kinds.append(",".join(sorted(seen)))
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            keep = [i for i, name in enumerate(out.schema.names) if name != "redrawn"]
+            keep = [i for i, name in enumerate(out.schema.names) if name != special]
             cols = [*(out.column(i) for i in keep), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())]
             names = [*(out.schema.names[i] for i in keep), "n_entities", "entity_types"]
             yield pa.record_batch(cols, names=names)

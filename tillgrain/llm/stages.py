@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillgrain.llm import exact_blocks, host_quality, ngram_join, packing, pii_surrogates
+from tillgrain.llm.common import unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +16,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts."""
-    kept = exact_blocks.dedup_exact(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
-    keyed = docs.withColumn("sha", F.unhex(F.sha2(F.encode(exact_blocks.normalised(F.col("text")), "utf-8"), 256)))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["sha"] == kept["sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    sha = unused("sha", docs.columns)
+    kept = exact_blocks.dedup_exact(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(F.encode(exact_blocks.normalised(F.col("text")), "utf-8"), 256)))
+    same = keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

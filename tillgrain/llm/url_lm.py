@@ -148,12 +148,15 @@ def best_threshold(bins: list[tuple[int, int, int]], most: float = MISBLOCKED) -
     accepted, rejected = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not accepted or not rejected:
         return 0.0
-    above, threshold = 0, (bins[-1][0] + 1) * BIN
+    above, lowest, refused = 0, bins[-1][0] + 1, None
     for at, na, _ in reversed(bins):
         above += na
         if above > most * accepted:
+            refused = at
             break
-        threshold = at * BIN
+        lowest = at
+    # in the middle of the gap below the lowest bin that may be blocked
+    threshold = (lowest + (lowest if refused is None else refused + 1)) / 2 * BIN
     return max(0.0, threshold)
 
 
