@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tillgrain.llm.common import hashed, raw_texts, rolling, settled, signed, slices, split_words
@@ -22,44 +23,58 @@ WIDTH = 13
 
 
 def window_hashes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(h, doc_id), a row for every window. Null text or under ``width`` words: none."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
+    """(h, doc_id, known): distinct windows of each document. Within a batch only
+    the smallest document of a window is open; the others are ``known`` to
+    repeat. Null text or under ``width`` words: none."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            batch = batch.take(pc.sort_indices(batch.column("doc_id")))
             per_doc = [signed(rolling(hashed(split_words(t)), width)) for t in raw_texts(batch)]
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in per_doc])
+            ids = np.repeat(batch.column("doc_id").to_numpy().astype(np.int64), [len(x) for x in per_doc])
             if len(ids):
-                yield pa.record_batch([pa.array(np.concatenate(per_doc)), pa.array(ids.astype(np.int64))], schema=schema)
+                h = np.concatenate(per_doc)
+                order = np.argsort(h, kind="stable")
+                h, ids = h[order], ids[order]
+                same = np.concatenate([[False], h[1:] == h[:-1]])
+                once = ~same | np.concatenate([[True], ids[1:] != ids[:-1]])
+                starts = np.flatnonzero(~same)
+                known = ids > np.repeat(ids[starts], np.diff(np.append(starts, len(h))))
+                yield pa.record_batch([pa.array(h[once]), pa.array(ids[once]), pa.array(known[once])], schema=schema)
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(run, "h bigint, doc_id bigint")
+    return rows.mapInArrow(run, "h bigint, doc_id bigint, known boolean")
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, hashes): per document the windows that a smaller doc_id also has.
 
-    Windows are dealt out by hash and sorted by (hash, doc_id) once; a pass over
-    each sorted partition keeps only the first document of the current hash, so a
-    window that a third of all documents share takes no memory.
+    Open windows are dealt out by hash, known repeats by hash and document, so a
+    window that a third of all documents share sends one row a batch to its task.
+    A pass over each sorted partition keeps only the first document of the
+    current hash.
     """
-    dealt = window_hashes(docs, width).repartition("h").sortWithinPartitions("h", "doc_id")
+    key = F.when(F.col("known"), F.xxhash64("h", "doc_id")).otherwise(F.col("h"))
+    dealt = window_hashes(docs, width).repartition(key).sortWithinPartitions("known", "h", "doc_id")
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, None
         for batch in batches:
-            h, doc = (c.to_numpy() for c in batch.columns)
-            if not len(h):
-                continue
-            new = np.concatenate([[h[0] != held], h[1:] != h[:-1]])
-            starts = np.where(new, doc, 0)
-            if not new[0]:
-                starts[0] = first
-                new[0] = True
-            firsts = starts[new][np.cumsum(new) - 1]
-            held, first = h[-1], firsts[-1]
-            later = doc > firsts
+            h, doc = (batch.column(c).to_numpy() for c in ("h", "doc_id"))
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            n = int(np.count_nonzero(~known))  # open rows come first
+            later = known.copy()
+            if n:
+                new = np.concatenate([[h[0] != held], h[1:n] != h[:n - 1]])
+                starts = np.where(new, doc[:n], 0)
+                if not new[0]:
+                    starts[0] = first
+                    new[0] = True
+                firsts = starts[new][np.cumsum(new) - 1]
+                held, first = h[n - 1], firsts[-1]
+                later[:n] = doc[:n] > firsts
             if later.any():
                 yield pa.record_batch([pa.array(h[later]), pa.array(doc[later])], schema=schema)
 
