@@ -94,3 +94,42 @@ def test_stream_equals_batch(spark, tmp_path):
     arrive("2.csv", "b,z,5\nc,z,1\n")
     got = sorted(tuple(r) for r in stream.current(spark, table).select("order_reference", "sku", "quantity").collect())
     assert got == [("a", "x", 1), ("a", "x", 1), ("b", "z", 5), ("c", "z", 1)]
+
+
+@pytest.mark.parametrize("date,time,want", [
+    ("2022-04-15", "8:30:00", "2022-04-15 08:30:00"), ("15/04/2022", "08:30", "2022-04-15 08:30:00"),
+    ("2022/04/15", "08:30", "2022-04-15 08:30:00"), ("2022-04-15 00:00:00", "08:30:00", "2022-04-15 08:30:00"),
+    ("4/15/2022", "8:30 PM", "2022-04-15 20:30:00"), ("15 April 2022", "12:05 am", "2022-04-15 00:05:00"),
+    ("Apr 15, 2022", "08:30:00.5Z", "2022-04-15 08:30:00"), ("20220415", None, "2022-04-15 12:00:00"),
+    ("2022-02-30", "08:30", None), ("someday", "08:30", None), ("2022-04-15", "soon", None), (None, "08:30", None),
+])
+def test_spelled_moments(spark, date, time, want):
+    row = spark.createDataFrame([(date, time)], "date string, time string")
+    got = row.select(cln.order_datetime(row).cast("string").alias("t")).first().t
+    assert got == want
+
+
+def test_odd_cells_do_not_stop_the_job(spark):
+    row = spark.createDataFrame([("1", None, c, c, "1", "Tea", "2022-01-01", "x") for c in ("nan", "Infinity", "1e12", "1e30", None)],
+                                "order_reference string, sku string, quantity string, unit_price string, unit_cost string, category_en string, date string, is_imputed string")
+    got = cln.normalised(row, 7).select("quantity", "unit_price", "sku", "is_imputed").collect()
+    assert [tuple(r) for r in got] == [(0, 0.0, "nan", False), (0, 0.0, "nan", False), (10**12, 1e12, "nan", False), (0, 1e30, "nan", False), (0, 0.0, "nan", False)]
+
+
+def test_missing_reference_keeps_the_line(spark):
+    row = spark.createDataFrame([(None, "1"), ("  ", "1")], "order_reference string, quantity string").selectExpr("*", "'2' AS unit_price", "'1' AS unit_cost", "'Tea' AS category_en", "'2022-01-01' AS date")
+    assert [r.order_reference for r in cln.valid_rows(cln.normalised(row, 7)).collect()] == ["u7:", "u7:"]
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,sku,qty,price,cost,category,date\n1,s1,2,10,4,Tea,2022-01-01\n")
+    (tmp_path / "b.csv").write_text("price,qty,order_id,category,cost,name,date\n20,3,2,Tea,5,Green,2022-01-01\n")
+    got = pos_files.read_csv(spark, str(tmp_path), lambda f: cln.normalised(f, 7)).orderBy("order_reference").collect()
+    assert [(r.order_reference, r.sku, r.quantity, r.unit_price, r.unit_cost) for r in got] == [("u7:1", "s1", 2, 10.0, 4.0), ("u7:2", "Green", 3, 20.0, 5.0)]
+
+
+def test_seed_references_are_stable(spark):
+    data = [("nan", "2022-01-01", "night")] * 5 + [(None, "2022-01-02", None), ("9", "2022-01-01", "night")]
+    rows = spark.createDataFrame(data, "order_reference string, date string, time_period string")
+    refs = lambda df: sorted(r.order_reference for r in cln.seed_references(df).collect())
+    assert refs(rows.repartition(1)) == refs(rows.repartition(5)) and len(set(refs(rows))) == 7

@@ -6,15 +6,22 @@ from tillgrain.oracle.base import big, block, period, query, season_met
 from tillgrain.oracle import dashboard  # noqa: F401  (blocks)
 from tillgrain.plans.ingest import CLEARED_USER, GONE_UPLOAD, MODEL_VERSION
 
+HH = "lpad(CAST(hour AS VARCHAR), 2, '0')"
 block("raw_fields", f"""
-SELECT user_id, is_imputed, ' ' || CASE WHEN order_id % 107 = 3 THEN '' ELSE CAST(order_id AS VARCHAR) END || ' ' AS order_reference,
-  split_part(product, '#', 2) AS sku,
-  CASE WHEN order_id % 97 = 0 THEN 'abc' WHEN order_id % 89 = 0 THEN '-1' ELSE quantity || '.7' END AS quantity,
-  CASE WHEN order_id % 101 = 0 THEN 'n/a' ELSE (price_cents // 100) || '.00' END AS unit_price,
+SELECT user_id, is_imputed, order_id, order_date, hour,
+  CASE WHEN order_id % 109 <> 4 THEN ' ' || CASE WHEN order_id % 107 = 3 THEN '' ELSE CAST(order_id AS VARCHAR) END || ' ' END AS order_reference,
+  CASE WHEN order_id % 113 <> 5 THEN split_part(product, '#', 2) END AS sku,
+  CASE WHEN order_id % 97 = 0 THEN 'abc' WHEN order_id % 89 = 0 THEN '-1' WHEN order_id % 83 = 0 THEN 'nan' WHEN order_id % 79 = 0 THEN 'Infinity'
+    WHEN order_id % 73 = 0 THEN '1e12' ELSE quantity || '.7' END AS quantity,
+  CASE WHEN order_id % 101 = 0 THEN 'n/a' WHEN order_id % 83 = 1 THEN 'NaN' ELSE (price_cents // 100) || '.00' END AS unit_price,
   (cost_cents // 100) || '.' || lpad(CAST(cost_cents % 100 AS VARCHAR), 2, '0') AS unit_cost,
   category AS category_en, ' ' || product AS name_en,
-  CASE WHEN order_id % 103 = 0 THEN 'bad-date' ELSE CAST(order_date AS VARCHAR) END AS date,
-  CASE WHEN order_id % 5 = 0 THEN '' ELSE lpad(CAST(hour AS VARCHAR), 2, '0') || ':15:00' END AS time,
+  CASE WHEN order_id % 103 = 0 THEN 'bad-date' WHEN order_id % 11 = 1 AND day(order_date) > 12 THEN strftime(order_date, '%d/%m/%Y')
+    WHEN order_id % 11 = 2 THEN strftime(order_date, '%Y/%m/%d') WHEN order_id % 11 = 3 THEN strftime(order_date, '%-m/%-d/%Y')
+    WHEN order_id % 11 = 4 THEN strftime(order_date, '%Y-%m-%d 00:00:00') WHEN order_id % 11 = 5 THEN strftime(order_date, '%b %-d, %Y')
+    WHEN order_id % 11 = 6 THEN strftime(order_date, '%Y%m%d') ELSE CAST(order_date AS VARCHAR) END AS date,
+  CASE WHEN order_id % 5 = 0 THEN '' WHEN order_id % 13 = 1 THEN hour || ':15:00' WHEN order_id % 13 = 2 THEN {HH} || ':15'
+    WHEN order_id % 13 = 3 THEN ((hour + 11) % 12 + 1) || ':15 ' || CASE WHEN hour < 12 THEN 'AM' ELSE 'PM' END ELSE {HH} || ':15:00' END AS time,
   CASE WHEN order_id % 10 = 0 THEN '' WHEN order_id % 10 = 5 THEN 'evening' WHEN order_id % 10 = 7 THEN 'NULL' ELSE {period('hour')} END AS time_period,
   CASE WHEN order_id % 3 = 0 THEN 'nan' ELSE {season_met('order_date')} END AS season,
   CASE WHEN order_id % 4 = 1 THEN 'None' WHEN order_id % 4 > 1 THEN 'Fair' END AS occasion
@@ -22,12 +29,14 @@ FROM sales""")
 block("raw_timed", """
 SELECT *, CASE WHEN time <> '' THEN time ELSE CASE lower(time_period) WHEN 'morning' THEN '10:00:00' WHEN 'afternoon' THEN '14:00:00'
   WHEN 'evening' THEN '18:00:00' WHEN 'night' THEN '22:00:00' ELSE '12:00:00' END END AS clean_time FROM raw_fields""")
-block("normal_rows", """
-SELECT user_id, 'u' || user_id || ':' || trim(order_reference) AS order_reference, trim(sku) AS sku,
-  CAST(trunc(coalesce(TRY_CAST(trim(quantity) AS DOUBLE), 0e0)) AS INTEGER) AS quantity,
-  coalesce(TRY_CAST(trim(unit_price) AS DOUBLE), 0e0) AS unit_price, coalesce(TRY_CAST(trim(unit_cost) AS DOUBLE), 0e0) AS unit_cost,
+# the moment comes from the values the texts were written from, not from parsing them
+block("normal_rows", f"""
+SELECT user_id, 'u' || user_id || ':' || trim(coalesce(order_reference, '')) AS order_reference, coalesce(trim(sku), 'nan') AS sku,
+  CASE WHEN order_id % 97 = 0 THEN 0 WHEN order_id % 89 = 0 THEN -1 WHEN order_id % 83 = 0 OR order_id % 79 = 0 THEN 0
+    WHEN order_id % 73 = 0 THEN 1000000000000 ELSE CAST(split_part(quantity, '.', 1) AS BIGINT) END AS quantity,
+  CASE WHEN order_id % 101 = 0 OR order_id % 83 = 1 THEN 0e0 ELSE CAST(unit_price AS DOUBLE) END AS unit_price, CAST(unit_cost AS DOUBLE) AS unit_cost,
   category_en, trim(name_en) AS name_en, season, occasion, time_period,
-  try_strptime(date || ' ' || clean_time, '%Y-%m-%d %H:%M:%S') AS order_datetime,
+  CASE WHEN order_id % 103 <> 0 THEN strptime(CAST(order_date AS VARCHAR) || ' ' || CASE WHEN time = '' THEN clean_time ELSE {HH} || ':15:00' END, '%Y-%m-%d %H:%M:%S') END AS order_datetime,
   coalesce(lower(trim(time_period)) IN ('', 'nan', 'none', 'null'), true) AS b_tp,
   coalesce(lower(trim(season)) IN ('', 'nan', 'none', 'null'), true) AS b_se,
   coalesce(lower(trim(occasion)) IN ('', 'nan', 'none', 'null'), true) AS b_oc
@@ -67,10 +76,11 @@ def counts(where: str, name: str = "rows") -> str:
 
 BASE = "user_id, order_reference, sku"
 SQL = {
-    "src_csv": "SELECT order_reference, sku, quantity, unit_price, unit_cost, category_en, name_en, season, occasion, time_period, date, time, user_id, is_imputed FROM raw_fields",
-    "ing_upsert_dims": """SELECT DISTINCT product AS sku, 'first ' || product AS name_en, category FROM lines WHERE year(order_date) <= 1995
+    # a CSV cell loses the blanks around it and, when empty, its value
+    "src_csv": "SELECT nullif(trim(order_reference), '') AS order_reference, sku, quantity, unit_price, unit_cost, category_en, trim(name_en) AS name_en, season, occasion, nullif(time_period, '') AS time_period, date, nullif(time, '') AS time, user_id, is_imputed FROM raw_fields",
+    "ing_upsert_dims": """SELECT DISTINCT product AS sku, 'first ' || product AS name_en, category FROM lines WHERE year(order_date) <= 1998
         UNION ALL SELECT product, left(min('second ' || product), 100), min(category) FROM lines_new
-        WHERE product NOT IN (SELECT product FROM lines WHERE year(order_date) <= 1995) GROUP BY product""",
+        WHERE product NOT IN (SELECT product FROM lines WHERE year(order_date) <= 1998) GROUP BY product""",
     "ing_upsert_orders": """SELECT DISTINCT order_reference, order_date, CASE WHEN year(order_date) >= 1998 THEN 'second' ELSE 'first' END AS file FROM lines""",
     "ing_replace_items": """SELECT order_reference, order_date, product, category, CASE WHEN year(order_date) >= 1998 THEN quantity + 1 ELSE quantity END AS quantity,
         price_cents, CASE WHEN year(order_date) >= 1998 THEN 'second' ELSE 'first' END AS file FROM lines""",
@@ -87,12 +97,12 @@ SQL = {
     "tbl_delete_upload": counts(f"upload_id <> {GONE_UPLOAD}"),
     "tbl_clear": counts(f"upload_id % 100 <> {CLEARED_USER}"),
     "tbl_orphan_uploads": """SELECT upload_id, user_id FROM star_uploads u
-        WHERE NOT EXISTS (SELECT 1 FROM star_orders o WHERE o.upload_id = u.upload_id AND o.order_date >= DATE '1997-01-01')""",
+        WHERE NOT EXISTS (SELECT 1 FROM star_orders o WHERE o.upload_id = u.upload_id AND o.upload_id % 10 <> 3)""",
     "tbl_quality_counts": """SELECT 'uploads' AS metric, count(*) AS n FROM star_uploads UNION ALL SELECT 'orders', count(*) FROM star_orders
         UNION ALL SELECT 'imputed_orders', count(*) FILTER (is_imputed) FROM star_orders UNION ALL SELECT 'real_orders', count(*) FILTER (NOT is_imputed) FROM star_orders
         UNION ALL SELECT 'items', count(*) FROM star_items UNION ALL SELECT 'users', count(*) FROM nation""",
     "ing_seed_refs": """SELECT user_id, is_imputed, synthetic, count(*) AS rows, CASE WHEN synthetic THEN count(*) ELSE count(DISTINCT order_id) END AS "references"
-        FROM (SELECT *, is_imputed OR order_id % 107 = 3 AS synthetic FROM sales) GROUP BY user_id, is_imputed, synthetic""",
+        FROM (SELECT *, is_imputed OR order_id % 107 = 3 OR order_id % 109 = 4 AS synthetic FROM sales) GROUP BY user_id, is_imputed, synthetic""",
     "ing_stream": "SELECT l_orderkey AS order_reference, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem GROUP BY l_orderkey",
     "sink_tables": f"SELECT CAST(year(order_date) AS INTEGER) AS year, count(*) AS days, {big('sum(orders)')} AS orders FROM daily_rev GROUP BY 1",
     "sink_signature": f"SELECT user_id, CAST(max(year(order_date) * 100 + user_id) AS BIGINT) AS upload_id, count(*) AS item_count, '{MODEL_VERSION}' AS model_version FROM sales GROUP BY user_id",

@@ -14,6 +14,7 @@ from tillgrain.streaming import ingest as stream
 MODEL_VERSION = "additive-1"
 GONE_UPLOAD = 199507
 CLEARED_USER = 7
+HALF_DELETED = 3
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +26,21 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = F.col("order_date")
     return s.select(
         "user_id", "is_imputed",
-        F.concat(F.lit(" "), when(107, 3, F.lit(""), k.cast("string")), F.lit(" ")).alias("Order ID"),
-        F.element_at(F.split("product", "#"), -1).alias("sku"),
-        F.when(k % 97 == 0, "abc").when(k % 89 == 0, "-1").otherwise(F.concat(F.col("quantity").cast("string"), F.lit(".7"))).alias("qty"),
-        when(101, 0, F.lit("n/a"), F.concat((F.col("price_cents") / 100).cast("bigint").cast("string"), F.lit(".00"))).alias("price"),
+        when(109, 4, F.lit(None), F.concat(F.lit(" "), when(107, 3, F.lit(""), k.cast("string")), F.lit(" "))).alias("Order ID"),
+        when(113, 5, F.lit(None), F.element_at(F.split("product", "#"), -1)).alias("sku"),
+        F.when(k % 97 == 0, "abc").when(k % 89 == 0, "-1").when(k % 83 == 0, "nan").when(k % 79 == 0, "Infinity").when(k % 73 == 0, "1e12").otherwise(F.concat(F.col("quantity").cast("string"), F.lit(".7"))).alias("qty"),
+        F.when(k % 101 == 0, "n/a").when(k % 83 == 1, "NaN").otherwise(F.concat((F.col("price_cents") / 100).cast("bigint").cast("string"), F.lit(".00"))).alias("price"),
         F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")).alias("cost"),
         F.col("category").alias("Category"),
         F.concat(F.lit(" "), F.col("product")).alias("name"),
-        when(103, 0, F.lit("bad-date"), ds.cast("string")).alias("date"),
-        when(5, 0, F.lit(""), F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":15:00"))).alias("time"),
+        F.when(k % 103 == 0, "bad-date").when((k % 11 == 1) & (F.dayofmonth(ds) > 12), F.date_format(ds, "dd/MM/yyyy"))
+        .when(k % 11 == 2, F.date_format(ds, "yyyy/MM/dd")).when(k % 11 == 3, F.date_format(ds, "M/d/yyyy"))
+        .when(k % 11 == 4, F.date_format(ds, "yyyy-MM-dd 00:00:00")).when(k % 11 == 5, F.date_format(ds, "MMM d, yyyy"))
+        .when(k % 11 == 6, F.date_format(ds, "yyyyMMdd")).otherwise(ds.cast("string")).alias("date"),
+        F.when(k % 5 == 0, "").when(k % 13 == 1, F.concat(F.col("hour").cast("string"), F.lit(":15:00")))
+        .when(k % 13 == 2, F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":15")))
+        .when(k % 13 == 3, F.concat(((F.col("hour") + 11) % 12 + 1).cast("string"), F.lit(":15 "), F.when(F.col("hour") < 12, "AM").otherwise("PM")))
+        .otherwise(F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":15:00"))).alias("time"),
         F.when(k % 10 == 0, "").when(k % 10 == 5, "evening").when(k % 10 == 7, "NULL").otherwise(labels.time_period(F.col("hour"))).alias("time_period"),
         when(3, 0, F.lit("nan"), labels.season_met(ds)).alias("season"),
         F.when(k % 4 == 1, "None").when(k % 4 > 1, "Fair").alias("occasion"),
@@ -44,6 +51,18 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pos_files.resolve(raw(spark, sf_dir))
 
 
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export written as text files of two header layouts and scanned again."""
+    rows, path = raw(spark, sf_dir), run_path(spark, "exports")
+    even = F.col("user_id") % 2 == 0
+    write = lambda df, name: df.write.option("header", True).csv(f"{path}/{name}")
+    write(rows.filter(even), "a")
+    write(rows.filter(~even).select(*reversed(rows.columns)).withColumnsRenamed({"qty": "quantity", "price": "Unit Price"}), "b")
+    typed = lambda f: f.withColumns({"user_id": F.col("user_id").cast("int"), "is_imputed": F.col("is_imputed").cast("boolean")})
+    found = pos_files.read_csv(spark, f"{path}/*", typed)
+    return found.select(*fields(spark, sf_dir).columns)
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cln.enriched(cln.normalised(fields(spark, sf_dir)))
 
@@ -74,7 +93,7 @@ def _dims(df: DataFrame) -> DataFrame:
 
 def upsert_dims(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    existing = _dims(lines.filter(F.year("order_date") <= 1995)).distinct()
+    existing = _dims(_old(lines)).distinct()
     return tbl.upsert_dims(existing, _dims(_new(lines)), "sku", ["name_en", "category"])
 
 
@@ -108,9 +127,11 @@ def replace_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_uploads(spark: SparkSession, d: str) -> DataFrame:
-    """Uploads whose orders are all of another kind: here the imputed ones."""
+    """Uploads that a deletion which stopped halfway has left without orders: it
+    had removed the orders of every tenth upload."""
     t = src.star(spark, d)
-    return tbl.orphan_uploads(t["uploads"], t["orders"].filter(F.col("order_date") >= "1997-01-01")).select("upload_id", "user_id")
+    left = t["orders"].filter(F.col("upload_id") % 10 != HALF_DELETED)
+    return tbl.orphan_uploads(t["uploads"], left).select("upload_id", "user_id")
 
 
 def seed_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +174,7 @@ def sink_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_csv": lambda s, d: fields(s, d),
+    "src_csv": csv_files,
     "ing_upsert_dims": upsert_dims,
     "ing_upsert_orders": upsert_orders,
     "ing_replace_items": replace_items,

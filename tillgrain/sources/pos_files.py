@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Accepted headers per logical field, first match wins.
@@ -51,8 +55,18 @@ def resolve(raw: DataFrame) -> DataFrame:
     return raw.select(*kept)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; typing belongs to the cleaning step. Malformed files
-    fail the job instead of losing rows."""
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    return resolve(raw)
+def read_csv(spark: SparkSession, path: str, each: Callable[[DataFrame], DataFrame] = lambda fields: fields) -> DataFrame:
+    """All files below ``path``, columns as text; typing belongs to the cleaning
+    step. Files are grouped by their header, which Spark reads file by file, and
+    each group is scanned with its own, so column order and names may differ.
+    ``each`` runs on every group before they meet: fallbacks depend on the columns
+    a file has. Malformed files fail the job instead of losing rows."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    files = sorted(spark.read.text(path).inputFiles())
+    header = lambda file: tuple(spark.read.option("header", True).csv(file).columns)
+    with ThreadPoolExecutor(16) as pool:
+        for file, columns in zip(files, pool.map(header, files)):
+            groups.setdefault(columns, []).append(file)
+    scan = lambda some: spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(some)
+    parts = [each(resolve(scan(some))) for some in groups.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
