@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillgrain.session import through_table
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: shuffle files go back when it is done, and batches
+#: that pass to Python are small however long the texts are.
+STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 SLICE_BYTES = 8 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,12 +32,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     made it are given back at once, so a job's disk use is that of its largest
     step and not the sum of all steps."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        conf.set(k, v)
     try:
         return through_table(df, name)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
 
 
 def unused(name: str, columns: Iterable[str]) -> str:
