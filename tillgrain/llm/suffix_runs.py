@@ -38,6 +38,8 @@ GRAM = 32
 #: One gram in this many is sampled.
 EVERY = 32
 INDEX_BYTES = 1 << 20
+#: Start given in a packet to a string that is known to repeat.
+KNOWN = -1
 _SEGMENT = 2 << 20
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64))
 _INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -298,30 +300,41 @@ def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def indexed(different: DataFrame) -> DataFrame:
-    """(key, c, a, b, h, many): spans of contexts found in their index, and for
-    contexts of split keys (h not null) the hash of each string that an index
-    cannot tell, at start a, or that it knows to repeat (many)."""
-    schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("many", pa.bool_())])
+    """(key, c, a, b, packet, body): spans of contexts found in their index, and for
+    keys split over several indexes packets of what one of them cannot tell. A
+    packet has the strings whose hash falls to it: those that occur once in the
+    index, with their context and start, and one of each that repeats in it."""
+    schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("packet", pa.int32()), ("body", pa.binary())])
 
     def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         bodies = [r[2] for r in rows]
-        marked, out = marked_windows(bodies), []
+        marked, out, parts = marked_windows(bodies), [], rows[0][4]
         starts = np.cumsum([0] + [len(b) + 1 for b in bodies])
-        for (key, c, body, uses, split), at in zip(rows, starts.tolist()):
-            own = marked[at:at + len(body)]
+        once, often = [], []
+        for (key, c, body, uses, _), at in zip(rows, starts.tolist()):
             n = len(body) - LENGTH + 1
+            own = marked[at:at + n]
             if uses == 1:
-                out += [(key, c, a, b, None, None) for a, b in runs_of(own[:n])]
-            if split:
-                hashes = signed(rolled(np.frombuffer(body, np.uint8), LENGTH)).tolist()
-                out += [(key, c, i, i + LENGTH, h, bool(m or uses > 1)) for i, (h, m) in enumerate(zip(hashes, own[:n].tolist()))]
-        for i in range(0, len(out), 50_000):
-            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*out[i:i + 50_000]), schema)], schema=schema)
+                out += [(key, c, a, b, None, None) for a, b in runs_of(own)]
+            if parts > 1:
+                h = signed(rolled(np.frombuffer(body, np.uint8), LENGTH))
+                known = own | (uses > 1)
+                left = np.flatnonzero(~known)
+                once.append(np.stack([h[left], np.full(len(left), c), left]))
+                often.append(h[known])
+        if parts > 1:
+            often = np.unique(np.concatenate(often))
+            found = np.concatenate([*once, np.stack([often, np.zeros(len(often), np.int64), np.full(len(often), KNOWN)])], axis=1)
+            to = (found[0].view(np.uint64) >> np.uint64(33)) % np.uint64(parts)
+            for packet in np.unique(to).tolist():
+                out.append((rows[0][0], None, None, None, packet, np.ascontiguousarray(found[:, to == packet]).tobytes()))
+        for i in range(0, len(out), 20_000):
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*out[i:i + 20_000]), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in slices(batches, "body", 1 << 20):
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "part", "key", "c", "body", "uses", "split"))
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "part", "key", "c", "body", "uses", "parts"))
             for bucket, part, *row in zip(*columns):
                 if (bucket, part) != group:
                     if rows:
@@ -332,7 +345,38 @@ def indexed(different: DataFrame) -> DataFrame:
             yield from done(rows)
 
     dealt = different.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key", "c")
-    return dealt.mapInArrow(run, "key bigint, c bigint, a bigint, b bigint, h bigint, many boolean")
+    return dealt.mapInArrow(run, "key bigint, c bigint, a bigint, b bigint, packet int, body binary")
+
+
+def crossing_spans(packets: DataFrame) -> DataFrame:
+    """(key, c, a, b): strings that repeat only over the indexes of a split key."""
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "c", "a", "b")])
+
+    def done(key: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        h, c, at = np.concatenate([np.frombuffer(b, np.int64).reshape(3, -1) for b in bodies], axis=1)
+        _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+        picked = (count[place] > 1) & (at != KNOWN)
+        if picked.any():
+            c, at = c[picked], at[picked]
+            order = np.lexsort((at, c))
+            c, at = c[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (at[1:] != at[:-1] + 1)]))
+            last = np.append(first[1:], len(c)) - 1
+            yield pa.record_batch([pa.array(np.full(len(first), key)), pa.array(c[first]), pa.array(at[first]), pa.array(at[last] + LENGTH)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, bodies = None, []
+        for batch in batches:
+            for key, packet, body in zip(*(batch.column(c).to_pylist() for c in ("key", "packet", "body"))):
+                if (key, packet) != group:
+                    if bodies:
+                        yield from done(group[0], bodies)
+                    group, bodies = (key, packet), []
+                bodies.append(body)
+        if bodies:
+            yield from done(group[0], bodies)
+
+    return packets.repartition("key", "packet").sortWithinPartitions("key", "packet").mapInArrow(run, "key bigint, c bigint, a bigint, b bigint")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -348,16 +392,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     buckets, parts = max(1, -(-total // INDEX_BYTES)), F.ceil(F.col("bytes") / INDEX_BYTES)
     different = forms.join(keys.withColumn("parts", parts), "key").select(
-        "key", "c", "body", "uses", (F.col("parts") > 1).alias("split"),
+        "key", "c", "body", "uses", "parts",
         # a key of more than one index has indexes of its own
         F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).alias("bucket"),
         F.when(F.col("parts") > 1, F.pmod(F.xxhash64("c"), F.col("parts")) + 1).otherwise(F.lit(0)).alias("part"))
     marks = settled(indexed(different), "marks")
-    crossing = marks.where("h IS NOT NULL").select("h", "key", "c", "a", "b", F.lit(False).alias("known"), "many")
-    wide = pa.schema([(n, pa.int64()) for n in ("h", "key", "c", "a", "b")])
-    crossing = repeated_of(crossing, "h bigint, key bigint, c bigint, a bigint, b bigint", wide).select("key", "c", "a", "b")
+    crossing = crossing_spans(marks.where("packet IS NOT NULL").select("key", "packet", "body"))
     whole = forms.where("uses > 1").select("key", "c", F.lit(0).cast("bigint").alias("a"), F.col("n").cast("bigint").alias("b"))
-    spans = marks.where("h IS NULL").select("key", "c", "a", "b").unionByName(crossing).unionByName(whole)
+    spans = marks.where("packet IS NULL").select("key", "c", "a", "b").unionByName(crossing).unionByName(whole)
     spans = settled(spans.groupBy("key", "c").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     placed = seen.select("key", "c", "doc_id", "th", "lo").join(spans, ["key", "c"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b")))
