@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillgrain.llm.common import slices
+from tillgrain.llm.common import settled, slices
 
 MAPS = 1 << 15
 NONE = 1 << 30
@@ -56,25 +56,28 @@ def rank_map(spark, path: str) -> Column:
 
 def merged_ids(word: Column, maps: Column) -> Column:
     """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is
-    merged until no pair has a rank."""
-    rank = lambda piece: F.try_element_at(F.get(maps, _slot(piece)), piece)
+    merged until no pair has a rank. A merge ranks anew only the pairs beside it."""
+    rank = lambda piece: F.coalesce(F.try_element_at(F.get(maps, _slot(piece)), piece), F.lit(NONE))
+
+    def ranks(p: Column) -> Column:
+        pairs = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.concat(x, F.get(p, i + 1)))
+        return F.transform(pairs, rank)
 
     def step(state: Column) -> Column:
-        p = state["p"]
-        ranks = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.coalesce(rank(F.concat(x, F.get(p, i + 1))), F.lit(NONE)))
+        p, r = state["p"], state["r"]
 
-        def merge(r: Column) -> Column:
-            least = F.array_min(r)
-            at = F.array_position(r, least).cast("int")
+        def merge(at: Column) -> Column:
             joined = F.concat(F.slice(p, 1, at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-            return F.when(least == NONE, F.struct(p.alias("p"), F.lit(False).alias("open"))).otherwise(
-                F.struct(joined.alias("p"), (F.size(p) > 2).alias("open")))
+            around = lambda q: F.slice(q, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2))
+            return let(joined, lambda q: F.struct(q.alias("p"), F.concat(
+                F.slice(r, 1, F.greatest(at - 2, F.lit(0))), let(around(q), ranks), F.slice(r, at + 2, F.size(r))).alias("r")))
 
-        return F.when(state["open"], let(ranks, merge)).otherwise(state)
+        return let(F.array_min(r), lambda least: F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(
+            let(F.array_position(r, least).cast("int"), merge)))
 
-    start = F.struct(F.split(word, "").alias("p"), (F.length(word) > 1).alias("open"))
+    start = let(F.split(word, ""), lambda p: F.struct(p.alias("p"), ranks(p).alias("r")))
     folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda s, _: step(s), lambda s: F.transform(s["p"], rank))
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(folded)
+    return F.when(rank(word) < NONE, F.array(rank(word))).otherwise(folded)
 
 
 def split_batches(docs: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of every whole text.
 
     Null and empty texts have no ids. One row per input row; repeated rows and
-    null ids pass through. Further columns are ignored.
+    null ids pass through. Further columns are ignored. The ids are written once,
+    so that decoding runs beside neither splitting nor merging.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = split_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
@@ -138,7 +142,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for at in range(0, len(done), 1000):
                     yield pa.record_batch([ids[at:at + 1000].cast(pa.int64()), pa.array(done[at:at + 1000], pa.binary())], schema=schema)
 
-    return found.mapInArrow(run, "doc_id bigint, ids binary")
+    return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
