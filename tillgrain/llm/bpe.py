@@ -27,7 +27,7 @@ from tillgrain.llm.common import settled, slices
 MAPS = 1 << 15
 NONE = 1 << 30
 #: Text bytes of the documents that share one row of distinct words.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=4)
@@ -126,8 +126,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = split_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    maps = rank_map(docs.sparkSession, path)
-    found = rows.select("doc_ids", "counts", "places", F.transform("words", lambda w: merged_ids(w, maps)).alias("tokens"))
+    # bound once: every use of a literal would be a copy of it in the plan and in each task
+    tokens = let(rank_map(docs.sparkSession, path), lambda maps: F.transform("words", lambda w: merged_ids(w, maps)))
+    found = rows.select("doc_ids", "counts", "places", tokens.alias("tokens"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
