@@ -321,25 +321,23 @@ def special_days(sales: DataFrame) -> DataFrame:
     mean = money(F.col("rev")) / F.col("days")
     normal = by_occ.filter(F.col("occasion") == "Normal Day").select("user_id", mean.alias("normal"))
     peak = days.groupBy("user_id").agg(F.min_by("ds", F.struct(-F.col("rev"), F.col("ds"))).alias("peak_ds"))
-    # events are calendar rows (days x labels), so the nearest-event join is bounded
-    events = calendar.calendar(sales.sparkSession).filter(
-        F.col("occasion").isin("Ramadan", "Eid al-Fitr", "Eid al-Adha", "Saudi National Day", "Saudi Founding Day")
-    ).select(F.col("ds").alias("event_ds"), F.col("occasion").alias("event"))
-    reach = peak.select("user_id", "peak_ds", F.explode(F.sequence(F.date_sub("peak_ds", 400), F.date_add("peak_ds", 400))).alias("event_ds"))
-    nearest = (
-        reach.join(F.broadcast(events), "event_ds")
-        .groupBy("user_id", "peak_ds")
-        .agg(F.min_by(
-            F.struct("event", "event_ds"),
-            F.struct(F.abs(F.datediff("event_ds", "peak_ds")), F.col("event_ds")),
-        ).alias("near"))
-        .select(
-            "user_id", "peak_ds", F.col("near.event").alias("peak_event"),
-            F.datediff("near.event_ds", "peak_ds").cast("int").alias("peak_event_in_days"),
-        )
+    # the events before and after every calendar day; the calendar has a fixed number of days
+    is_event = F.col("occasion").isin("Ramadan", "Eid al-Fitr", "Eid al-Adha", "Saudi National Day", "Saudi Founding Day")
+    event = F.when(is_event, F.struct(F.col("occasion").alias("event"), F.col("ds").alias("event_ds")))
+    by_day = Window.orderBy("ds")
+    around = calendar.calendar(sales.sparkSession).select(
+        F.col("ds").alias("peak_ds"),
+        F.last(event, ignorenulls=True).over(by_day).alias("past"),
+        F.first(event, ignorenulls=True).over(by_day.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("coming"),
+    )
+    ahead = F.datediff("coming.event_ds", "peak_ds") < F.datediff("peak_ds", "past.event_ds")
+    near = F.when(F.col("past").isNull() | ahead, F.col("coming")).otherwise(F.col("past"))
+    nearest = peak.join(F.broadcast(around), "peak_ds", "left").select(
+        "user_id", "peak_ds", near["event"].alias("peak_event"),
+        F.datediff(near["event_ds"], "peak_ds").cast("int").alias("peak_event_in_days"),
     )
     return (
-        by_occ.join(normal, "user_id", "left").join(nearest, "user_id")
+        by_occ.join(normal, "user_id", "left").join(nearest, "user_id", "left")
         .select(
             "user_id", "occasion", F.col("days"), rnd(mean).alias("avg_revenue"),
             pct_change(F.col("normal"), mean).alias("lift_pct"),

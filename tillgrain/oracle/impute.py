@@ -14,14 +14,17 @@ block("imp_base_rows", f"""
 SELECT s.order_date AS ds, s.product, {period('s.hour')} AS time_period, c.occasion, c.season_met AS season, c.dow, s.price_cents, s.cost_cents, {big('sum(s.quantity)')} AS quantity
 FROM real_sales s JOIN cal c ON c.ds = s.order_date GROUP BY ALL""")
 block("gap_grid", "SELECT p.product, g.*, t.time_period FROM (SELECT DISTINCT product FROM real_sales) p CROSS JOIN gap_days g CROSS JOIN periods t")
+def near_rows(order: str) -> str:
+    """One history row per cell and day, for the searches of the nearest day."""
+    return f"""(SELECT product, time_period, occasion, dow, ds, quantity FROM imp_base_rows
+  QUALIFY row_number() OVER (PARTITION BY product, time_period, occasion, dow, ds ORDER BY price_cents{order}, cost_cents{order}) = 1)"""
+
+
+SAME_CELL = "{0}.product = g.product AND {0}.time_period = g.time_period AND {0}.occasion = g.occasion AND {0}.dow = g.dow"
 block("gap_hits", f"""
 SELECT g.*, b.quantity AS qty_before, a.quantity AS qty_after FROM gap_grid g
-LEFT JOIN (SELECT g2.product, g2.time_period, g2.ds, h.quantity FROM gap_grid g2 JOIN imp_base_rows h
-   ON h.product = g2.product AND h.time_period = g2.time_period AND h.occasion = g2.occasion AND h.dow = g2.dow AND h.ds < g2.ds
-   QUALIFY row_number() OVER (PARTITION BY g2.product, g2.time_period, g2.ds ORDER BY h.ds DESC, h.price_cents DESC, h.cost_cents DESC) = 1) b USING (product, time_period, ds)
-LEFT JOIN (SELECT g2.product, g2.time_period, g2.ds, h.quantity FROM gap_grid g2 JOIN imp_base_rows h
-   ON h.product = g2.product AND h.time_period = g2.time_period AND h.occasion = g2.occasion AND h.dow = g2.dow AND h.ds > g2.ds
-   QUALIFY row_number() OVER (PARTITION BY g2.product, g2.time_period, g2.ds ORDER BY h.ds, h.price_cents, h.cost_cents) = 1) a USING (product, time_period, ds)
+ASOF LEFT JOIN {near_rows(' DESC')} b ON {SAME_CELL.format('b')} AND g.ds > b.ds
+ASOF LEFT JOIN {near_rows('')} a ON {SAME_CELL.format('a')} AND g.ds < a.ds
 WHERE b.quantity IS NOT NULL OR a.quantity IS NOT NULL""")
 block("gap_filled", f"""
 SELECT *, coalesce({whole('(qty_before + qty_after) / 2e0')}, qty_before, qty_after) AS quantity FROM gap_hits""")
