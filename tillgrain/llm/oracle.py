@@ -50,4 +50,31 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) A
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op4_host_quality": OP4, "op5_exact_blocks": OP5, "op10_substring_windows": OP10}
+# crc32 of the decimal doc_id bit by bit; equal words at a lag in one piece are a
+# run's word pairs, and of several lags on one stretch the least is its period
+OP13 = rf"""
+WITH w AS (SELECT doc_id, {WORDS} AS w0, len({WORDS}) AS n FROM documents),
+crc AS (
+  SELECT doc_id, w0, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), list_transform(range(8), lambda z: CAST(-1 AS BIGINT)))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) AS h FROM w),
+place AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS m FROM crc),
+planted AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w0[i + 1] ELSE w0[a + (i - a) % (1 + (n - a) // (3 + m)) + 1] END) ELSE w0 END AS words
+  FROM place),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM planted),
+pairs AS (SELECT y.doc_id, y.i - x.i AS q, y.i FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+pieces AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM pieces GROUP BY doc_id, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS kept FROM word t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op4_host_quality": OP4, "op5_exact_blocks": OP5, "op10_substring_windows": OP10, "op13_periodic_runs": OP13}
