@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,9 @@ from tillgrain.llm.common import settled, slices
 from tillgrain.llm.packing import encoder
 
 #: Text bytes aligned together; their distinct id pairs are what a batch sends.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
+#: words whose ids a worker remembers; beyond that it starts anew
+KNOWN = 1 << 17
 _CHUNK = re.compile(" +[^ ]*")
 _JOINTS = (b",", b"|", b";", b"")
 
@@ -43,6 +46,7 @@ class Sides:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         # pieces that hold a space after another character would join chunks
+        self.known: dict[str, list[int]] = {" ": [self.b.piece_to_id("▁")]}  # a text's last space: an empty string would get none
         self.whole = any(re.search("[^▁]▁", p) for p in pieces)
         decimal = [b"%d" % i for i in range(max(len(self.bytes_a), len(pieces)))]
         self.written = [d + joint for joint in _JOINTS for d in decimal]
@@ -56,17 +60,18 @@ class Sides:
         the end of a word and the space after it, so distinct words are encoded once."""
         if self.whole:
             return [np.array(ids, np.int64) for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
-        seen: dict[str, int] = {}
-        places = []
-        for t in texts:
-            chunks = _CHUNK.findall(t)
-            places.append(np.fromiter((seen.setdefault(c, len(seen)) for c in chunks), np.int64, len(chunks)))
-        ids = self.b.encode([c[1:] for c in seen], num_threads=1)
-        if " " in seen:  # a text's last space: an empty string would get none
-            ids[seen[" "]] = [self.b.piece_to_id("▁")]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(offsets[-1]))
-        return [gathered(offsets, flat, p)[0] for p in places]
+        split = [_CHUNK.findall(t) for t in texts]
+        counts = np.cumsum([0, *map(len, split)])
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.known) + len(words) > KNOWN:
+            self.known = {" ": self.known[" "]}
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self.b.encode([w[1:] for w in new], num_threads=1)))
+        ids = [self.known[w] for w in words]
+        offsets = np.cumsum([0, *map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(offsets[-1]))
+        return [gathered(offsets, flat, places[a:b])[0] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -132,10 +137,14 @@ def aligned(both: Sides, texts: list[str | None], overlaps: bool) -> tuple[list[
     return counts, pairs, written
 
 
+def place_type(n: int) -> type:
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def batches_of(docs: DataFrame, path_a: str, path_b: str, overlaps: bool, with_groups: bool) -> DataFrame:
     """A row for each batch of texts: per text its counts and the digest of its
     groups; the distinct id pairs of the batch, how often it links them, and the
-    place of every link's pair among them (int32)."""
+    place of every link's pair among them (as few bytes as hold them)."""
     fields = [("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.string())),
               ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.binary())]
     ddl = "batch bigint, doc_ids array<bigint>, sizes array<bigint>, digests array<string>, pairs array<bigint>, counts array<bigint>, places binary"
@@ -150,7 +159,7 @@ def batches_of(docs: DataFrame, path_a: str, path_b: str, overlaps: bool, with_g
             counts, links, written = aligned(both, batch.column("text").to_pylist(), overlaps)
             pairs, places, times = np.unique(links, return_inverse=True, return_counts=True)
             row = [number, batch.column("doc_id").to_pylist(), [n for c in counts for n in c],
-                   [hashlib.sha256(w).hexdigest() if w else "" for w in written], pairs, times, places.astype(np.int32).tobytes()]
+                   [hashlib.sha256(w).hexdigest() if w else "" for w in written], pairs, times, places.astype(place_type(len(pairs))).tobytes()]
             if with_groups:
                 row.append([w.decode() for w in written])
             yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
@@ -194,7 +203,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         for row in rows:
             for k in range(row.num_rows):
                 sizes = row.column("sizes")[k].values.to_numpy().reshape(-1, 4)
-                places = np.frombuffer(row.column("places")[k].as_py(), np.int32)
+                places = np.frombuffer(row.column("places")[k].as_py(), place_type(row.column("n_pairs")[k].as_py()))
                 links = np.concatenate([[0], np.cumsum(sizes[:, 3])])
                 total, best = np.zeros(len(places) + 1, np.int64), np.zeros(len(places) + 1, np.int64)
                 looked = row.column("looked")[k]
@@ -210,4 +219,6 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
                 yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     kept = ["doc_ids", "sizes", "digests", "places", *(["groups"] if with_groups else [])]
-    return settled(batches.select("batch", *kept).join(back, "batch", "left").select(*kept, "looked").mapInArrow(run, ddl), "alignment")
+    size = F.size("pairs").alias("n_pairs")
+    joined = batches.select("batch", *kept, size).join(settled(back, "looked-up"), "batch", "left")
+    return settled(joined.select(*kept, "n_pairs", "looked").mapInArrow(run, ddl), "alignment")
