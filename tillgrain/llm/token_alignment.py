@@ -29,8 +29,6 @@ from tillgrain.llm.packing import encoder
 
 #: Text bytes aligned together; their distinct id pairs are what a batch sends.
 BATCH_BYTES = 1 << 19
-#: words whose ids a worker remembers; beyond that it starts anew
-KNOWN = 1 << 17
 _CHUNK = re.compile(" +[^ ]*")
 _JOINTS = (b",", b"|", b";", b"")
 
@@ -46,7 +44,6 @@ class Sides:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         # pieces that hold a space after another character would join chunks
-        self.known: dict[str, list[int]] = {" ": [self.b.piece_to_id("▁")]}  # a text's last space: an empty string would get none
         self.whole = any(re.search("[^▁]▁", p) for p in pieces)
         decimal = [b"%d" % i for i in range(max(len(self.bytes_a), len(pieces)))]
         self.written = [d + joint for joint in _JOINTS for d in decimal]
@@ -64,11 +61,9 @@ class Sides:
         counts = np.cumsum([0, *map(len, split)])
         coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
         words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) + len(words) > KNOWN:
-            self.known = {" ": self.known[" "]}
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.b.encode([w[1:] for w in new], num_threads=1)))
-        ids = [self.known[w] for w in words]
+        ids = self.b.encode([w[1:] for w in words], num_threads=1)
+        if " " in words:  # a text's last space: an empty string would get none
+            ids[words.index(" ")] = [self.b.piece_to_id("▁")]
         offsets = np.cumsum([0, *map(len, ids)])
         flat = np.fromiter(chain.from_iterable(ids), np.int64, int(offsets[-1]))
         return [gathered(offsets, flat, places[a:b])[0] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
