@@ -14,39 +14,80 @@ from tillgrain.functions import labels
 from tillgrain.functions.numeric import micro_mean, micro_sum, rnd, share, whole
 from tillgrain.functions.ranking import top_k
 from tillgrain.functions.tables import values
-from tillgrain.operators import calendar
-from tillgrain.operators.forecast import naive_dow
+from tillgrain.operators import calendar, factored
+from tillgrain.operators.forecast import cells, naive_dow
 
 TINY = 1e-9
 
 
-def folds(history: DataFrame, real: DataFrame, plan: list[tuple[str, str, int]]) -> DataFrame:
-    """Rolling origins in one job: train up to each cutoff, score the days after
-    it. ``history`` is (user_id, ds, y); ``real`` the same of real rows only."""
-    f = values(history.sparkSession, plan, "fold string, cutoff string, horizon int").withColumn("cutoff", F.col("cutoff").cast("date"))
-    train = history.crossJoin(F.broadcast(f)).filter(F.col("ds") <= F.col("cutoff"))
-    ahead = train.select("user_id", "fold", "cutoff", "horizon").distinct().select(
-        "user_id", "fold", "cutoff", F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add(F.col("cutoff"), F.col("horizon")))).alias("ds")
+UF = ["user_id", "fold"]
+MODELS = ("raw", "floored", "cells", "service", "naive_dow", "naive_mean")
+#: the forecast that slices and pattern measures look at
+HEADLINE = "floored"
+
+
+def plan_table(history: DataFrame, plan: list[tuple[str, str, int]]) -> DataFrame:
+    f = values(history.sparkSession, plan, "fold string, cutoff string, horizon int")
+    return f.withColumn("cutoff", F.col("cutoff").cast("date"))
+
+
+def folds(history: DataFrame, fitted: DataFrame, real: DataFrame, plan: list[tuple[str, str, int]]) -> DataFrame:
+    """Rolling origins in one job: what each model says about the days after a
+    cutoff. ``history`` is (user_id, ds, y), ``real`` the same of real rows only,
+    ``fitted`` the model's values (user_id, model, ds, yhat) where ``<fold>`` has
+    learned without partial days and ``<fold>-all`` from all days.
+
+    raw is the model, floored lifts it to the 25th percentile of the weekday,
+    cells is what the shares split up, service brings that to the historical level.
+    """
+    train = history.crossJoin(F.broadcast(plan_table(history, plan))).filter(F.col("ds") <= F.col("cutoff"))
+    span = F.datediff(F.max("ds"), F.min("ds")) + 1
+    known = train.groupBy(*UF, "cutoff", "horizon").agg((F.sum("y") / span).alias("per_day"), rnd(micro_mean(F.col("y")), 6).alias("naive_mean"))
+    ahead = known.select(
+        *UF, "cutoff", "per_day", "naive_mean",
+        F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add(F.col("cutoff"), F.col("horizon")))).alias("ds")
     )
-    keys = ("user_id", "fold")
-    level = train.groupBy(*keys).agg(rnd(micro_mean(F.col("y")), 6).alias("yhat_mean"))
+    by_dow = train.withColumn("dow", labels.dow(F.col("ds")))
+    usual = by_dow.groupBy(*UF, "dow").agg(F.median("y").alias("usual"))
+    floor = by_dow.join(usual, [*UF, "dow"]).filter(F.col("y") >= F.col("usual") * 0.3).groupBy(*UF, "dow").agg(F.percentile("y", 0.25).alias("p25"))
+    raw = fitted.select("user_id", F.col("model").alias("fold"), "ds", F.col("yhat").alias("raw"))
+    every = fitted.filter(F.col("model").endswith("-all")).select("user_id", F.regexp_replace("model", "-all$", "").alias("fold"), "ds", F.col("yhat").alias("cells"))
+    rows = ahead.join(raw, [*UF, "ds"]).join(every, [*UF, "ds"]).withColumn("dow", labels.dow(F.col("ds"))).join(floor, [*UF, "dow"], "left")
+    means = rows.groupBy(*UF).agg(micro_mean(F.col("cells")).alias("mean"))
+    ratio = F.least(F.greatest(F.try_divide(F.col("per_day"), F.col("mean")), F.lit(0.1)), F.lit(20.0))
+    scale = F.when((F.col("mean") > 0) & (F.abs(ratio - 1) >= 0.05), ratio).otherwise(1.0)
     truth = real.select("user_id", "ds", F.col("y").alias("y_real"))
+    naive = naive_dow(train, ahead.select(*UF, "ds"), tuple(UF)).withColumnRenamed("yhat", "naive_dow")
     return (
-        naive_dow(train, ahead, keys).join(level, list(keys)).join(truth, ["user_id", "ds"], "left")
+        rows.join(means, UF).withColumn("scale", rnd(scale, 6)).join(naive, [*UF, "ds"]).join(truth, ["user_id", "ds"], "left")
         .select(
-            *keys, "cutoff", "ds", F.datediff("ds", "cutoff").cast("int").alias("horizon_day"), "yhat", "yhat_mean",
+            *UF, "cutoff", "ds", F.datediff("ds", "cutoff").cast("int").alias("horizon_day"), "raw",
+            rnd(F.greatest("raw", F.coalesce("p25", F.lit(0.0))), 4).alias("floored"), "cells",
+            rnd(F.col("cells") * F.col("scale"), 6).alias("service"), "scale", "naive_dow", "naive_mean",
             F.coalesce("y_real", F.lit(0)).alias("y"), F.col("y_real").isNull().alias("is_imputed_day"),
         )
     )
 
 
+def fold_cells(rows: DataFrame, plan: list[tuple[str, str, int]]) -> DataFrame:
+    """History cells as each fold knew them. A line is counted once, in the first
+    fold that has seen it; later folds add the cells of the earlier ones up."""
+    first = F.lit(len(plan))
+    for i, (_, cutoff, _) in reversed(list(enumerate(plan))):
+        first = F.when(F.col("order_date") <= F.lit(cutoff).cast("date"), i).otherwise(first)
+    counted = cells(rows.withColumn("first", first).filter(F.col("first") < len(plan)), ["user_id", "first"])
+    names = F.array(*[F.lit(name) for name, _, _ in plan])
+    grown = counted.withColumn("i", F.explode(F.sequence("first", F.lit(len(plan) - 1))))
+    return grown.groupBy("user_id", F.get(names, F.col("i")).alias("fold"), "product", "season", "dow", "time_period").agg(F.sum("qty").alias("qty"))
+
+
 def horizon_bucket(day: Column) -> Column:
     return F.when(day <= 7, "1-7d").when(day <= 14, "8-14d").when(day <= 21, "15-21d").when(day <= 31, "22-31d")
 
 
 def real_days(scored: DataFrame) -> DataFrame:
     """Real days with sales only, with the columns to slice by."""
-    rows = scored.filter(~F.col("is_imputed_day") & (F.col("y") > 0))
+    rows = scored.filter(~F.col("is_imputed_day") & (F.col("y") > 0)).withColumn("yhat", F.col(HEADLINE))
     return calendar.with_calendar(rows, ["occasion"]).withColumns({
         "occ_family": labels.occasion_family(F.col("occasion")),
         "month": F.date_format("ds", "yyyy-MM"),
@@ -66,27 +107,50 @@ def metrics(rows: DataFrame, keys: list[str], yhat: str = "yhat", y: str = "y")
     )
 
 
-def sliced(rows: DataFrame) -> DataFrame:
-    """The metrics by each slicing column, in one aggregation."""
+def period_rows(scored: DataFrame, cells: DataFrame, real: DataFrame) -> DataFrame:
+    """Forecast and actual units of every real day and period: the headline
+    forecast split by the shares its fold knew."""
+    days = scored.select(*UF, "ds", "yhat")
+    split = factored.by_day(days, cells, {"yhat": F.lit(1.0)}, ["time_period"], by=UF)
+    truth = real.groupBy("user_id", F.col("order_date").alias("ds"), labels.time_period(F.col("hour")).alias("time_period")).agg(F.sum("quantity").alias("y"))
+    return split.join(truth, ["user_id", "ds", "time_period"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def test_units(scored: DataFrame, real: DataFrame) -> DataFrame:
+    """Real units of every fold's scored days by product and period."""
+    rows = real.withColumn("ds", F.col("order_date")).withColumn("time_period", labels.time_period(F.col("hour")))
+    return rows.join(scored.select(*UF, "ds"), ["user_id", "ds"]).groupBy(*UF, "ds", "product", "time_period").agg(F.sum("quantity").alias("y"))
+
+
+def top_product_rows(scored: DataFrame, cells: DataFrame, real: DataFrame, n: int = 15) -> DataFrame:
+    """Forecast and actual units per scored day of the products sold most in the folds' test days."""
+    sold = test_units(scored, real).groupBy(*UF, "ds", "product").agg(F.sum("y").alias("y"))
+    volume = sold.groupBy("user_id", "product").agg(F.sum("y").alias("volume"))
+    top = top_k(volume, ["user_id"], [F.desc("volume"), F.col("product")], n).select("user_id", "product")
+    split = factored.product_days(scored.select(*UF, "ds", "yhat"), cells, UF, top)
+    return split.join(sold, [*UF, "ds", "product"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def sliced(rows: DataFrame, periods: DataFrame, products: DataFrame) -> DataFrame:
+    """The metrics by each slicing column, in one aggregation; by period and by
+    product from the split forecast."""
     dims = ("fold", "day_name", "occ_family", "horizon_bucket", "month")
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
-    return metrics(rows.select("*", F.inline(pairs)), ["dimension", "value"])
+    one = lambda df, name: df.select("yhat", F.col("y").cast("bigint").alias("y"), F.lit(name).alias("dimension"), F.col(name).alias("value"))
+    every = rows.select("yhat", "y", F.inline(pairs)).unionByName(one(periods, "time_period")).unionByName(one(products, "product"))
+    return metrics(every, ["dimension", "value"])
 
 
 def model_compare(rows: DataFrame) -> DataFrame:
-    """Weekday mean and overall mean of the training rows, side by side."""
-    pairs = F.array(
-        F.struct(F.lit("weekday mean").alias("model"), F.col("yhat").alias("pred")),
-        F.struct(F.lit("training mean").alias("model"), F.col("yhat_mean").alias("pred")),
-    )
+    """All variants of the model and the naive baselines, side by side."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in MODELS])
     return metrics(rows.select("user_id", "y", F.inline(pairs)), ["user_id", "model"], "pred")
 
 
 def inflation(rows: DataFrame, slot_total: DataFrame) -> DataFrame:
-    """Ratio of the cell sum before normalising to the model total, by fold."""
-    ratio = rows.withColumns({"season": labels.season_local(F.col("ds")), "dow": labels.dow(F.col("ds"))}).join(
-        slot_total, ["user_id", "season", "dow"], "left"
-    ).withColumn("ratio", rnd(F.coalesce("slot_sum", F.lit(1.0)), 6))
+    """Ratio of the cell sum before normalising to the headline, by fold."""
+    keyed = factored.with_slot(rows).join(slot_total, [*UF, "season", "dow"], "left")
+    ratio = keyed.withColumn("ratio", rnd(F.try_divide(F.col("cells") * F.coalesce("slot_sum", F.lit(1.0)), F.col("yhat")), 6))
     return ratio.groupBy("fold").agg(
         rnd(micro_mean(F.col("ratio")), 3).alias("mean"), rnd(F.median("ratio"), 3).alias("median"),
         rnd(F.min("ratio"), 3).alias("min"), rnd(F.max("ratio"), 3).alias("max"),
@@ -120,25 +184,17 @@ def renormalised(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def cell_totals(actuals: DataFrame, real_dates: DataFrame) -> DataFrame:
-    """Forecast and actual per period and per product on real days."""
-    rows = actuals.filter(F.col("type") == "actual").join(real_dates, ["user_id", "ds"], "left_semi")
+def cell_totals(scored: DataFrame, cells: DataFrame, real: DataFrame) -> DataFrame:
+    """Forecast and actual of the scored days per period and per product."""
+    split = factored.totals(scored.select(*UF, "ds", "yhat"), cells, UF)
+    truth = test_units(scored, real).groupBy(*UF, "product", "time_period").agg(F.sum("y").alias("y"))
+    rows = split.join(truth, [*UF, "product", "time_period"], "left")
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("name")) for d in ("time_period", "product")])
-    return rows.select("user_id", "y", "yhat", F.inline(pairs)).groupBy("user_id", "dimension", "name").agg(
-        rnd(micro_sum(F.col("yhat")), 3).alias("yhat"), F.sum("y").alias("y")
+    return rows.select("user_id", "total", "y", F.inline(pairs)).groupBy("user_id", "dimension", "name").agg(
+        rnd(micro_sum(F.col("total")), 3).alias("yhat"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")
     )
 
 
-def top_product_metrics(actuals: DataFrame, n: int = 15) -> DataFrame:
-    """Metrics of the largest products of every workspace by observed units."""
-    days = actuals.filter(F.col("type") == "actual").groupBy("user_id", "product", "ds").agg(
-        micro_sum(F.col("yhat")).alias("yhat"), F.sum("y").alias("y")
-    )
-    volume = days.groupBy("user_id", "product").agg(F.sum("y").alias("volume"))
-    top = top_k(volume, ["user_id"], [F.desc("volume"), F.col("product")], n).select("user_id", "product")
-    return metrics(days.join(top, ["user_id", "product"], "left_semi"), ["user_id", "product"])
-
-
 # -- pattern measures ----------------------------------------------------------
 
 
@@ -321,13 +377,40 @@ def rank_agreement(ranked: DataFrame, name: str, n: int) -> DataFrame:
     return rho.join(top, "user_id")
 
 
+PARTS = ("level", "weekly", "holidays", "seasons", "weather")
+
+
 def components(fitted: DataFrame) -> DataFrame:
-    """Which parts of the model are active, and its strongest weekday."""
-    parts = ("weekly", "holidays", "seasons", "weather")
-    peak = fitted.groupBy("user_id", labels.day_name(F.col("ds")).alias("day")).agg(F.avg("weekly").alias("m")).groupBy("user_id").agg(F.max_by("day", "m").alias("weekly_peak"))
-    return fitted.groupBy("user_id").agg(
-        *[(F.sum(F.abs(c)) > TINY).alias(f"{c}_active") for c in parts], rnd(F.stddev_samp("weather"), 3).alias("weather_std")
-    ).join(peak, "user_id")
+    """Which parts of the model are active, the mean effect of each weekday and
+    the strongest one, and what the holidays do on first Eid days and paydays."""
+    dow = labels.dow(F.col("ds"))
+    hijri = calendar.with_calendar(fitted, ["occasion"]).withColumn("dow", dow)
+    eid = F.col("occasion").startswith("Eid")
+    pay = F.col("occasion") == "Payday"
+    means = [rnd(F.avg(F.when(F.col("dow") == i, F.col("weekly"))), 3).alias(f"weekly_{n.lower()}") for i, n in enumerate(labels.WEEKDAYS)]
+    agg = hijri.groupBy("user_id").agg(
+        *[(F.sum(F.abs(c)) > TINY).alias(f"{c}_active") for c in PARTS], rnd(F.stddev_samp("weather"), 3).alias("weather_std"), *means,
+        rnd(F.avg(F.when(eid, F.col("holidays"))), 3).alias("eid_effect"), rnd(F.avg(F.when(pay, F.col("holidays"))), 3).alias("payday_effect"),
+    )
+    # the first of equal effects in the order of the week
+    pairs = F.array_sort(F.array_compact(F.array(*[
+        F.when(F.col(f"weekly_{n.lower()}").isNotNull(), F.struct((-F.col(f"weekly_{n.lower()}")).alias("e"), F.lit(i).alias("i"), F.lit(n).alias("day")))
+        for i, n in enumerate(labels.WEEKDAYS)])))
+    return agg.withColumn("weekly_peak", F.get(pairs, F.lit(0))["day"])
+
+
+def component_sample(fitted: DataFrame, dates: list[str]) -> DataFrame:
+    """The parts of the model on given dates, where the model covers them."""
+    return fitted.filter(F.col("ds").isin(*[F.lit(d).cast("date") for d in dates])).select(
+        "user_id", "ds", *[rnd(F.col(c), 3).alias(c) for c in PARTS])
+
+
+def spot_checks(spark, cases: list[tuple[str, str, bool]]) -> DataFrame:
+    """Labels of given dates next to the ones they must have."""
+    days = values(spark, cases, "ds string, expected string, expected_payday boolean").withColumn("ds", F.col("ds").cast("date"))
+    found = calendar.with_calendar(days, ["occasion", "is_payday"])
+    ok = F.contains(F.lower("occasion"), F.lower("expected")) & (F.col("is_payday") == F.col("expected_payday"))
+    return found.withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
 def gates(parts: dict[str, DataFrame]) -> DataFrame:

@@ -1,134 +1,283 @@
-"""Additive regression per series: the only step that leaves the JVM.
-
-A group is one series of daily totals, so its size is bounded by the calendar.
-The prior of each block of coefficients becomes a ridge penalty.
+"""Additive regression of many daily series in one pass.
+
+The design of a date (level, weekly waves, holiday indicators, season flags,
+temperature) is the same for every series, so it is one matrix over the
+calendar. A task streams its series; each is bounded by the calendar. The
+weighted sums of a series are built once, segment by segment between the cutoffs
+of all its models, and added up: a rolling origin costs one solve, not one pass.
+The systems of many series are solved as one stack. The prior of each block of
+coefficients becomes a ridge penalty.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tillgrain.functions import labels
-from tillgrain.functions.numeric import rnd, share
+from tillgrain.functions.numeric import micro_mean, rnd, share
 from tillgrain.operators import calendar
 from tillgrain.operators.forecast import FEATURES, SEASON_FLAGS, WEEKLY, weighted
 
-# Prior scales of the weekly and of all other coefficients.
-PRIOR_WEEKLY, PRIOR_OTHER, PRIOR_LEVEL = 25.0, 500.0, 5.0
+# Prior scale of the level; all other priors are wide, so that the
+# smallest penalty, which keeps rarely seen indicators near zero, decides.
+PRIOR_LEVEL, MIN_PENALTY = 5.0, 1.0
 BLOCKS = {"weekly": WEEKLY, "holidays": calendar.HOLIDAY_KEYS, "seasons": SEASON_FLAGS, "weather": ["temp_max"]}
-#: smallest share of the penalty, keeps rarely seen indicators near zero
-MIN_PENALTY = 1.0
-
-
-def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, floor: float = MIN_PENALTY) -> np.ndarray:
-    """Weighted ridge by the normal equations; the first column is the level."""
-    scale = max(float(np.abs(y).max()), 1e-9)
-    z = y / scale
-    noise = max(float(np.average((z - np.average(z, weights=weight)) ** 2, weights=weight)), 1e-9)
-    penalty = np.maximum(noise / prior**2, floor)
-    penalty[0] = noise / PRIOR_LEVEL**2
-    gram = (x * weight[:, None]).T @ x + np.diag(penalty)
-    return np.linalg.solve(gram, (x * weight[:, None]).T @ z) * scale
-
-
-def fit_group(pdf: pd.DataFrame, drop: str | None = None) -> pd.DataFrame:
-    """Fit on rows with ``train``, predict every row, report components."""
-    used = [f for block, names in BLOCKS.items() if block != drop for f in names]
-    x = pdf[used].to_numpy(dtype=float)
-    train = pdf["train"].to_numpy(dtype=bool)
-    out = pdf[["ds", "y", "is_imputed", "train"]].copy()
-    if not train.any():
-        return out.assign(yhat=0.0, level=0.0, weekly=0.0, holidays=0.0, seasons=0.0, weather=0.0)
-    center = x[train].mean(axis=0)
-    spread = np.where(x[train].std(axis=0) > 1e-9, x[train].std(axis=0), 1.0)
-    standard = np.array([f == "temp_max" for f in used])
-    z = np.where(standard, (x - center) / spread, x)
-    design = np.column_stack([np.ones(len(z)), z])
-    prior = np.array([PRIOR_LEVEL] + [PRIOR_WEEKLY if f in WEEKLY else PRIOR_OTHER for f in used])
-    beta = solve(design[train], pdf.loc[train, "y"].to_numpy(dtype=float), pdf.loc[train, "weight"].to_numpy(dtype=float), prior)
-    out["yhat"] = np.maximum(design @ beta, 0.0)
-    out["level"] = beta[0]
-    effect = z * beta[1:]
-    for block in BLOCKS:
-        mask = np.array([f in BLOCKS[block] for f in used], dtype=bool)
-        out[block] = effect[:, mask].sum(axis=1) if mask.any() else 0.0
-    return out
-
-
-OUT = "ds date, y double, is_imputed boolean, train boolean, yhat double, level double, weekly double, holidays double, seasons double, weather double"
+PARTIAL = 0.30
+#: places of fitted values: sums of a series agree to far more whatever the order
+DIGITS = 3
+#: systems solved at a time, and rows of a result batch
+STACK, OUT_ROWS = 256, 50_000
+#: the design is sent to every task, so the calendar it covers is bounded
+MOST_DAYS = 100_000
+EPOCH = dt.date(1970, 1, 1)
+
+
+@dataclass(frozen=True)
+class Model:
+    """One fit of every series: the days it learns from and those it predicts.
+
+    It learns from the days up to ``cutoff``, from the first ``part`` of the
+    days, or from all; ``robust`` leaves out days under 30 % of the median of
+    their weekday; ``drop`` names a block of features to leave out. ``days`` is
+    ``own`` (the days of the series), ``span`` (every day from its first to
+    ``until``) or ``after`` (``horizon`` days past the cutoff).
+    """
+
+    name: str
+    cutoff: str | None = None
+    part: float | None = None
+    robust: bool = False
+    drop: str | None = None
+    days: str = "own"
+    horizon: int = 0
+
+
+class Design:
+    """Rows of the feature matrix by day; column 0 is the level."""
+
+    def __init__(self, first: int, matrix: np.ndarray) -> None:
+        self.first, self.x = first, np.column_stack([np.ones(len(matrix)), matrix])
+        self.temp = 1 + FEATURES.index("temp_max")
+        self.x[:, self.temp] = (self.x[:, self.temp] - calendar.DEFAULT_TEMP) / 10.0
+        self.blocks = {b: np.array([1 + FEATURES.index(f) for f in names]) for b, names in BLOCKS.items()}
+
+    def rows(self, days: np.ndarray) -> np.ndarray:
+        return self.x[days - self.first]
+
+
+def design_of(features: DataFrame) -> Design:
+    """The feature table (one row per date) as a matrix without gaps."""
+    table = features.select("ds", *FEATURES).orderBy("ds").limit(MOST_DAYS + 1).toArrow()
+    days = table.column("ds").cast(pa.int32()).to_numpy()
+    if len(days) > MOST_DAYS or (len(days) and days[-1] - days[0] + 1 != len(days)):
+        raise ValueError(f"the design needs at most {MOST_DAYS} days without a gap")
+    matrix = np.column_stack([table.column(f).cast(pa.float64()).to_numpy() for f in FEATURES])
+    return Design(int(days[0]) if len(days) else 0, matrix)
+
+
+def _day(text: str) -> int:
+    return (dt.date.fromisoformat(text) - EPOCH).days
+
+
+def learned(model: Model, days: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many of the first days a model learns from, and which of them it leaves out."""
+    n = len(days)
+    if model.cutoff is not None:
+        n = int(np.searchsorted(days, _day(model.cutoff), side="right"))
+    elif model.part is not None:
+        n = int(n * model.part)
+    out = np.zeros(n, bool)
+    if model.robust:
+        weekday = (days[:n] + 3) % 7
+        for d in range(7):
+            at = weekday == d
+            if at.any():
+                out[at] = y[:n][at] < np.median(y[:n][at]) * PARTIAL
+    return n, np.flatnonzero(out)
+
+
+def gram(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted sums of products of the columns and, last, with ``y``."""
+    return (x * weight[:, None]).T @ np.column_stack([x, y])
+
+
+def system(design: Design, sums: np.ndarray, weight: np.ndarray, y: np.ndarray, temps: np.ndarray, drop: str | None) -> tuple[np.ndarray, float, float]:
+    """Sums with the penalty added and temperature standardised by the learned
+    days; also its centre and spread."""
+    t, s = design.temp, sums.copy()
+    center, spread = float(temps.mean()), float(temps.std())
+    spread = spread if spread > 1e-9 else 1.0
+    s[t] = (s[t] - center * s[0]) / spread
+    s[:, t] = (s[:, t] - center * s[:, 0]) / spread
+    total = weight.sum()
+    mean = (weight * y).sum() / total
+    noise = max(float((weight * (y - mean) ** 2).sum() / total) / max(float(np.abs(y).max()), 1e-9) ** 2, 1e-9)
+    p = len(s)
+    s[np.arange(p), np.arange(p)] += np.concatenate([[noise / PRIOR_LEVEL**2], np.full(p - 1, MIN_PENALTY)])
+    if drop is not None:
+        gone = design.blocks[drop]
+        s[gone], s[:, gone] = 0.0, 0.0
+        s[gone, gone] = 1.0
+    return s, center, spread
+
+
+class Solver:
+    """Collects the systems of many series, solves them as a stack and hands out result batches."""
+
+    def __init__(self, design: Design, models: list[Model], keys: list[str], schema: pa.Schema) -> None:
+        self.design, self.models, self.keys, self.schema = design, models, keys, schema
+        self.waiting: list[tuple] = []
+        self.done: list[list[pa.Array]] = []
+        self.size = 0
+
+    def add(self, key: tuple, days: np.ndarray, y: np.ndarray, weight: np.ndarray, imputed: np.ndarray, until: int) -> None:
+        x = self.design.rows(days)
+        plans = [(m, *learned(m, days, y)) for m in self.models]
+        cuts = sorted({n for _, n, _ in plans if n})
+        sums, total, a = {}, 0.0, 0
+        for b in cuts:
+            total = total + gram(x[a:b], weight[a:b], y[a:b])
+            sums[b], a = total, b
+        for m, n, out in plans:
+            span = {"own": lambda: days, "span": lambda: np.arange(days[0], until + 1, dtype=days.dtype),
+                    "after": lambda: _day(m.cutoff) + 1 + np.arange(m.horizon, dtype=days.dtype)}[m.days]()
+            keep = np.delete(np.arange(n), out)
+            solved = None
+            if len(keep):
+                s = sums[n] - gram(x[out], weight[out], y[out]) if len(out) else sums[n]
+                solved = system(self.design, s, weight[keep], y[keep], x[keep, self.design.temp], m.drop)
+            self.waiting.append((key, m, span, solved, days, y, imputed, n, out))
+
+    def solve(self) -> None:
+        live = [w for w in self.waiting if w[3] is not None]
+        if live:
+            stack = np.stack([w[3][0] for w in live])
+            betas = iter(np.linalg.solve(stack[:, :, :-1], stack[:, :, -1:])[:, :, 0])
+        for key, m, span, solved, days, y, imputed, n, out in self.waiting:
+            beta, center, spread = (next(betas), *solved[1:]) if solved is not None else (np.zeros(self.design.x.shape[1]), 0.0, 1.0)
+            z = self.design.rows(span).copy()
+            z[:, self.design.temp] = (z[:, self.design.temp] - center) / spread
+            parts = {b: z[:, at] @ beta[at] for b, at in self.design.blocks.items()}
+            at = np.minimum(np.searchsorted(days, span), len(days) - 1)
+            hit = days[at] == span
+            learns = hit & (at < n) & ~np.isin(at, out)
+            rows = len(span)
+            self.done.append([
+                *[pa.array([k] * rows, f.type) for k, f in zip(key, self.schema)], pa.array([m.name] * rows, pa.string()),
+                pa.array(span.astype(np.int32)).cast(pa.date32()), pa.array(np.where(hit, y[at], 0.0), mask=~hit), pa.array(imputed[at] & hit),
+                pa.array(learns), pa.array(beta[0] + sum(parts.values())), pa.array(np.full(rows, beta[0])), *(pa.array(parts[b]) for b in BLOCKS)])
+            self.size += rows
+        self.waiting = []
+
+    def batches(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if last or len(self.waiting) >= STACK:
+            self.solve()
+        if self.done and (last or self.size >= OUT_ROWS):
+            cols = [pa.concat_arrays(c) for c in zip(*self.done)]
+            self.done, self.size = [], 0
+            yield pa.record_batch(cols, schema=self.schema)
+
+
+OUT = ("model string, ds date, y double, is_imputed boolean, train boolean, raw double, level double, "
+       "weekly double, holidays double, seasons double, weather double")
 
 
 def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Fits cost CPU, not bytes: a fixed partition count keeps the runtime from
-    merging small partitions into one task. The grouping reuses this shuffle."""
+    merging small partitions into one task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys)
 
 
-def fit(frame: DataFrame, keys: list[str], key_schema: str, variant: str | None = None) -> DataFrame:
-    """One fit per group of ``keys``. ``frame`` holds ds, y (NULL ahead),
-    is_imputed, weight, train and the features; ``variant`` names a key column
-    whose value ``no_<block>`` leaves a block of features out."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        drop = None
-        if variant is not None:
-            name = key[keys.index(variant)]
-            drop = name[3:] if name.startswith("no_") else None
-        done = fit_group(pdf, drop)
-        for i, (k, v) in enumerate(zip(keys, key)):
-            done.insert(i, k, v)
-        return done
-
-    return spread(frame, keys).groupBy(*keys).applyInPandas(run, f"{key_schema}, {OUT}")
-
-
-def frame(history: DataFrame, ahead: DataFrame | None, features: DataFrame, keys: list[str]) -> DataFrame:
-    """History rows to train on plus the days to predict, with features. The
-    feature table has one row per date, so broadcasting it is bounded."""
-    cols = [*keys, "ds", "y", "is_imputed", "weight", "train"]
-    rows = weighted(history).withColumn("y", F.col("y").cast("double"))
-    if "train" not in rows.columns:
-        rows = rows.withColumn("train", F.lit(True))
-    rows = rows.select(*cols)
-    if ahead is not None:
-        rows = rows.unionByName(ahead.select(
-            *keys, "ds", F.lit(None).cast("double").alias("y"), F.lit(False).alias("is_imputed"),
-            F.lit(1.0).alias("weight"), F.lit(False).alias("train"),
-        ))
-    return rows.join(F.broadcast(features), "ds")
-
-
-def holdout(history: DataFrame, part: float = 0.8) -> DataFrame:
-    """Mark the first 80 % of each series' days for training."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    at = F.row_number().over(w.orderBy("ds"))
-    return history.withColumn("train", at <= F.floor(F.count("*").over(w) * part))
+def fit(history: DataFrame, keys: list[str], features: DataFrame, models: list[Model]) -> DataFrame:
+    """Every model of every series: keys, model, ds, y (NULL where the series has
+    no such day), is_imputed, train, raw and its components, and ``yhat``, which is
+    ``raw`` rounded and not below 0.
+
+    ``history`` holds the keys, ds (at most once per series), y, is_imputed and,
+    for models that predict a span, ``until``. A series that gives a model nothing
+    to learn from is predicted as 0.
+    """
+    design = design_of(features)
+    rows = weighted(history)
+    if "until" not in rows.columns:
+        rows = rows.withColumn("until", F.col("ds"))
+    rows = rows.select(*keys, "ds", F.col("y").cast("double").alias("y"), "weight", "is_imputed", "until")
+    kinds = [(k, rows.schema[k].dataType) for k in keys]
+    ddl = ", ".join(f"{k} {t.simpleString()}" for k, t in kinds) + ", " + OUT
+    arrow = pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[t.simpleString()]) for k, t in kinds] + [
+        ("model", pa.string()), ("ds", pa.date32()), ("y", pa.float64()), ("is_imputed", pa.bool_()), ("train", pa.bool_()), ("raw", pa.float64()),
+        ("level", pa.float64()), *((b, pa.float64()) for b in BLOCKS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solver, held = Solver(design, models, keys, arrow), None
+
+        def series(table: pa.Table) -> tuple:
+            number = lambda c: table.column(c).cast(pa.int32()).to_numpy().astype(np.int64)
+            value = lambda c: table.column(c).to_numpy()
+            return (tuple(table.column(k)[0].as_py() for k in keys), number("ds"), value("y"), value("weight"),
+                    np.asarray(value("is_imputed"), bool), int(number("until")[-1]))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            codes = [table.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
+            starts = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+            bounds = [0, *starts.tolist()]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                solver.add(*series(table.slice(a, b - a)))
+                yield from solver.batches(False)
+            held = table.slice(bounds[-1])
+        if held is not None and held.num_rows:
+            solver.add(*series(held))
+        yield from solver.batches(True)
+
+    done = spread(rows, keys).sortWithinPartitions(*keys, "ds").mapInArrow(run, ddl)
+    return done.withColumn("yhat", rnd(F.greatest(F.col("raw"), F.lit(0.0)), DIGITS))
 
 
 def holdout_mae(fitted: DataFrame) -> DataFrame:
-    return fitted.filter(~F.col("train")).groupBy("user_id").agg(rnd(F.avg(F.abs(F.col("y") - F.col("yhat"))), 2).alias("mae"))
+    """Mean error on the days that the model of the first 80 % did not see."""
+    return fitted.filter(~F.col("train")).groupBy("user_id").agg(rnd(micro_mean(F.abs(F.col("y") - F.col("yhat"))), 2).alias("mae"))
 
 
 def split_by_period(forecast: DataFrame, cells: DataFrame) -> DataFrame:
-    """Split product totals by the product's own period shares."""
+    """Daily values of a product by its own period shares: a column each."""
     totals = cells.groupBy("user_id", "product").agg(F.sum("qty").alias("all_qty"), *[
-        F.sum(F.when(F.col("time_period") == p, F.col("qty")).otherwise(0)).alias(p) for p in labels.PERIODS
+        F.sum(F.when(F.col("time_period") == p, F.col("qty")).otherwise(0)).alias(f"qty_{p}") for p in labels.PERIODS
     ])
-    pairs = F.array(*[F.struct(F.lit(p).alias("time_period"), share(F.col(p), F.col("all_qty")).alias("ratio")) for p in labels.PERIODS])
-    ratios = totals.select("user_id", "product", F.inline(pairs))
-    return forecast.join(ratios, ["user_id", "product"]).select(
-        "user_id", "ds", "product", "time_period", rnd(F.col("yhat") * F.col("ratio"), 6).alias("yhat")
+    ratio = lambda p: share(F.col(f"qty_{p}"), F.col("all_qty"))
+    return forecast.join(totals, ["user_id", "product"]).select(
+        "user_id", "ds", "product", F.col("y").cast("bigint").alias("y"), *[rnd(rnd(F.col("yhat") * ratio(p), 10), 6).alias(p) for p in labels.PERIODS]
     )
 
 
+def long_periods(wide: DataFrame) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(p).alias("time_period"), F.col(p).alias("yhat")) for p in labels.PERIODS])
+    return wide.select("user_id", "ds", "product", F.inline(pairs))
+
+
 # -- earlier per-series script: period-level rows with label codes ------------
 
 
+def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, floor: float = MIN_PENALTY) -> np.ndarray:
+    """Weighted ridge by the normal equations; the first column is the level."""
+    scale = max(float(np.abs(y).max()), 1e-9)
+    z = y / scale
+    noise = max(float(np.average((z - np.average(z, weights=weight)) ** 2, weights=weight)), 1e-9)
+    penalty = np.maximum(noise / prior**2, floor)
+    penalty[0] = noise / PRIOR_LEVEL**2
+    gram = (x * weight[:, None]).T @ x + np.diag(penalty)
+    return np.linalg.solve(gram, (x * weight[:, None]).T @ z) * scale
+
 def dense_series(sales: DataFrame, key: str, least: int = 10) -> DataFrame:
     """Every date x period between the first and last sale of a series: missing
     quantities 0, labels carried forward then backward. Series with fewer than

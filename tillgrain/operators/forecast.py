@@ -29,9 +29,14 @@ CAP, CAP_WIDE = 2.0, 3.5
 BAND_Z = 1.282
 
 
+def model_rows(labelled: DataFrame) -> DataFrame:
+    """Lines lacking a period, season or occasion drop out."""
+    return labelled.dropna(subset=["time_period", "season", "occasion"])
+
+
 def input_frame(labelled: DataFrame) -> DataFrame:
-    """Model rows: lines lacking a period, season or occasion drop out."""
-    return labelled.dropna(subset=["time_period", "season", "occasion"]).select(
+    """The model rows with the columns a model reads."""
+    return model_rows(labelled).select(
         "user_id", "product", "category", F.col("order_date").alias("ds"), "quantity", "season", "occasion", "time_period", "is_imputed"
     )
 
@@ -118,80 +123,48 @@ def residual_stats(fitted: DataFrame, least: int = 5) -> DataFrame:
     return agg.select("user_id", rnd(pick("real_std", "all_std"), 4).alias("std"), rnd(F.when(mean == 0, 1.0).otherwise(mean), 4).alias("mean"))
 
 
-# -- shares and disaggregation ------------------------------------------------
+# -- shares --------------------------------------------------------------------
+
+USER = ["user_id"]
 
 
-def cells(sales: DataFrame) -> DataFrame:
+def cells(sales: DataFrame, by: list[str] = USER) -> DataFrame:
     """History by product, season, weekday and period: the only pass over the
     facts that shares need. Store it when several shares are built from it."""
     return sales.groupBy(
-        "user_id", "product", labels.season_local(F.col("order_date")).alias("season"),
+        *by, "product", labels.season_local(F.col("order_date")).alias("season"),
         labels.dow(F.col("order_date")).alias("dow"), labels.time_period(F.col("hour")).alias("time_period"),
     ).agg(F.sum("quantity").alias("qty"))
 
 
-def observed_share(cells: DataFrame) -> DataFrame:
+def observed_share(cells: DataFrame, by: list[str] = USER) -> DataFrame:
     """Share of a cell in the total of its season and weekday."""
-    slots = cells.groupBy("user_id", "season", "dow").agg(F.sum("qty").alias("slot_qty"))
-    return cells.join(slots, ["user_id", "season", "dow"]).select(
-        "user_id", "season", "dow", "product", "time_period", share(F.col("qty"), F.col("slot_qty")).alias("fraction")
+    slots = cells.groupBy(*by, "season", "dow").agg(F.sum("qty").alias("slot_qty"))
+    return cells.join(slots, [*by, "season", "dow"]).select(
+        *by, "season", "dow", "product", "time_period", share(F.col("qty"), F.col("slot_qty")).alias("fraction")
     )
 
 
-def product_share(cells: DataFrame) -> DataFrame:
-    total = cells.groupBy("user_id").agg(F.sum("qty").alias("all_qty"))
-    return cells.groupBy("user_id", "product").agg(F.sum("qty").alias("qty")).join(total, "user_id").select(
-        "user_id", "product", share(F.col("qty"), F.col("all_qty")).alias("product_share")
+def product_share(cells: DataFrame, by: list[str] = USER) -> DataFrame:
+    total = cells.groupBy(*by).agg(F.sum("qty").alias("all_qty"))
+    return cells.groupBy(*by, "product").agg(F.sum("qty").alias("qty")).join(total, by).select(
+        *by, "product", share(F.col("qty"), F.col("all_qty")).alias("product_share")
     )
 
 
-def period_share(cells: DataFrame) -> DataFrame:
+def period_share(cells: DataFrame, by: list[str] = USER) -> DataFrame:
     """All four periods per workspace; 0 for one that never occurred."""
-    total = cells.groupBy("user_id").agg(F.sum("qty").alias("all_qty"), *[
+    total = cells.groupBy(*by).agg(F.sum("qty").alias("all_qty"), *[
         F.sum(F.when(F.col("time_period") == p, F.col("qty")).otherwise(0)).alias(p) for p in labels.PERIODS
     ])
     pairs = F.array(*[F.struct(F.lit(p).alias("time_period"), share(F.col(p), F.col("all_qty")).alias("period_share")) for p in labels.PERIODS])
-    return total.select("user_id", F.inline(pairs))
+    return total.select(*by, F.inline(pairs))
 
 
-def fallback_share(cells: DataFrame) -> DataFrame:
+def fallback_share(cells: DataFrame, by: list[str] = USER) -> DataFrame:
     """Product share x period share for every product and period."""
-    return product_share(cells).join(period_share(cells), "user_id").select(
-        "user_id", "product", "time_period", (F.col("product_share") * F.col("period_share")).alias("fallback")
-    )
-
-
-def slot_total(cells: DataFrame) -> DataFrame:
-    """What the shares of a slot add up to before normalising. The fallbacks of
-    all cells sum to 1, so only observed cells are needed: no dense grid."""
-    obs = observed_share(cells).join(fallback_share(cells), ["user_id", "product", "time_period"])
-    return obs.groupBy("user_id", "season", "dow").agg((F.sum(F.col("fraction") - F.col("fallback")) + 1.0).alias("slot_sum"))
-
-
-def _slots(daily_forecast: DataFrame) -> DataFrame:
-    ds = F.col("ds")
-    return daily_forecast.withColumns({"season": labels.season_local(ds), "dow": labels.dow(ds)})
-
-
-def disaggregate(daily_forecast: DataFrame, cells: DataFrame) -> DataFrame:
-    """Day x product x period grid whose cells add up to the daily forecast.
-
-    Fractions are built once per (season, weekday) slot in use and then joined
-    to the days: a longer horizon adds rows to the last join only.
-    """
-    keys = ["user_id", "season", "dow"]
-    days = _slots(daily_forecast)
-    used = days.select(*keys).distinct()
-    sums = used.join(slot_total(cells), keys, "left").withColumn("slot_sum", F.coalesce("slot_sum", F.lit(1.0)))
-    fraction = F.when(F.col("fraction") > 0, F.col("fraction")).otherwise(F.col("fallback")) / F.col("slot_sum")
-    slot_cells = (
-        fallback_share(cells).join(sums, "user_id")
-        .join(observed_share(cells), [*keys, "product", "time_period"], "left")
-        .select(*keys, "product", "time_period", fraction.alias("fraction"))
-    )
-    return slot_cells.join(days, keys).select(
-        "user_id", "ds", "product", "time_period",
-        rnd(F.greatest(F.col("yhat") * F.col("fraction"), F.lit(0.0)), 6).alias("yhat"),
+    return product_share(cells, by).join(period_share(cells, by), by).select(
+        *by, "product", "time_period", (F.col("product_share") * F.col("period_share")).alias("fallback")
     )
 
 
@@ -201,33 +174,18 @@ def observed_cells(sales: DataFrame) -> DataFrame:
     ).agg(F.sum("quantity").alias("y"))
 
 
-def with_actuals(fitted_daily: DataFrame, future: DataFrame, cells: DataFrame, observed: DataFrame) -> DataFrame:
-    """Predictions with observed quantities: every observed cell of the history
-    (its share is known, so no grid is needed) and the whole future grid."""
-    keys = ["user_id", "season", "dow"]
-    history = (
-        _slots(observed.join(fitted_daily.select("user_id", "ds", "yhat"), ["user_id", "ds"]))
-        .join(observed_share(cells), [*keys, "product", "time_period"])
-        .join(slot_total(cells), keys)
-        .select("user_id", "ds", "product", "time_period", rnd(F.col("yhat") * F.col("fraction") / F.col("slot_sum"), 6).alias("yhat"), "y")
-    )
-    ahead = future.select("user_id", "ds", "product", "time_period", "yhat", F.lit(None).cast("bigint").alias("y"))
-    y = F.col("y")
-    error = whole(F.try_divide(F.abs(y - F.col("yhat")), y.cast("double")) * 100.0)
-    return history.unionByName(ahead).withColumns({
-        "type": F.when(y.isNotNull(), "actual").otherwise("future"),
-        "percentage_error": F.concat(F.coalesce(error.cast("string"), F.lit("<NA>")), F.lit("%")),
-    })
-
-
 def product_volume(cells: DataFrame) -> DataFrame:
     return cells.groupBy("user_id", "product").agg(F.sum("qty").alias("qty"))
 
 
-def ordered(predictions: DataFrame, cells: DataFrame) -> DataFrame:
-    """Output order as data: product place by volume, then date, then period."""
+def ordered(grid: DataFrame, cells: DataFrame, days: DataFrame) -> DataFrame:
+    """Output order as data: the place of a row when products are sorted by
+    volume and a product's rows by date. ``days`` holds the dates of a workspace."""
     place = ranked(product_volume(cells), ["user_id"], "qty", "product", "product_place").drop("qty")
-    return predictions.join(place, ["user_id", "product"]).withColumn("period_place", labels.ordinal(F.col("time_period"), labels.PERIODS))
+    w = Window.partitionBy("user_id")
+    at = days.select("user_id", "ds", F.row_number().over(w.orderBy("ds")).alias("_at"), F.count("*").over(w).alias("_n"))
+    row = (F.col("product_place") - 1) * F.col("_n") + F.col("_at")
+    return grid.join(place, ["user_id", "product"]).join(at, ["user_id", "ds"]).withColumn("row_place", row).drop("_at", "_n")
 
 
 def top_products(cells: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
@@ -244,18 +202,19 @@ def history_rate(sales: DataFrame) -> DataFrame:
     return sales.groupBy("user_id").agg(per_day.alias("per_day"), F.max("order_date").alias("data_end"))
 
 
-def baseline_scale(predictions: DataFrame, rate: DataFrame) -> DataFrame:
+def baseline_scale(daily_forecast: DataFrame, rate: DataFrame) -> DataFrame:
     """One multiplier per workspace that brings the future mean per day to the
-    historical level, clamped to 0.1 .. 20 and left out within 5 %."""
-    future = predictions.join(rate, "user_id").filter(F.col("ds") > F.col("data_end"))
-    mean = future.groupBy("user_id").agg((micro_sum(F.col("yhat")) / F.countDistinct("ds")).alias("future_mean"))
+    historical level, clamped to 0.1 .. 20 and left out within 5 %. The cells of
+    a day add up to its forecast, so daily values are enough."""
+    future = daily_forecast.join(rate, "user_id").filter(F.col("ds") > F.col("data_end"))
+    mean = future.groupBy("user_id").agg(micro_mean(F.col("yhat")).alias("future_mean"))
     raw = F.least(F.greatest(F.try_divide(F.col("per_day"), F.col("future_mean")), F.lit(0.1)), F.lit(20.0))
     usable = (F.col("per_day") > 0) & (F.col("future_mean") > 0) & (F.abs(raw - 1) >= 0.05)
     return rate.join(mean, "user_id").select("user_id", rnd(F.when(usable, raw).otherwise(1.0), 6).alias("scale"))
 
 
-def apply_scale(predictions: DataFrame, scale: DataFrame) -> DataFrame:
-    return predictions.join(scale, "user_id").withColumn("yhat", rnd(F.greatest(F.col("yhat") * F.col("scale"), F.lit(0.0)), 6))
+def apply_scale(daily_forecast: DataFrame, scale: DataFrame) -> DataFrame:
+    return daily_forecast.join(scale, "user_id").withColumn("yhat", rnd(F.greatest(F.col("yhat") * F.col("scale"), F.lit(0.0)), 6))
 
 
 def calibrate(predictions: DataFrame, history: DataFrame) -> DataFrame:
@@ -288,19 +247,16 @@ def baseline_per_product(sales: DataFrame) -> DataFrame:
     )
 
 
-def baseline_floor(predictions: DataFrame, rate: DataFrame, limit: float = 0.15) -> DataFrame:
-    """Scale up products whose total is under 15 % of their expectation; a
-    product at exactly zero gets a uniform fill."""
-    totals = predictions.groupBy("user_id", "product").agg(
-        micro_sum(F.col("yhat")).alias("total"), F.countDistinct("ds").alias("days"), F.count("*").alias("n")
-    ).join(rate, ["user_id", "product"])
-    expected = F.col("per_day") * F.col("days")
-    rule = totals.withColumn("expected", expected).withColumn("low", F.col("total") < F.col("expected") * limit).select(
-        "user_id", "product",
-        F.when(F.col("low") & (F.col("total") > 0), F.col("expected") / F.col("total")).otherwise(1.0).alias("scale"),
-        F.when(F.col("low") & (F.col("total") == 0), F.col("expected") / F.col("n")).otherwise(0.0).alias("fill"),
-    )
-    return predictions.join(rule, ["user_id", "product"]).withColumn("yhat", rnd(F.col("yhat") * F.col("scale") + F.col("fill"), 6)).drop("scale", "fill")
+def baseline_floor(totals: DataFrame, days: DataFrame, rate: DataFrame, limit: float = 0.15) -> DataFrame:
+    """Products whose total over the window is under 15 % of their expectation:
+    ``scale`` brings them there, and one at exactly zero gets ``fill`` in every
+    cell. ``totals`` is (user_id, product, total), ``days`` (user_id, n_days)."""
+    expected = F.col("per_day") * F.col("n_days")
+    low = F.col("total") < F.col("expected") * limit
+    return totals.join(days, "user_id").join(rate, ["user_id", "product"]).withColumn("expected", expected).withColumns({
+        "scale": F.when(low & (F.col("total") > 0), F.col("expected") / F.col("total")).otherwise(1.0),
+        "fill": F.when(low & (F.col("total") == 0), F.col("expected") / (F.col("n_days") * len(labels.PERIODS))).otherwise(0.0),
+    }).select("user_id", "product", "total", "n_days", "scale", "fill")
 
 
 def weekday_floor(predictions: DataFrame, daily: DataFrame) -> DataFrame:

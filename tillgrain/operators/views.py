@@ -1,4 +1,6 @@
-"""Views over a prediction table: menu, category and item level."""
+"""Views over the daily forecast and the shares of its slots: menu, category and
+item level. Sums are taken on the factors (``factored``); only the item views,
+whose result is a row per product and day, multiply out."""
 
 from __future__ import annotations
 
@@ -7,34 +9,34 @@ from pyspark.sql import DataFrame, functions as F, Window
 from tillgrain.functions import labels
 from tillgrain.functions.numeric import micro_mean, micro_sum, rnd, share, whole
 from tillgrain.functions.ranking import top_k
-from tillgrain.operators import calendar
+from tillgrain.operators import calendar, factored
 from tillgrain.operators.dashboard import dense_hours
 from tillgrain.operators.forecast import band, round_to_total
 
 MIN_HISTORY = 30
 SEASONAL_PCT = 70.0
+CATEGORY = ["user_id", "category"]
 
 
-def priced(predictions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Predictions with revenue and profit; unknown prices count as 0."""
+def priced(items: DataFrame) -> DataFrame:
+    """Price and profit per unit; unknown ones count as 0."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return predictions.join(prices.select("user_id", "product", "category", "price", "cost"), ["user_id", "product"], "left").withColumns({
-        "rev": F.col("yhat") * zero("price"), "prof": F.col("yhat") * (zero("price") - zero("cost")),
-    })
+    return items.select("user_id", "product", "category", zero("price").alias("price"), (zero("price") - zero("cost")).alias("unit_profit"))
 
 
-def revenue_profit(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("user_id").agg(
-        rnd(micro_sum(F.col("rev"), 4)).alias("revenue"), rnd(micro_sum(F.col("prof"), 4)).alias("profit")
-    )
+def money_of(*names: str) -> dict:
+    """Values per unit that the sums over cells are taken of."""
+    column = {"revenue": "price", "profit": "unit_profit"}
+    return {n: F.coalesce(column[n], F.lit(0.0)) for n in names}
 
 
-def daily_revenue(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("user_id", "ds").agg(rnd(micro_sum(F.col("rev"), 4)).alias("revenue"))
+def revenue_profit(days: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
+    by_day = factored.by_day(days, cells, money_of("revenue", "profit"), items=priced(items))
+    return by_day.groupBy("user_id").agg(rnd(micro_sum(F.col("revenue"), 4)).alias("revenue"), rnd(micro_sum(F.col("profit"), 4)).alias("profit"))
 
 
-def _days(priced: DataFrame, keys: list[str]) -> DataFrame:
-    return priced.groupBy(*keys, "ds").agg(micro_sum(F.col("yhat")).alias("yhat"), rnd(micro_sum(F.col("rev"), 4)).alias("revenue"))
+def daily_revenue(days: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
+    return factored.by_day(days, cells, money_of("revenue"), items=priced(items)).withColumn("revenue", rnd(F.col("revenue")))
 
 
 def _peaked(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,16 +46,30 @@ def _peaked(days: DataFrame, keys: list[str]) -> DataFrame:
     return days.withColumn("is_peak", at == 1)
 
 
-def daily_view(priced: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def _view(days: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Daily integers, revenue, bands and peak day per series of ``keys``."""
-    days = _peaked(round_to_total(_days(priced, keys), keys), keys)
-    return band(days, stats, "units", "revenue").select(
+    done = _peaked(round_to_total(days.withColumn("revenue", rnd(F.col("revenue"))), keys), keys)
+    return band(done, stats, "units", "revenue").select(
         *keys, "ds", "units", "units_low", "units_high", "revenue", "revenue_low", "revenue_high", "is_peak"
     )
 
 
-def peak_day(predictions: DataFrame) -> DataFrame:
-    days = predictions.groupBy("user_id", "ds").agg(micro_sum(F.col("yhat")).alias("yhat"))
+def item_view(days: DataFrame, cells: DataFrame, items: DataFrame, stats: DataFrame) -> DataFrame:
+    rows = factored.product_days(days, cells).join(priced(items), ["user_id", "product"], "left")
+    return _view(rows.withColumn("revenue", F.col("yhat") * F.coalesce("price", F.lit(0.0))), stats, ["user_id", "product"])
+
+
+def category_view(days: DataFrame, cells: DataFrame, items: DataFrame, stats: DataFrame) -> DataFrame:
+    values = {"yhat": F.lit(1.0), **money_of("revenue")}
+    return _view(factored.by_day(days, cells, values, ["category"], priced(items)), stats, CATEGORY)
+
+
+def menu_view(days: DataFrame, cells: DataFrame, items: DataFrame, stats: DataFrame) -> DataFrame:
+    rows = factored.by_day(days, cells, money_of("revenue"), items=priced(items))
+    return _view(days.join(rows, ["user_id", "ds"]), stats, ["user_id"])
+
+
+def peak_day(days: DataFrame) -> DataFrame:
     return _peaked(round_to_total(days, ["user_id"]), ["user_id"]).filter("is_peak").select("user_id", "ds", "units")
 
 
@@ -62,46 +78,44 @@ def time_of_day_available(sales: DataFrame) -> DataFrame:
     return sales.groupBy("user_id").agg((F.countDistinct(named) >= 2).alias("available"))
 
 
-def period_totals(predictions: DataFrame) -> DataFrame:
+def period_totals(days: DataFrame, cells: DataFrame) -> DataFrame:
     """Four rows per product, rounded after summing."""
-    sums = [micro_sum(F.when(F.col("time_period") == p, F.col("yhat")).otherwise(0.0)).alias(p) for p in labels.PERIODS]
-    wide = predictions.groupBy("user_id", "product").agg(*sums)
-    pairs = F.array(*[F.struct(F.lit(p).alias("time_period"), whole(F.greatest(F.col(p), F.lit(0.0))).alias("units")) for p in labels.PERIODS])
-    return wide.select("user_id", "product", F.inline(pairs))
+    return factored.totals(days, cells).select("user_id", "product", "time_period", whole(F.col("total")).alias("units"))
 
 
-def period_breakdown(predictions: DataFrame) -> DataFrame:
-    return predictions.select("user_id", "product", "ds", "time_period", F.col("yhat").cast("int").alias("units"))
+def period_breakdown(days: DataFrame, cells: DataFrame) -> DataFrame:
+    """Whole units of every product and day, a column for each period."""
+    return factored.expand(days, cells).select("user_id", "product", "ds", *[F.col(p).cast("int").alias(p) for p in labels.PERIODS])
 
 
-def product_totals(priced: DataFrame, *extra: str) -> DataFrame:
-    return priced.groupBy("user_id", "category", "product", *extra).agg(micro_sum(F.col("yhat")).alias("total"))
+def product_totals(days: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
+    return factored.product_totals(days, cells).join(items.select("user_id", "product", "category"), ["user_id", "product"], "left")
 
 
-def category_items(priced: DataFrame) -> DataFrame:
+def category_items(days: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
     """Item totals of every category, truncated to units."""
-    return product_totals(priced).select("user_id", "category", "product", F.col("total").cast("bigint").alias("units"))
+    return product_totals(days, cells, items).select("user_id", "category", "product", F.col("total").cast("bigint").alias("units"))
 
 
-def category_totals(priced: DataFrame) -> DataFrame:
-    return product_totals(priced).groupBy("user_id", "category").agg(
+def category_totals(days: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
+    return product_totals(days, cells, items).groupBy("user_id", "category").agg(
         micro_sum(F.col("total")).cast("bigint").alias("units"), F.count("*").alias("item_count")
     )
 
 
-def _with_history(priced: DataFrame, real: DataFrame) -> DataFrame:
+def _with_history(totals: DataFrame, real: DataFrame) -> DataFrame:
     history = real.groupBy("user_id", "product").agg(F.sum("quantity").alias("history"))
-    return product_totals(priced).join(history, ["user_id", "product"], "left").withColumn("history", F.coalesce("history", F.lit(0)))
+    return totals.join(history, ["user_id", "product"], "left").withColumn("history", F.coalesce("history", F.lit(0)))
 
 
-def top_items(priced: DataFrame, real: DataFrame, n: int = 5) -> DataFrame:
-    rows = top_k(_with_history(priced, real), ["user_id"], [F.col("total").desc(), F.col("product")], n)
+def top_items(totals: DataFrame, real: DataFrame, n: int = 5) -> DataFrame:
+    rows = top_k(_with_history(totals, real), ["user_id"], [F.col("total").desc(), F.col("product")], n)
     return rows.select("user_id", "product", "category", F.col("total").cast("bigint").alias("units"), "history", "place")
 
 
-def bottom_items(priced: DataFrame, real: DataFrame, n: int = 5) -> DataFrame:
+def bottom_items(totals: DataFrame, real: DataFrame, n: int = 5) -> DataFrame:
     """Slow movers: at least one unit ahead and 30 in the history."""
-    rows = _with_history(priced, real).filter((F.col("total") >= 1.0) & (F.col("history") >= MIN_HISTORY))
+    rows = _with_history(totals, real).filter((F.col("total") >= 1.0) & (F.col("history") >= MIN_HISTORY))
     return top_k(rows, ["user_id"], [F.col("total"), F.col("product").desc()], n).select(
         "user_id", "product", "category", F.col("total").cast("bigint").alias("units"), "history", "place"
     )
@@ -118,36 +132,39 @@ def hour_share(real: DataFrame) -> DataFrame:
     return counts.select(*keys, "hour", share(F.col("n"), total).alias("hour_share"))
 
 
-def _heat(predictions: DataFrame, real: DataFrame) -> DataFrame:
+def _heat(days: DataFrame, cells: DataFrame, real: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Forecast units per weekday and hour and occurrence of the weekday; the
-    day is closed in Ramadan until the evening."""
-    days = calendar.with_calendar(
-        predictions.groupBy("user_id", "ds", "time_period").agg(micro_sum(F.col("yhat")).alias("yhat")), ["occasion"]
-    )
+    day is closed in Ramadan until the evening. With ``items``, per category."""
+    extra = [] if items is None else ["category"]
+    keys = ["user_id", *extra]
+    values = factored.by_day(days, cells, {"yhat": F.lit(1.0)}, [*extra, "time_period"], None if items is None else priced(items))
+    open_days = calendar.with_calendar(values, ["occasion"])
     closed = (F.col("occasion") == "Ramadan") & F.col("time_period").isin("morning", "Afternoon")
-    open_days = days.withColumn("yhat", F.when(closed, 0.0).otherwise(F.col("yhat"))).withColumn("dow", labels.dow(F.col("ds")))
-    occur = open_days.groupBy("user_id", "dow").agg(F.countDistinct("ds").alias("n_days"))
-    slots = open_days.groupBy("user_id", "dow", "time_period").agg(micro_sum(F.col("yhat")).alias("units")).join(occur, ["user_id", "dow"])
-    cells = slots.join(hour_share(real), ["user_id", "dow", "time_period"]).groupBy("user_id", "dow", "hour").agg(
+    open_days = open_days.withColumn("yhat", F.when(closed, 0.0).otherwise(F.col("yhat"))).withColumn("dow", labels.dow(F.col("ds")))
+    occur = open_days.groupBy(*keys, "dow").agg(F.countDistinct("ds").alias("n_days"))
+    slots = open_days.groupBy(*keys, "dow", "time_period").agg(micro_sum(F.col("yhat")).alias("units")).join(occur, [*keys, "dow"])
+    hours = slots.join(hour_share(real), ["user_id", "dow", "time_period"]).groupBy(*keys, "dow", "hour").agg(
         micro_sum(F.col("units") / F.col("n_days") * F.col("hour_share")).alias("v")
     )
-    return dense_hours(predictions.select("user_id").distinct()).join(cells, ["user_id", "dow", "hour"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    grid = dense_hours(values.select(*keys).distinct())
+    return grid.join(hours, [*keys, "dow", "hour"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def heatmap_values(predictions: DataFrame, real: DataFrame) -> DataFrame:
-    """Unrounded cells, for scoring."""
-    return _heat(predictions, real).select("user_id", "dow", "hour", rnd(F.col("v"), 4).alias("pred"))
+def heatmap_values(days: DataFrame, cells: DataFrame, real: DataFrame) -> DataFrame:
+    """Whole units of every open hour, for scoring."""
+    return _heat(days, cells, real).select("user_id", "dow", "hour", F.rint("v").alias("pred"))
 
 
-def heatmap(predictions: DataFrame, real: DataFrame) -> DataFrame:
-    return _heat(predictions, real).select("user_id", "dow", "day", "hour", labels.hour_label(F.col("hour")).alias("hour_label"), whole(F.col("v")).alias("value"))
+def heatmap(days: DataFrame, cells: DataFrame, real: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    keys = ["user_id"] if items is None else CATEGORY
+    return _heat(days, cells, real, items).select(*keys, "dow", "day", "hour", labels.hour_label(F.col("hour")).alias("hour_label"), whole(F.col("v")).alias("value"))
 
 
-def heatmap_peak(predictions: DataFrame, real: DataFrame) -> DataFrame:
+def heatmap_peak(days: DataFrame, cells: DataFrame, real: DataFrame) -> DataFrame:
     """First peak cell in display order and its lead over the mean of the
     cells that are not zero, in %."""
     v = F.col("v")
-    agg = _heat(predictions, real).groupBy("user_id").agg(
+    agg = _heat(days, cells, real).groupBy("user_id").agg(
         F.min_by(F.struct("day", "hour", "v"), F.struct(-v, F.col("dow"), F.col("hour_ord"))).alias("p"),
         micro_mean(F.when(v > 0, v)).alias("mean"),
     )
@@ -185,9 +202,8 @@ def seasonality(sales: DataFrame) -> DataFrame:
     ).filter(F.col("peak_seasons").isNotNull())
 
 
-def tips(predictions: DataFrame) -> DataFrame:
+def tips(days: DataFrame) -> DataFrame:
     """Advice codes per workspace from level, peak day and events."""
-    days = predictions.groupBy("user_id", "ds").agg(micro_sum(F.col("yhat")).alias("yhat"))
     events = calendar.with_calendar(round_to_total(days, ["user_id"]), ["occasion"])
     occ = F.col("occasion")
     agg = events.groupBy("user_id").agg(
@@ -205,9 +221,8 @@ def tips(predictions: DataFrame) -> DataFrame:
     return agg.select("user_id", F.explode(F.when(avg < 0.5, F.array(F.lit("low_demand"))).otherwise(codes)).alias("tip"))
 
 
-def summary(predictions: DataFrame) -> DataFrame:
-    """Average, peak, range, weekend lift and trend of the menu total."""
-    days = predictions.groupBy("user_id", "ds").agg(micro_sum(F.col("yhat")).alias("yhat"))
+def summary(days: DataFrame) -> DataFrame:
+    """Average, peak, range, weekend lift, trend and the mean of each weekday of the menu total."""
     weekend = F.weekday("ds").isin(4, 5)
     mid = F.row_number().over(Window.partitionBy("user_id").orderBy("ds")) <= F.count("*").over(Window.partitionBy("user_id")) / 2
     v = F.col("yhat")
@@ -216,9 +231,23 @@ def summary(predictions: DataFrame) -> DataFrame:
         F.max(v).alias("highest"), F.min(v).alias("lowest"),
         micro_mean(F.when(weekend, v)).alias("we"), micro_mean(F.when(~weekend, v)).alias("wd"),
         micro_mean(F.when(F.col("early"), v)).alias("a"), micro_mean(F.when(~F.col("early"), v)).alias("b"),
+        *[rnd(micro_mean(F.when(labels.dow(F.col("ds")) == i, v))).alias(f"avg_{name.lower()}") for i, name in enumerate(labels.WEEKDAYS)],
     )
     return agg.select(
         "user_id", rnd(F.col("avg")).alias("avg_predicted"), "peak_ds", "low_ds", rnd(F.col("highest")).alias("highest"), rnd(F.col("lowest")).alias("lowest"),
         rnd(F.try_divide(F.col("we"), F.col("wd")) * 100.0 - 100.0, 1).alias("weekend_lift"),
         F.when(F.col("b") > F.col("a"), "up").when(F.col("b") < F.col("a"), "down").otherwise("flat").alias("trend"),
+        *[f"avg_{name.lower()}" for name in labels.WEEKDAYS],
     )
+
+
+def breakdown(totals: DataFrame, real: DataFrame, n_days: DataFrame) -> DataFrame:
+    """Per category: predicted units, items, and the change of the daily mean
+    against as many real days back from the last one, in %."""
+    ends = real.groupBy("user_id").agg(F.max("order_date").alias("end")).join(n_days, "user_id")
+    recent = real.join(ends, "user_id").filter(F.col("order_date") > F.date_sub("end", F.col("n_days").cast("int")))
+    before = recent.groupBy("user_id", "category").agg(F.sum("quantity").alias("before"))
+    ahead = totals.groupBy("user_id", "category").agg(micro_sum(F.col("total")).alias("predicted"), F.count("*").alias("item_count"))
+    change = F.try_divide(F.col("predicted") - F.col("before"), F.col("before").cast("double")) * 100.0
+    return ahead.join(before, ["user_id", "category"], "left").select(
+        "user_id", "category", F.col("predicted").cast("bigint").alias("units"), "item_count", rnd(change, 1).alias("change_pct"))

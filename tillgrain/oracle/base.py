@@ -13,10 +13,16 @@ import re
 from tillgrain.functions import labels, rules
 
 BLOCKS: dict[str, str] = {}
+STORED: set[str] = set()
+RECURSIVE: set[str] = set()
 
 
-def block(name: str, sql: str) -> None:
+def block(name: str, sql: str, stored: bool = False, recursive: bool = False) -> None:
     BLOCKS[name] = sql.strip()
+    if stored:
+        STORED.add(name)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def query(sql: str) -> str:
@@ -28,8 +34,9 @@ def query(sql: str) -> str:
         for name in words & BLOCKS.keys() - needed:
             needed.add(name)
             stack.append(BLOCKS[name])
-    parts = [f"{n} AS ({BLOCKS[n]})" for n in BLOCKS if n in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" + sql.strip()) if parts else sql.strip()
+    kept = lambda n: "AS" if n in RECURSIVE else "AS MATERIALIZED" if n in STORED else "AS"
+    parts = [f"{n} {kept(n)} ({BLOCKS[n]})" for n in BLOCKS if n in needed]
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql.strip()) if parts else sql.strip()
 
 
 def r(x: str, n: int = 2) -> str:

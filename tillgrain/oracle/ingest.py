@@ -31,7 +31,7 @@ SELECT *, CASE WHEN time <> '' THEN time ELSE CASE lower(time_period) WHEN 'morn
   WHEN 'evening' THEN '18:00:00' WHEN 'night' THEN '22:00:00' ELSE '12:00:00' END END AS clean_time FROM raw_fields""")
 # the moment comes from the values the texts were written from, not from parsing them
 block("normal_rows", f"""
-SELECT user_id, 'u' || user_id || ':' || trim(coalesce(order_reference, '')) AS order_reference, coalesce(trim(sku), 'nan') AS sku,
+SELECT user_id, is_imputed, 'u' || user_id || ':' || trim(coalesce(order_reference, '')) AS order_reference, coalesce(trim(sku), 'nan') AS sku,
   CASE WHEN order_id % 97 = 0 THEN 0 WHEN order_id % 89 = 0 THEN -1 WHEN order_id % 83 = 0 OR order_id % 79 = 0 THEN 0
     WHEN order_id % 73 = 0 THEN 1000000000000 ELSE CAST(split_part(quantity, '.', 1) AS BIGINT) END AS quantity,
   CASE WHEN order_id % 101 = 0 OR order_id % 83 = 1 THEN 0e0 ELSE CAST(unit_price AS DOUBLE) END AS unit_price, CAST(unit_cost AS DOUBLE) AS unit_cost,

@@ -6,27 +6,50 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillgrain.functions import labels
 from tillgrain.functions.numeric import micro_sum, rnd
-from tillgrain.functions.tables import values
-from tillgrain.operators import calendar, cleaning as cln, evaluate as ev, fit, forecast as fc, menu, views
+from tillgrain.operators import calendar, cleaning as cln, evaluate as ev, factored, fit, forecast as fc, menu, views
 from tillgrain.plans import forecast as pf, ingest, menu as pm
 from tillgrain.plans.dashboard import real
+from tillgrain.plans.params import AS_OF, NEAR, PERIOD
 from tillgrain.session import through_table
 from tillgrain.sources import sales as src
 
 FOLDS = [("F1", "1999-06-30", 31), ("F2", "1999-12-31", 31), ("F3", "2000-06-30", 30), ("F4", "2000-12-31", 31), ("F5", "2001-06-30", 28)]
-TRAIN_END, TEST_END = "2000-12-31", "2001-03-31"
+TRAIN_END, TEST_END, TEST_DAYS = "2000-12-31", "2001-03-31", 90
+# Dates with the label and payday flag they must have, and dates
+# whose model parts are shown (fast, its last day, feast and days after, payday
+# and after, second feast, national day, an ordinary weekday and Friday).
+SPOTS = [("2022-07-27", "Payday", True), ("2022-05-02", "Eid al-Fitr", True), ("2022-04-15", "Ramadan", False), ("2022-09-23", "National Day", False),
+         ("2022-02-22", "Founding", False), ("2022-08-15", "Normal", False), ("2022-07-09", "Eid al-Adha", False), ("2022-05-30", "Post-payday", True)]
+SAMPLE_DATES = ["2000-12-10", "2000-12-26", "2000-12-27", "2000-12-29", "2000-07-27", "2000-07-30", "2001-03-07", "2000-09-23", "2000-10-11", "2000-10-13"]
 
 
 def real_daily(spark: SparkSession, d: str) -> DataFrame:
     return fc.daily(real(spark, d)).select("user_id", "ds", "y")
 
 
+def models() -> list[fit.Model]:
+    """Every model of the evaluation: all are fitted in one pass over the days."""
+    out = [fit.Model(name + suffix, cutoff, robust=not suffix, days="after", horizon=n) for name, cutoff, n in FOLDS for suffix in ("", "-all")]
+    last, horizon = FOLDS[-1][1:]
+    out += [fit.Model(f"no_{block}", last, drop=block, days="after", horizon=horizon) for block in ("holidays", "weather", "seasons")]
+    return [*out, fit.Model("pattern", TRAIN_END, days="after", horizon=TEST_DAYS)]
+
+
+def fits(spark: SparkSession, d: str) -> DataFrame:
+    done = fit.fit(pf.daily(spark, d), ["user_id"], pf.design(spark, d), models())
+    return through_table(done.select("user_id", "model", "ds", "yhat"), "fold-fits")
+
+
 def folds(spark: SparkSession, d: str) -> DataFrame:
-    return ev.folds(pf.daily(spark, d).select("user_id", "ds", "y"), real_daily(spark, d), FOLDS)
+    return ev.folds(pf.daily(spark, d).select("user_id", "ds", "y"), fits(spark, d), real_daily(spark, d), FOLDS)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return ev.real_days(folds(spark, d))
+    return through_table(ev.real_days(folds(spark, d)), "scored")
+
+
+def fold_cells(spark: SparkSession, d: str) -> DataFrame:
+    return through_table(ev.fold_cells(pf.rows(spark, d), FOLDS), "fold-cells")
 
 
 def source(spark: SparkSession, d: str) -> DataFrame:
@@ -35,95 +58,116 @@ def source(spark: SparkSession, d: str) -> DataFrame:
     return calendar.with_calendar(rows.select("user_id", "sku", "ds", "quantity", "is_imputed"), ["season", "occasion", "dow"])
 
 
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    return src.sales(spark, d).groupBy("user_id", "product").agg(F.min("category").alias("category"))
+
+
 def by_category(spark: SparkSession, d: str) -> DataFrame:
-    """Category forecast, real actuals and 28-day baseline over the test window."""
+    """Category forecast of the model, real actuals and 28-day baseline over the test window."""
     keys = ("user_id", "category")
-    all_days, real_days = fc.daily(src.sales(spark, d), keys), fc.daily(real(spark, d), keys)
-    end, stop = F.lit(TRAIN_END).cast("date"), F.lit(TEST_END).cast("date")
-    train = all_days.filter(F.col("ds") <= end)
-    days = train.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.date_add(end, 1), stop)).alias("ds"))
-    base = ev.naive28(real_days.filter(F.col("ds") <= end), days, keys).withColumnRenamed("yhat", "naive")
-    truth = real_days.select(*keys, "ds", "y")
-    return fc.naive_dow(train, days, keys).join(base, [*keys, "ds"]).join(truth, [*keys, "ds"], "left")
+    end = F.lit(TRAIN_END).cast("date")
+    known = through_table(fc.cells(pf.rows(spark, d).filter(F.col("order_date") <= end)), "pattern-cells")
+    daily = fits(spark, d).filter(F.col("model") == "pattern").select("user_id", "ds", "yhat").join(known.select("user_id").distinct(), "user_id", "left_semi")
+    forecast = factored.by_day(daily, known, {"yhat": F.lit(1.0)}, ["category"], categories(spark, d))
+    real_days = fc.daily(real(spark, d), keys)
+    base = ev.naive28(real_days.filter(F.col("ds") <= end), forecast.select(*keys, "ds"), keys).withColumnRenamed("yhat", "naive")
+    return forecast.join(base, [*keys, "ds"]).join(real_days.select(*keys, "ds", "y"), [*keys, "ds"], "left")
 
 
 def pattern(spark: SparkSession, d: str) -> DataFrame:
     return ev.pattern(through_table(by_category(spark, d), "pattern"), ["user_id", "category"])
 
 
-def heat_pair(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
-    """Forecast heat of the horizon next to the real heat."""
-    grid = pf.predictions(spark, d) if predictions is None else predictions
-    heat = views.heatmap_values(grid, real(spark, d))
-    return heat.join(ev.real_heatmap(real(spark, d)).withColumnRenamed("units_per_day", "real"), ["user_id", "dow", "hour"])
+def near(spark: SparkSession, d: str) -> DataFrame:
+    """The model's next NEAR days, as the validation looks at them."""
+    days = pf.fitted_total(spark, d).join(pf.data_end(spark, d), "user_id")
+    ahead = days.filter((F.col("ds") > F.col("data_end")) & (F.col("ds") <= F.date_add("data_end", NEAR)))
+    return through_table(ahead.select("user_id", "ds", "yhat"), "near")
+
+
+def heat_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast heat next to the real heat: all 168 cells, closed hours being 0 ahead."""
+    heat = views.heatmap_values(near(spark, d), pf.cells(spark, d), real(spark, d))
+    cells = ev.real_heatmap(real(spark, d)).withColumnRenamed("units_per_day", "real")
+    return cells.join(heat, ["user_id", "dow", "hour"], "left").withColumn("pred", F.coalesce("pred", F.lit(0.0)))
+
 
+def near_money(spark: SparkSession, d: str, extra: list[str]) -> DataFrame:
+    items = views.priced(menu.items(src.sales(spark, d)))
+    return factored.by_day(near(spark, d), pf.cells(spark, d), views.money_of("revenue"), extra, items)
 
-def dow_pairs(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
+
+def dow_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Revenue per occurrence of each weekday: predicted and real."""
     dow = labels.dow(F.col("ds")).alias("dow")
-    grid = pf.predictions(spark, d) if predictions is None else predictions
-    p = views.daily_revenue(views.priced(grid, menu.items(src.sales(spark, d))))
-    pred = p.groupBy("user_id", dow).agg((micro_sum(F.col("revenue"), 2) / F.count("*")).alias("pred"))
+    pred = near_money(spark, d, []).groupBy("user_id", dow).agg((micro_sum(F.col("revenue"), 4) / F.count("*")).alias("pred"))
     r = real(spark, d).groupBy("user_id", F.col("order_date").alias("ds")).agg(F.sum(F.col("quantity") * F.col("price_cents")).alias("c"))
     truth = r.groupBy("user_id", dow).agg((F.sum("c") / 100.0 / F.count("*")).alias("real"))
-    return pred.join(truth, ["user_id", "dow"])
+    return pred.join(truth, ["user_id", "dow"], "left").withColumn("real", F.coalesce("real", F.lit(0.0)))
 
 
-def category_pairs(spark: SparkSession, d: str, predictions: DataFrame | None = None) -> DataFrame:
-    """Category revenue: predicted, and real over the last 30 days."""
-    grid = pf.predictions(spark, d) if predictions is None else predictions
-    p = views.priced(grid, menu.items(src.sales(spark, d)))
-    pred = p.groupBy("user_id", "category").agg(micro_sum(F.col("rev"), 4).alias("pred"))
+def category_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Category revenue: predicted, and real over as many last days."""
+    pred = near_money(spark, d, ["category"]).groupBy("user_id", "category").agg(micro_sum(F.col("revenue"), 4).alias("pred"))
     r = real(spark, d)
     ends = r.groupBy("user_id").agg(F.max("order_date").alias("end"))
-    recent = r.join(ends, "user_id").filter(F.col("order_date") > F.date_sub("end", 30))
+    recent = r.join(ends, "user_id").filter(F.col("order_date") > F.date_sub("end", NEAR))
     truth = recent.groupBy("user_id", "category").agg((F.sum(F.col("quantity") * F.col("price_cents")) / 100.0).alias("real"))
     return pred.join(truth, ["user_id", "category"])
 
 
 def level(spark: SparkSession, d: str) -> DataFrame:
-    return ev.level(pf.naive_future(spark, d, 30), real_daily(spark, d))
+    return ev.level(near(spark, d), real_daily(spark, d))
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Refits without one block of features on the last fold, all workspaces
-    and variants in one job, next to the weekday mean."""
-    cutoff, horizon = F.lit(FOLDS[-1][1]).cast("date"), FOLDS[-1][2]
-    names = values(spark, [("full",), ("no_holidays",), ("no_weather",), ("no_seasons",)], "variant string")
-    rows = pf.daily(spark, d).filter(F.col("ds") <= F.date_add(cutoff, horizon)).withColumn("train", F.col("ds") <= cutoff)
-    frame = fit.frame(rows, None, pf.design(spark, d), ["user_id"]).crossJoin(F.broadcast(names))
-    done = fit.fit(frame, ["user_id", "variant"], "user_id int, variant string", "variant").filter(~F.col("train"))
+    """The last fold without one block of features at a time, next to the full
+    model and the weekday mean, per workspace."""
+    fold = FOLDS[-1][0]
+    done = fits(spark, d)
+    variant = F.when(F.col("model") == f"{fold}-all", "full").otherwise(F.col("model"))
+    rows = done.withColumn("variant", variant).filter(F.col("variant").isin("full", "no_holidays", "no_weather", "no_seasons"))
     truth = real_daily(spark, d).select("user_id", "ds", F.col("y").alias("y_real"))
-    base = scored(spark, d).filter(F.col("fold") == FOLDS[-1][0]).select("user_id", F.lit("naive_dow").alias("variant"), "yhat", F.col("y").alias("y_real"))
-    both = done.join(truth, ["user_id", "ds"]).select("user_id", "variant", "yhat", "y_real").unionByName(base)
-    return ev.metrics(both, ["variant"], "yhat", "y_real").select("variant", "n", "mae", "wape")
+    known = pf.daily(spark, d).filter(F.col("ds") <= F.lit(FOLDS[-1][1]).cast("date")).select("user_id").distinct()
+    base = ev.naive_dow(pf.daily(spark, d).filter(F.col("ds") <= F.lit(FOLDS[-1][1]).cast("date")), rows.filter(F.col("variant") == "full").select("user_id", "ds"))
+    both = rows.select("user_id", "variant", "ds", "yhat").unionByName(base.select("user_id", F.lit("naive_dow").alias("variant"), "ds", "yhat"))
+    both = both.join(known, "user_id", "left_semi").join(truth, ["user_id", "ds"])
+    return ev.metrics(both, ["user_id", "variant"], "yhat", "y_real").select("user_id", "variant", "n", "mae", "wape")
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
-    # the prediction grid is built once; the three small scores are stored,
-    # because several gates read each of them
-    p = pf.predictions(spark, d)
-    heat = through_table(ev.cell_agreement(heat_pair(spark, d, p)), "gate-heat")
-    dow = through_table(ev.rank_agreement(ev.ranked_pairs(dow_pairs(spark, d, p), "dow"), "dow", 2), "gate-dow")
-    cat = through_table(ev.rank_agreement(ev.ranked_pairs(category_pairs(spark, d, p), "category"), "category", 3), "gate-category")
+    # the small scores are stored, because several gates read each of them
+    heat = through_table(ev.cell_agreement(heat_pair(spark, d)), "gate-heat")
+    dow = through_table(ev.rank_agreement(ev.ranked_pairs(dow_pairs(spark, d), "dow"), "dow", 2), "gate-dow")
+    cat = through_table(ev.rank_agreement(ev.ranked_pairs(category_pairs(spark, d), "category"), "category", 3), "gate-category")
+    mae = lambda v: F.max(F.when(F.col("variant") == v, F.col("mae")))
+    beats = ablation(spark, d).groupBy("user_id").agg((mae("full") < mae("naive_dow")).alias("ok"))
+    parts = ev.components(pf.fitted_total(spark, d))
+    active = F.lit(True)
+    for part in ev.PARTS:
+        active = active & F.col(f"{part}_active")
+    spots = ev.spot_checks(spark, SPOTS).agg(F.bool_and("passed").alias("ok"))
     test = lambda df, c: df.select("user_id", c.alias("passed"))
     return ev.gates({
         "heatmap_pearson": test(heat, F.col("pearson") >= 0.85), "heatmap_top5_jaccard": test(heat, F.col("top5_jaccard") >= 0.6),
         "daily_level": test(level(spark, d), F.col("passed")), "dow_spearman": test(dow, F.col("spearman") >= 0.7),
         "category_jaccard": test(cat, F.col("jaccard") >= 0.66), "category_spearman": test(cat, F.col("spearman") >= 0.6),
+        "ablation_full_beats_baseline": test(beats, F.col("ok")), "date_spot_checks": test(parts.select("user_id").crossJoin(F.broadcast(spots)), F.col("ok")),
+        "components_active": test(parts, active),
     })
 
 
 def renorm(spark: SparkSession, d: str) -> DataFrame:
-    items = menu.items(src.sales(spark, d)).select("user_id", "product", "category")
-    keys = ["user_id", "ds", "category", "time_period"]
-    cells = pf.predictions(spark, d).join(items, ["user_id", "product"]).groupBy(*keys).agg(micro_sum(F.col("yhat")).alias("yhat"))
-    return ev.renormalised(cells, fc.round_to_total(pf.naive_future(spark, d), ["user_id"]), keys)
+    days = pf.service(spark, d)
+    cells = factored.by_day(days, pf.cells(spark, d), {"yhat": F.lit(1.0)}, ["category", "time_period"], categories(spark, d))
+    return ev.renormalised(cells, fc.round_to_total(days, ["user_id"]), ["user_id", "ds", "category", "time_period"])
 
 
 def menu_hist(spark: SparkSession, d: str) -> DataFrame:
-    """40-bin margin histogram of the items."""
-    return ev.histogram(pm.table(spark, d), rnd(F.col("margin"), 6), 40, ["user_id"])
+    """40-bin histograms of the items' margin and popularity."""
+    items = through_table(menu.classified(pm.table(spark, d)), "hist-items")
+    one = lambda c: ev.histogram(items, rnd(F.col(c), 6), 40, ["user_id"]).withColumn("measure", F.lit(c))
+    return one("margin").unionByName(one("popularity"))
 
 
 def pearson(spark: SparkSession, d: str) -> DataFrame:
@@ -131,12 +175,17 @@ def pearson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mapd(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).groupBy("user_id").agg(rnd(ev.mapd("yhat", "yhat_mean"), 3).alias("mapd"))
+    return scored(spark, d).groupBy("user_id").agg(rnd(ev.mapd("yhat", "naive_mean"), 3).alias("mapd"))
 
 
 def naive28(spark: SparkSession, d: str) -> DataFrame:
     r = real_daily(spark, d)
-    return ev.naive28(r, fc.future_days(pf.daily(spark, d), pf.AS_OF, pf.PERIOD)).select("user_id", "ds", "yhat")
+    return ev.naive28(r, fc.future_days(pf.daily(spark, d), AS_OF, PERIOD)).select("user_id", "ds", "yhat")
+
+
+def sliced(spark: SparkSession, d: str) -> DataFrame:
+    rows, cells, r = scored(spark, d), fold_cells(spark, d), real(spark, d)
+    return ev.sliced(rows, ev.period_rows(rows, cells, r), ev.top_product_rows(rows, cells, r))
 
 
 U = ["user_id"]
@@ -145,16 +194,16 @@ QUERIES = {
     "ev_folds": folds,
     "ev_real_days": lambda s, d: scored(s, d).select("user_id", "fold", "ds", "y", "yhat", "occasion", "occ_family", "month"),
     "ev_metrics": lambda s, d: ev.metrics(scored(s, d), U),
-    "ev_slice": lambda s, d: ev.sliced(scored(s, d)),
+    "ev_slice": sliced,
     "ev_horizon_bucket": lambda s, d: scored(s, d).select("user_id", "fold", "ds", "horizon_day", "horizon_bucket"),
     "ev_model_compare": lambda s, d: ev.model_compare(scored(s, d)),
-    "ev_inflation": lambda s, d: ev.inflation(scored(s, d), fc.slot_total(pf.cells(s, d))),
+    "ev_inflation": lambda s, d: ev.inflation(scored(s, d), factored.slot_total(fold_cells(s, d), ev.UF)),
     "ev_worst_days": lambda s, d: ev.worst_days(scored(s, d)),
     "ev_residual_hist": lambda s, d: ev.histogram(scored(s, d), rnd(F.col("yhat") - F.col("y"), 6), 30, U),
     "ev_menu_hist": menu_hist,
     "ev_renorm": renorm,
-    "ev_cells": lambda s, d: ev.cell_totals(through_table(pf.actuals(s, d), "actuals"), real_daily(s, d).select("user_id", "ds")),
-    "ev_top_products": lambda s, d: ev.top_product_metrics(through_table(pf.actuals(s, d), "actuals")),
+    "ev_cells": lambda s, d: ev.cell_totals(scored(s, d), fold_cells(s, d), real(s, d)),
+    "ev_top_products": lambda s, d: ev.metrics(ev.top_product_rows(scored(s, d), fold_cells(s, d), real(s, d)), ["user_id", "product"]),
     "ev_pearson": pearson,
     "ev_autocorr": lambda s, d: ev.autocorr(real_daily(s, d), U, "y", 7),
     "ev_weekday_strength": lambda s, d: ev.weekday_strength(real_daily(s, d), U, "y"),
@@ -170,6 +219,7 @@ QUERIES = {
     "ev_dow_rank": lambda s, d: ev.ranked_pairs(dow_pairs(s, d), "dow"),
     "ev_category_rank": lambda s, d: ev.ranked_pairs(category_pairs(s, d), "category"),
     "ev_components": lambda s, d: ev.components(pf.fitted_total(s, d)),
+    "ev_component_sample": lambda s, d: ev.component_sample(pf.fitted_total(s, d), SAMPLE_DATES),
     "ev_ablation": ablation,
     "ev_gates": gates,
 }

@@ -1,45 +1,58 @@
-"""Registered queries: views over the prediction table."""
+"""Registered queries: views over the forecast shown to a workspace."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillgrain.operators import forecast as fc, menu, views
+from tillgrain.plans import forecast as pf
 from tillgrain.plans.dashboard import real
-from tillgrain.plans.forecast import data_end, naive_fitted, predictions
 from tillgrain.plans.params import AS_OF, PERIOD
 from tillgrain.sources import sales as src
 
 
-def window(spark: SparkSession, d: str) -> DataFrame:
-    return fc.window_slice(predictions(spark, d), data_end(spark, d), AS_OF, PERIOD)
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """Daily forecast of the window: PERIOD days from the first one that is due."""
+    return fc.window_slice(pf.service(spark, d), pf.data_end(spark, d), AS_OF, PERIOD)
 
 
-def priced(spark: SparkSession, d: str) -> DataFrame:
-    return views.priced(window(spark, d), menu.items(src.sales(spark, d)))
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return menu.items(src.sales(spark, d))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return fc.residual_stats(naive_fitted(spark, d))
+    return fc.residual_stats(pf.history_of(pf.fitted_total(spark, d)))
+
+
+def totals(spark: SparkSession, d: str) -> DataFrame:
+    return views.product_totals(days(spark, d), pf.cells(spark, d), items(spark, d))
+
+
+def breakdown(spark: SparkSession, d: str) -> DataFrame:
+    window = days(spark, d)
+    sums = views.product_totals(window, pf.cells(spark, d), items(spark, d))
+    return views.breakdown(sums, real(spark, d), window.groupBy("user_id").agg(F.count("*").alias("n_days")))
 
 
 QUERIES = {
-    "fc_revenue_profit": lambda s, d: views.revenue_profit(priced(s, d)),
-    "fc_daily_revenue": lambda s, d: views.daily_revenue(priced(s, d)),
-    "fc_heatmap": lambda s, d: views.heatmap(window(s, d), real(s, d)),
-    "fc_heatmap_peak": lambda s, d: views.heatmap_peak(window(s, d), real(s, d)),
-    "fc_item": lambda s, d: views.daily_view(priced(s, d), stats(s, d), ["user_id", "product"]),
+    "fc_revenue_profit": lambda s, d: views.revenue_profit(days(s, d), pf.cells(s, d), items(s, d)),
+    "fc_daily_revenue": lambda s, d: views.daily_revenue(days(s, d), pf.cells(s, d), items(s, d)),
+    "fc_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real(s, d)),
+    "fc_heatmap_peak": lambda s, d: views.heatmap_peak(days(s, d), pf.cells(s, d), real(s, d)),
+    "fc_item": lambda s, d: views.item_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
     "fc_time_of_day_available": lambda s, d: views.time_of_day_available(src.labelled(src.sales(s, d))),
-    "fc_period_totals": lambda s, d: views.period_totals(window(s, d)),
-    "fc_period_breakdown": lambda s, d: views.period_breakdown(window(s, d)),
-    "fc_category": lambda s, d: views.daily_view(priced(s, d), stats(s, d), ["user_id", "category"]),
-    "fc_category_items": lambda s, d: views.category_items(priced(s, d)),
-    "fc_total": lambda s, d: views.category_totals(priced(s, d)),
-    "fc_total_daily": lambda s, d: views.daily_view(priced(s, d), stats(s, d), ["user_id"]),
-    "fc_top_items": lambda s, d: views.top_items(priced(s, d), real(s, d)),
-    "fc_bottom_items": lambda s, d: views.bottom_items(priced(s, d), real(s, d)),
-    "fc_peak_day": lambda s, d: views.peak_day(window(s, d)),
+    "fc_period_totals": lambda s, d: views.period_totals(days(s, d), pf.cells(s, d)),
+    "fc_period_breakdown": lambda s, d: views.period_breakdown(days(s, d), pf.cells(s, d)),
+    "fc_category": lambda s, d: views.category_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
+    "fc_category_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real(s, d), items(s, d)),
+    "fc_category_items": lambda s, d: views.category_items(days(s, d), pf.cells(s, d), items(s, d)),
+    "fc_total": lambda s, d: views.category_totals(days(s, d), pf.cells(s, d), items(s, d)),
+    "fc_total_daily": lambda s, d: views.menu_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
+    "fc_top_items": lambda s, d: views.top_items(totals(s, d), real(s, d)),
+    "fc_bottom_items": lambda s, d: views.bottom_items(totals(s, d), real(s, d)),
+    "fc_peak_day": lambda s, d: views.peak_day(days(s, d)),
     "fc_seasonality": lambda s, d: views.seasonality(src.sales(s, d)),
-    "fc_tips": lambda s, d: views.tips(window(s, d)),
-    "fc_summary": lambda s, d: views.summary(window(s, d)),
+    "fc_tips": lambda s, d: views.tips(days(s, d)),
+    "fc_summary": lambda s, d: views.summary(days(s, d)),
+    "fc_breakdown": breakdown,
 }
