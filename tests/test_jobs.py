@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillgrain.operators import cleaning as cln, forecast as fc, menu, tables as tbl
+from tillgrain.functions import labels
+from tillgrain.operators import cleaning as cln, factored, forecast as fc, menu, tables as tbl
 from tillgrain.plans import forecast as pf
 from tillgrain.session import run_path
 from tillgrain.sources import pos_files, sales as src
@@ -67,14 +68,32 @@ def test_classes_partition_the_items(spark, sf):
 
 def test_cells_add_up_to_the_day(spark, sf):
     daily = pf.naive_future(spark, sf)
-    grid = fc.disaggregate(daily, pf.cells(spark, sf)).groupBy("user_id", "ds").agg(F.sum("yhat").alias("s"))
+    cells = sum(F.col(p) for p in labels.PERIODS)
+    grid = factored.expand(daily, pf.cells(spark, sf)).groupBy("user_id", "ds").agg(F.sum(cells).alias("s"))
     worst = grid.join(daily, ["user_id", "ds"]).agg(F.max(F.abs(F.col("s") - F.col("yhat"))).alias("d")).first().d
     assert worst < 1e-2
 
 
+def test_sums_on_factors_equal_sums_over_the_grid(spark, sf):
+    daily, cells = pf.naive_future(spark, sf), pf.cells(spark, sf)
+    items = cells.select("user_id", "product").distinct().withColumn("category", F.substring("product", 1, 3)).withColumn("price", (F.length("product") % 7).cast("double"))
+    grid = factored.expand(daily, cells).join(items, ["user_id", "product"]).cache()
+    every = sum(F.col(p) for p in labels.PERIODS)
+    near = lambda a, b: abs(a - b) <= 1e-3 * max(1.0, abs(b))
+    by = lambda df, keys, v: {tuple(r[k] for k in keys): r["v"] for r in df.groupBy(*keys).agg(F.sum(v).alias("v")).collect()}
+    want = by(grid, ["user_id", "product"], F.col("night"))
+    got = by(factored.totals(daily, cells).filter("time_period = 'night'"), ["user_id", "product"], F.col("total"))
+    assert got.keys() == want.keys() and all(near(got[k], want[k]) for k in want)
+    want = by(grid, ["user_id", "category", "ds"], every * F.col("price"))
+    got = by(factored.by_day(daily, cells, {"rev": F.col("price")}, ["category"], items), ["user_id", "category", "ds"], F.col("rev"))
+    assert got.keys() == want.keys() and all(near(got[k], want[k]) for k in want)
+    want = by(grid, ["user_id", "ds"], F.col("morning"))
+    got = by(factored.by_day(daily, cells, {"v": F.lit(1.0)}, ["time_period"]).filter("time_period = 'morning'"), ["user_id", "ds"], F.col("v"))
+    assert got.keys() == want.keys() and all(near(got[k], want[k]) for k in want)
+
+
 def test_scale_stays_in_bounds(spark, sf):
-    grid = fc.disaggregate(pf.naive_future(spark, sf), pf.cells(spark, sf))
-    scale = fc.baseline_scale(grid, fc.history_rate(src.sales(spark, sf)))
+    scale = fc.baseline_scale(pf.naive_future(spark, sf), fc.history_rate(src.sales(spark, sf)))
     row = scale.agg(F.min("scale").alias("a"), F.max("scale").alias("b")).first()
     assert 0.1 <= row.a and row.b <= 20.0
 
@@ -101,6 +120,8 @@ def test_stream_equals_batch(spark, tmp_path):
     ("2022/04/15", "08:30", "2022-04-15 08:30:00"), ("2022-04-15 00:00:00", "08:30:00", "2022-04-15 08:30:00"),
     ("4/15/2022", "8:30 PM", "2022-04-15 20:30:00"), ("15 April 2022", "12:05 am", "2022-04-15 00:05:00"),
     ("Apr 15, 2022", "08:30:00.5Z", "2022-04-15 08:30:00"), ("20220415", None, "2022-04-15 12:00:00"),
+    ("15/04/22", "08:30", "2022-04-15 08:30:00"), ("15-Apr-22", "08:30", "2022-04-15 08:30:00"), ("04/15/22", "08:30", "2022-04-15 08:30:00"),
+    ("Friday, April 15, 2022", "08:30", "2022-04-15 08:30:00"), ("May 5, 99", "08:30", "1999-05-05 08:30:00"), ("1/1/0202", "08:30", None),
     ("2022-02-30", "08:30", None), ("someday", "08:30", None), ("2022-04-15", "soon", None), (None, "08:30", None),
 ])
 def test_spelled_moments(spark, date, time, want):

@@ -84,11 +84,59 @@ def test_median_is_exact(spark):
         assert got[g] == pytest.approx(np.median([v for k, _, v in data if k == g]))
 
 
-def test_ridge_matches_normal_equations():
+def plain_fit(features, days, y, w, predict, drop=()):
+    """Weighted ridge of one series by the textbook, with the penalty of ``fit``."""
+    x = {d: np.array([1.0, *f]) for d, f in features.items()}
+    temps = np.array([x[d][-1] for d in days])
+    scaled = lambda d: np.append(x[d][:-1], (x[d][-1] - temps.mean()) / (temps.std() if temps.std() > 1e-9 else 1.0))
+    m = np.array([scaled(d) for d in days])
+    m[:, list(drop)] = 0.0
+    mean = np.average(y, weights=w)
+    noise = max(np.average((y - mean) ** 2, weights=w) / max(np.abs(y).max(), 1e-9) ** 2, 1e-9)
+    penalty = np.diag([noise / 25.0] + [1.0] * (m.shape[1] - 1))
+    beta = np.linalg.solve(m.T @ (m * w[:, None]) + penalty, m.T @ (w * y))
+    beta[list(drop)] = 0.0
+    return {d: max(float(scaled(d) @ beta), 0.0) for d in predict}
+
+
+def test_fits_match_one_series_at_a_time(spark):
+    """Every model of several series, solved in one stack from shared sums, against
+    the plain regression of each."""
     rng = np.random.default_rng(3)
-    x = np.column_stack([np.ones(80), rng.normal(size=(80, 3))])
-    beta = np.array([5.0, 1.0, -2.0, 0.5])
-    w = rng.choice([1.0, 3.0], 80)
-    y = x @ beta
-    got = fit.solve(x, y, w, np.full(4, 1e6), 0.0)
-    assert np.allclose(got, beta, atol=1e-3)
+    first = dt.date(2024, 1, 1)
+    days = [first + dt.timedelta(days=i) for i in range(160)]
+    table = [(d, *[float(v) for v in rng.integers(0, 2, len(fc.FEATURES) - 1)], float(rng.normal(30, 5))) for d in days]
+    design = spark.createDataFrame(table, "ds date, " + ", ".join(f"{f} double" for f in fc.FEATURES))
+    features = {r[0]: r[1:] for r in table}
+    rows = []
+    for user, n in ((1, 120), (2, 9), (3, 1), (4, 60)):
+        picked = sorted(rng.choice(120, n, replace=False).tolist())
+        rows += [(user, days[i], int(rng.integers(0, 50)) + (200 if i % 7 == 5 else 0), bool(rng.integers(0, 2)), days[130]) for i in picked]
+    history = spark.createDataFrame(rows, "user_id int, ds date, y long, is_imputed boolean, until date").repartition(3)
+    cutoff = str(days[70])
+    models = [fit.Model("full", days="span"), fit.Model("early", cutoff, days="after", horizon=20), fit.Model("solid", cutoff, robust=True, days="after", horizon=20),
+              fit.Model("plain", cutoff, drop="holidays", days="after", horizon=5), fit.Model("part", part=0.8)]
+    got = {(r.user_id, r.model, r.ds): r.yhat for r in fit.fit(history, ["user_id"], design, models).collect()}
+    gone = [1 + fc.FEATURES.index(f) for f in calendar.HOLIDAY_KEYS]
+    after = lambda n: [days[71 + i] for i in range(n)]
+    for user in (1, 2, 3, 4):
+        own = [r for r in sorted(rows, key=lambda r: r[1]) if r[0] == user]
+        early = [r for r in own if r[1] <= days[70]]
+        usual = {w: np.median([r[2] for r in early if r[1].weekday() == w]) for w in {r[1].weekday() for r in early}}
+        solid = [r for r in early if r[2] >= usual[r[1].weekday()] * 0.3]
+        span = [own[0][1] + dt.timedelta(days=i) for i in range((days[130] - own[0][1]).days + 1)]
+        for name, train, predict, drop in (("full", own, span, ()), ("early", early, after(20), ()), ("solid", solid, after(20), ()),
+                                           ("plain", early, after(5), gone), ("part", own[:int(len(own) * 0.8)], [r[1] for r in own], ())):
+            y, w = np.array([float(r[2]) for r in train]), np.array([1.0 if r[3] else 3.0 for r in train])
+            want = plain_fit(features, [r[1] for r in train], y, w, predict, drop) if train else dict.fromkeys(predict, 0.0)
+            mine = {d: v for (u, m, d), v in got.items() if (u, m) == (user, name)}
+            assert mine.keys() == want.keys() and all(abs(mine[d] - want[d]) <= 6e-4 for d in want), (user, name)
+
+
+def test_dates_outside_the_calendar_stop_the_job(spark):
+    inside = spark.createDataFrame([(dt.date(1970, 5, 1),), (dt.date(2060, 5, 1),), (None,)], "ds date")
+    assert [r.occasion for r in calendar.with_calendar(inside, ["occasion"]).orderBy("ds").collect()] == [None, "Post-payday spending", "Post-payday spending"]
+    with pytest.raises(Exception, match="the calendar covers"):
+        calendar.with_calendar(spark.createDataFrame([(dt.date(2090, 5, 1),)], "ds date"), ["occasion"]).collect()
+    starts = calendar.calendar(spark).agg(F.min("ds").alias("a"), F.max("ds").alias("b")).first()
+    assert (starts.a, starts.b) == calendar.covered()

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tillgrain.functions import labels
 from tillgrain.functions.tables import values
 
-#: Hijri years the calendar covers by default (1979 to 2047)
-HIJRI_YEARS = (1399, 1470)
+#: Hijri years the calendar covers by default (June 1960 to March 2068)
+HIJRI_YEARS = (1380, 1490)
 HOLIDAY_PADDING = 35
 
 # Holiday, days after the anchor it starts at, last day offset of its window.
@@ -48,15 +49,15 @@ def hijri_months(spark: SparkSession, first: int = HIJRI_YEARS[0], last: int = H
         epoch = dt.date(1970, 1, 1)
         months = [(y, m) for y in range(first, last + 1) for m in range(1, 13)] + [(last + 1, 1)]
         starts = [epoch + dt.timedelta(days=of(y, m, 1).toEpochDay()) for y, m in months]
-        rows = [(m, a, b) for (_, m), a, b in zip(months, starts, starts[1:])]
-        known[first, last] = values(spark, rows, "hijri_month int, month_start date, next_start date")
+        table = pa.table({"hijri_month": pa.array([m for _, m in months[:-1]], pa.int32()), "month_start": starts[:-1], "next_start": starts[1:]})
+        known[first, last] = spark.createDataFrame(table)
     return known[first, last]
 
 
 def calendar(spark: SparkSession, first: int = HIJRI_YEARS[0], last: int = HIJRI_YEARS[1]) -> DataFrame:
     """One row per day with every label. Days are unrolled from the month table,
     so finding a date's Hijri month is no range join but an equi-join on ``ds``.
-    The row count is fixed by the year span (about 25,000), which is what makes
+    The row count is fixed by the year span (about 39,000), which is what makes
     broadcasting it safe at any data size."""
     days = hijri_months(spark, first, last).select(
         "hijri_month",
@@ -77,10 +78,24 @@ def calendar(spark: SparkSession, first: int = HIJRI_YEARS[0], last: int = HIJRI
     )
 
 
+# First day of the first and last day of the last year of HIJRI_YEARS.
+COVERED = (dt.date(1960, 6, 26), dt.date(2068, 3, 4))
+
+
+def covered() -> tuple[dt.date, dt.date]:
+    """First and last day the calendar has labels for."""
+    return COVERED
+
+
 def with_calendar(df: DataFrame, columns: list[str], on: str = "ds") -> DataFrame:
-    """Left join of calendar columns on a date column."""
+    """Left join of calendar columns on a date column. A date that the calendar
+    does not cover stops the job: it has labels, the table just lacks them."""
+    first, last = COVERED
+    inside = F.col(on).isNull() | F.col(on).between(F.lit(first), F.lit(last))
+    said = F.concat(F.lit(f"the calendar covers {first} to {last}, not "), F.col(on).cast("string"))
     cal = calendar(df.sparkSession).select(F.col("ds").alias(on), *columns)
-    return df.join(F.broadcast(cal), on, "left")
+    checked = df.withColumn(on, F.when(inside, F.col(on)).otherwise(F.raise_error(said).cast("date")))
+    return checked.join(F.broadcast(cal), on, "left")
 
 
 def spine(bounds: DataFrame, start: str | Column, end: str | Column, keys: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,9 @@ SELECT user_id, is_imputed, order_id, order_date, hour,
   CASE WHEN order_id % 103 = 0 THEN 'bad-date' WHEN order_id % 11 = 1 AND day(order_date) > 12 THEN strftime(order_date, '%d/%m/%Y')
     WHEN order_id % 11 = 2 THEN strftime(order_date, '%Y/%m/%d') WHEN order_id % 11 = 3 THEN strftime(order_date, '%-m/%-d/%Y')
     WHEN order_id % 11 = 4 THEN strftime(order_date, '%Y-%m-%d 00:00:00') WHEN order_id % 11 = 5 THEN strftime(order_date, '%b %-d, %Y')
-    WHEN order_id % 11 = 6 THEN strftime(order_date, '%Y%m%d') ELSE CAST(order_date AS VARCHAR) END AS date,
+    WHEN order_id % 11 = 6 THEN strftime(order_date, '%Y%m%d')
+    WHEN order_id % 11 = 7 AND day(order_date) > 12 THEN strftime(order_date, '%d/%m/%y') WHEN order_id % 11 = 8 THEN strftime(order_date, '%-d-%b-%y')
+    WHEN order_id % 11 = 9 THEN strftime(order_date, '%A, %B %-d, %Y') WHEN order_id % 11 = 10 THEN strftime(order_date, '%m/%d/%y') ELSE CAST(order_date AS VARCHAR) END AS date,
   CASE WHEN order_id % 5 = 0 THEN '' WHEN order_id % 13 = 1 THEN hour || ':15:00' WHEN order_id % 13 = 2 THEN {HH} || ':15'
     WHEN order_id % 13 = 3 THEN ((hour + 11) % 12 + 1) || ':15 ' || CASE WHEN hour < 12 THEN 'AM' ELSE 'PM' END ELSE {HH} || ':15:00' END AS time,
   CASE WHEN order_id % 10 = 0 THEN '' WHEN order_id % 10 = 5 THEN 'evening' WHEN order_id % 10 = 7 THEN 'NULL' ELSE {period('hour')} END AS time_period,
@@ -45,7 +47,7 @@ block("clean_rows", f"""
 SELECT n.* EXCLUDE (season, occasion, time_period),
   CASE WHEN b_tp THEN {period('hour(order_datetime)')} ELSE time_period END AS time_period,
   CASE WHEN b_se THEN {season_met('order_datetime')} ELSE n.season END AS season,
-  CASE WHEN b_oc THEN coalesce(c.occasion, 'Normal Day') ELSE n.occasion END AS occasion,
+  CASE WHEN b_oc THEN c.occasion ELSE n.occasion END AS occasion,
   coalesce(n.order_reference <> '' AND sku <> '' AND quantity > 0 AND order_datetime IS NOT NULL, false) AS ok
 FROM normal_rows n LEFT JOIN cal c ON c.ds = CAST(n.order_datetime AS DATE)""")
 block("lines", """

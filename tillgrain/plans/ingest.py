@@ -36,7 +36,9 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 103 == 0, "bad-date").when((k % 11 == 1) & (F.dayofmonth(ds) > 12), F.date_format(ds, "dd/MM/yyyy"))
         .when(k % 11 == 2, F.date_format(ds, "yyyy/MM/dd")).when(k % 11 == 3, F.date_format(ds, "M/d/yyyy"))
         .when(k % 11 == 4, F.date_format(ds, "yyyy-MM-dd 00:00:00")).when(k % 11 == 5, F.date_format(ds, "MMM d, yyyy"))
-        .when(k % 11 == 6, F.date_format(ds, "yyyyMMdd")).otherwise(ds.cast("string")).alias("date"),
+        .when(k % 11 == 6, F.date_format(ds, "yyyyMMdd"))
+        .when((k % 11 == 7) & (F.dayofmonth(ds) > 12), F.date_format(ds, "dd/MM/yy")).when(k % 11 == 8, F.date_format(ds, "d-MMM-yy"))
+        .when(k % 11 == 9, F.date_format(ds, "EEEE, MMMM d, yyyy")).when(k % 11 == 10, F.date_format(ds, "MM/dd/yy")).otherwise(ds.cast("string")).alias("date"),
         F.when(k % 5 == 0, "").when(k % 13 == 1, F.concat(F.col("hour").cast("string"), F.lit(":15:00")))
         .when(k % 13 == 2, F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":15")))
         .when(k % 13 == 3, F.concat(((F.col("hour") + 11) % 12 + 1).cast("string"), F.lit(":15 "), F.when(F.col("hour") < 12, "AM").otherwise("PM")))
