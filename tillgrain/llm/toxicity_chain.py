@@ -26,6 +26,7 @@ BUCKETS = 1 << 18
 #: Hashed words per category that a model may use, and documents a word needs.
 WORDS, LEAST_DOCS = 2048, 3
 FOLDS = 5
+FALSE = 0.25
 RIDGE = 2e-4
 DENSE = ("log_words", "symbols", "upper", "repeated_lines")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,6 +72,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def evidence(hit: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
+    """Negative logarithm of the chance (Chernoff's bound) that a word that says
+    nothing has ``hit`` examples among the ``seen`` documents it is in. It
+    means the same however few examples there are."""
+    rate = hit / np.maximum(seen, 1)
+    part = lambda a, b: a * np.log(np.maximum(a, 1e-12) / b)
+    return seen * (part(rate, share) + part(1 - rate, 1 - share))
+
+
 class Linear:
     """Logistic regression on selected hashed words and dense inputs."""
 
@@ -79,9 +89,12 @@ class Linear:
         col = np.concatenate(words) if len(words) else np.empty(0, np.int64)
         seen, hit = np.bincount(col, minlength=BUCKETS), np.bincount(col, y[row], BUCKETS)
         share = (y.sum() + 0.5) / (len(y) + 1)
-        gain = np.where(seen >= LEAST_DOCS, (hit - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9), 0)
+        gain = np.where(seen >= LEAST_DOCS, evidence(hit, seen, share), 0)
         top = np.argsort(-gain, kind="stable")[:WORDS]
-        self.columns = np.sort(top[gain[top] > 0])
+        # the most words of which a share of FALSE at most is expected to say nothing
+        bound = np.log(max(1, np.count_nonzero(seen >= LEAST_DOCS)) / (FALSE * np.arange(1, len(top) + 1)))
+        passed = np.flatnonzero(gain[top] >= bound)
+        self.columns = np.sort(top[:passed[-1] + 1] if len(passed) else top[:0])
         self.mean, self.scale = dense.mean(0), dense.std(0) + 1e-6
         self.word, self.dense, self.bias = np.zeros(len(self.columns)), np.zeros(dense.shape[1]), np.log(share / (1 - share))
         place = np.full(BUCKETS, -1)
