@@ -195,6 +195,44 @@ def test_surrogates(docs, rows, nothing, spark):
     assert plain == dict(rows)  # nothing to find: texts stay
 
 
+def test_surrogates_of_people_and_odd_forms(spark):
+    texts = {1: "Mr John Smith said. Mr Smith agreed. John Smith left, and Smith came back.", 2: "Mrs Smith met Dr John Smith.", 3: "password: CorrectHorseBattery",
+             4: "call +15551234567 or +44 20 7946 0958", 5: '{"api_key": "abcd1234efgh5678"}', 6: "token = aaaa1111.bbbb2222.cccc3333 and on",
+             7: "secret: " + "k3y" * 150 + " end", 8: "Password: ____________ 1", 9: "my name is Anna Lee. Anna Lee it is.", 10: "Mrs Garba and Mr Garba, Mr 王小明",
+             11: "x " * 50_000 + "Mr Ode", 12: "pwd=hunter22, ok"}
+    frame = spark.createDataFrame(list(texts.items()) + [(None, texts[1]), (1, texts[1])], "doc_id long, text string")
+    rows = pii_surrogates.replace(frame, b"k").toArrow().to_pylist()
+    out = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == 14 and out[None] == out[1]
+    first, last = out[1].split(" said")[0].split(" ")[1:]
+    assert out[1] == f"Mr {first} {last} said. Mr {last} agreed. {first} {last} left, and {last} came back."
+    assert out[2].startswith(f"Mrs {last} met Dr ") and out[2].endswith(f" {last}.")
+    for d, gone in ((3, "Correct"), (4, "5551234567"), (4, "7946"), (5, "abcd1234"), (6, "bbbb2222"), (6, "cccc3333"), (7, "k3yk3y"), (9, "Anna"), (10, "小"), (11, "Ode"), (12, "hunter")):
+        assert gone not in out[d], (d, out[d][:80])
+    assert out[7].endswith(" end") and len(out[7]) == len(texts[7]) and out[8] == texts[8] and out[12].endswith(", ok")
+    same = out[10].replace(",", "").split(" ")
+    assert same[1] == same[4]
+    assert {r["text"] for r in pii_surrogates.replace(frame, b"other").toArrow().to_pylist()} != set(out.values())
+
+
+def test_many_names_find_distinct_surrogates(spark):
+    """More names than the shortest surrogates: later attempts are longer."""
+    names = spark.range(200_000).selectExpr("'family' AS kind", "concat('q', conv(id, 10, 26)) AS canon")
+    again = pii_surrogates.redrawn(names, b"k")
+    first = pii_surrogates.drawn(names.selectExpr("*", "0 AS attempt"), b"k")
+    final = first.join(again.withColumnRenamed("made", "later"), ["kind", "canon"], "left").selectExpr("canon", "coalesce(later, made) AS made")
+    assert final.select("made").distinct().count() == 200_000
+    assert final.join(names.selectExpr("canon AS made"), "made").count() == 0
+
+
+def test_key_is_needed_on_a_cluster(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://somewhere"})
+    with pytest.raises(ValueError, match="secret key"):
+        pii_surrogates.key_of(Elsewhere())
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     """Draws from a space hardly larger than the entities collide and are drawn again."""
     monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, attempt=0, key=b"": f"{hash((canon, attempt)) % 40:03d}")

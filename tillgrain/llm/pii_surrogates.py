@@ -4,9 +4,13 @@ An entity is found by pattern, put into a canonical form (digits only, lower
 case), and given a surrogate of the same type from a keyed digest: the same
 entity gets the same surrogate in every document and format, letters stay
 letters of their script, digits stay digits, separators, case and title stay.
-Spark checks the surrogates of all distinct entities for collisions, with each
-other and with entities that occur, and draws again until none is left; the few
-that had to draw again reach their documents by a join.
+A person's given and family names have a surrogate each, so that all forms of a
+name (full, with a title, family name alone) stay forms of one name; names that
+a document gives with a title or an introduction are replaced wherever it
+repeats them. Spark checks the surrogates of all distinct entities, as they are
+written, for collisions with each other and with entities that occur, and draws
+again until none is left; surrogates lengthen with the attempt, so there are
+always free ones. The few that had to draw again reach their documents by a join.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tillgrain.llm.common import settled, slices, unused
 
-KEY = b"surrogates"
+#: Spark setting that holds the secret key of the surrogates.
+KEY_SETTING = "spark.tillgrain.surrogateKey"
+ROUNDS = 200
 
 # fixed values: titles by gender, and given names the surrogates are drawn from
 MALE_TITLES = ("Mr", "Mister", "Monsieur", "Herr", "Señor", "Sr", "г-н", "господин")
@@ -39,20 +45,23 @@ SYLLABLES = {"latin": ("ba", "del", "fo", "gar", "hin", "ka", "lo", "mer", "nov"
              "cyrillic": ("ба", "вел", "го", "дар", "зин", "ка", "ло", "мир", "нов", "пас", "ро", "сел", "тин", "ул", "фер", "шен")}
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àâäçèéêëîïñôöùûü", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
+#: Words before a name that its bearer says.
+_TELLS = "my name is|je m'appelle|mein name ist|mi nombre es|me llamo|меня зовут"
 _NAME = r"[^\W\d_]\w*(?:[-'][^\W\d_]\w*)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(sorted((t + (r"\.?" if t in SHORT_TITLES else "") for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES), key=len, reverse=True))
 PATTERN = re.compile("|".join((
-    r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+-]{12,256})",
+    r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?=[\w/+.=~-]{8})[A-Za-z0-9_/+.=~-]*[A-Za-z0-9])",
     r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})",
     rf"(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w)(?!\.\d))",
+    r"(?P<world>(?<![\w.])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w))",
     r"(?P<card>(?<![\w.])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\w))",
     r"(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[ .-])?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     rf"(?P<name>(?<!\w)(?P<title>{_TITLE}) (?P<who>{_NAME}(?: {_NAME})?))",
+    rf"(?P<told>(?<!\w)(?i:{_TELLS}) (?P<self>{_NAME}(?: {_NAME})?))",
 )))
-_DIGIT_OR_AT = re.compile("[0-9@]")
 DIGIT_TYPES = ("card", "ssn", "phone")
 
 
@@ -61,28 +70,78 @@ def _gender(title: str) -> str:
     return "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "n"
 
 
+def _names(m: re.Match) -> tuple[str, list[str], int]:
+    """Gender, words and start of a titled or told name; no words if it is none."""
+    titled = m["name"] is not None
+    text, start = (m["who"], m.start("who")) if titled else (m["self"], m.start("self"))
+    words = text.split(" ")
+    words = words[:next((i for i, w in enumerate(words) if w[0].islower()), len(words))]
+    return (_gender(m["title"]) if titled else "n"), words, start
+
+
+def _mentions(found: list[tuple], people: dict[str, tuple[str, str]], text: str) -> Iterator[tuple[str, str, int, int]]:
+    """The name words of a document's people where they stand alone."""
+    taken = sorted((a, b) for _, _, a, b in found)
+    at = 0
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, people), key=len, reverse=True)) + r")(?!\w)", text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            kind, canon = people[m[0]]
+            yield "name", f"{kind}:{canon}", m.start(), m.end()
+
+
 def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(type, canonical form, start, end) of what is to be replaced, in order."""
-    if not _DIGIT_OR_AT.search(text) and not any(t in text for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES):
-        return
+    """(type, canonical form, start, end) of what is to be replaced, in order.
+
+    A name's canonical form lists its parts, given and family name: the first
+    gender that a document gives a person holds for all its mentions. A lone word
+    after a title is a family name, after an introduction a given one.
+    """
+    found, named, genders = [], [], {}
     for m in PATTERN.finditer(text):
-        kind = next(k for k in ("secret", "email", "ip", "card", "ssn", "phone", "iban", "name") if m[k] is not None)
-        if kind == "name":
-            words = m["who"].split(" ")
-            words = words[:next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))]
+        kind = next(k for k in ("secret", "email", "ip", "world", "card", "ssn", "phone", "iban", "name", "told") if m[k] is not None)
+        if kind in ("name", "told"):
+            gender, words, start = _names(m)
             if words:
-                who = " ".join(words)
-                yield kind, f"{_gender(m['title'])} {who.lower()}", m.start("who"), m.start("who") + len(who)
+                end = start + len(" ".join(words))
+                given = words[0] if len(words) > 1 or kind == "told" else None
+                family = words[-1] if len(words) > 1 or kind == "name" else None
+                if given and gender != "n":
+                    genders.setdefault(given.lower(), gender)
+                named.append((given, family, start, end))
             continue
         value = m[kind]
-        if kind in DIGIT_TYPES:
+        if kind == "world":
+            kind, canon = "phone", re.sub(r"\D", "", value)
+            canon = canon[-10:] if len(canon) > 10 else canon
+        elif kind in DIGIT_TYPES:
             canon = re.sub(r"\D", "", value)
             canon = canon[-10:] if kind == "phone" else canon  # with or without the country's code
         elif kind == "iban":
             canon = value.replace(" ", "")
         else:
             canon = value if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", value) else value.lower()
-        yield kind, canon, m.start(kind), m.end(kind)
+        name = "world" if m["world"] is not None else kind
+        found.append((kind, canon, m.start(name), m.end(name)))
+    if named:
+        people: dict[str, tuple[str, str]] = {}
+        for given, family, start, end in named:
+            parts = [("given", f"{genders.get(given.lower(), 'n')} {given.lower()}")] if given else []
+            parts += [("family", family.lower())] if family else []
+            found.append(("name", "|".join(f"{k}:{c}" for k, c in parts), start, end))
+            for word, part in zip([w for w in (given, family) if w], parts):
+                people.setdefault(word, part)
+        found += _mentions(found, people, text)
+        found.sort(key=lambda e: e[2])
+    yield from found
+
+
+def parts_of(kind: str, canon: str) -> list[tuple[str, str]]:
+    """What has a surrogate of its own: an entity, or the parts of a name."""
+    if kind != "name":
+        return [(kind, canon)]
+    return [tuple(part.split(":", 1)) for part in canon.split("|")]
 
 
 class Draw:
@@ -111,6 +170,9 @@ def _like(c: str, draw: Draw, digits: str = "0123456789") -> str:
         if low in alphabet:
             got = draw.of(alphabet)
             return got.upper() if c != low else got
+    if c.isalpha():  # another script: one of the letters around it
+        near = [x for x in map(chr, range(ord(c) & ~15, (ord(c) | 15) + 1)) if x.isalpha() and x.isupper() == c.isupper()]
+        return draw.of(near)
     return c
 
 
@@ -122,36 +184,48 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
-def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """Canonical surrogate of a canonical entity; never the entity itself."""
-    draw = Draw(key, kind, canon, attempt)
+def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = b"") -> str:
+    """Canonical surrogate of a canonical entity; never the entity itself. Names,
+    hosts and secrets grow with the attempt, so a free one is always found."""
+    for again in range(ROUNDS):
+        out = _drawn(kind, canon, attempt, Draw(key, kind, canon, attempt, again))
+        if out != (canon.split(" ", 1)[1] if kind == "given" else canon):
+            return out
+    raise ValueError(f"no surrogate for an entity of type {kind}")
+
+
+def _script(word: str) -> str:
+    return "cyrillic" if re.search("[а-яё]", word) else "latin" if re.search("[a-zà-ž]", word) else "other"
+
+
+def _drawn(kind: str, canon: str, attempt: int, draw: Draw) -> str:
     if kind == "email":
         local, domain = canon.split("@", 1)
-        site = Draw(key, "domain", domain)
-        host = "".join(site.of(SYLLABLES["latin"]) for _ in range(4))
-        out = f"{''.join(_like(c, draw) for c in local)}@{host}.example.{domain.rsplit('.', 1)[1]}"
-    elif kind == "ip":
+        site = Draw(draw.key, "domain", domain, *([attempt] if attempt else []))
+        host = "".join(site.of(SYLLABLES["latin"]) for _ in range(4 + attempt))
+        return f"{''.join(_like(c, draw) for c in local)}@{host}.example.{domain.rsplit('.', 1)[1]}"
+    if kind == "ip":
         first = canon.split(".")[0]
-        inside = first in ("10", "127", "192", "172")
-        out = ".".join([first if inside else str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(2)), str(1 + draw.below(254))])
-    elif kind == "card":
+        inside = first in ("10", "127", "192", "172") and attempt < ROUNDS // 2
+        return ".".join([first if inside else str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(2)), str(1 + draw.below(254))])
+    if kind == "card":
         body = canon[0] + "".join(draw.of("0123456789") for _ in canon[1:-1])
         check = next(d for d in "0123456789" if _luhn(body + d) == 0)
-        out = body + (check if _luhn(canon) == 0 else draw.of("0123456789".replace(check, "")))
-    elif kind == "phone":
-        out = "".join(draw.of("0123456789") for _ in canon)
-    elif kind == "iban":
-        out = canon[:2] + "".join(_like(c, draw) for c in canon[2:])
-    elif kind == "name":
-        gender, *words = canon.split(" ")
-        script = "cyrillic" if re.search("[а-яё]", canon) else "latin"
-        family = lambda: "".join(draw.of(SYLLABLES[script]) for _ in range(3 + draw.below(2)))
-        out = f"{gender} " + " ".join([*([draw.of(GIVEN[script, gender]).lower()] if len(words) > 1 else []), family()])
-    elif kind == "secret" and re.fullmatch("[0-9a-f]+", canon):
-        out = "".join(draw.of("0123456789abcdef") for _ in canon)
-    else:
-        out = "".join(_like(c, draw) for c in canon)
-    return out if out != canon else surrogate(kind, canon, attempt + 1_000_000, key)
+        return body + (check if _luhn(canon) == 0 else draw.of("0123456789".replace(check, "")))
+    if kind in DIGIT_TYPES:
+        return "".join(draw.of("0123456789") for _ in canon)
+    if kind == "iban":
+        return canon[:2] + "".join(_like(c, draw) for c in canon[2:])
+    if kind in ("given", "family"):
+        word = canon.split(" ", 1)[1] if kind == "given" else canon
+        script = _script(word)
+        if script == "other":
+            return "".join(_like(c, draw) for c in word) + "".join(_like(word[0], draw) for _ in range(attempt))
+        made = lambda n: "".join(draw.of(SYLLABLES[script]) for _ in range(n))
+        return draw.of(GIVEN[script, canon[0]]).lower() + made(attempt) if kind == "given" else made(3 + draw.below(2) + attempt)
+    if kind == "secret" and re.fullmatch("[0-9a-f]+", canon):
+        return "".join(draw.of("0123456789abcdef") for _ in canon)
+    return "".join(_like(c, draw) for c in canon)
 
 
 def written(kind: str, original: str, made: str) -> str:
@@ -161,8 +235,7 @@ def written(kind: str, original: str, made: str) -> str:
         digits = iter(re.sub(r"\D", "", original)[:code] + made)
         return "".join(next(digits) if c.isdigit() else c for c in original)
     if kind == "name":
-        words = made.split(" ", 1)[1]
-        return words.upper() if original.isupper() and len(original) > 1 else words.title()
+        return made.upper() if original.isupper() and len(original) > 1 else made.title()
     if kind == "iban":
         chars = iter(made)
         return "".join(c if c == " " else next(chars) for c in original)
@@ -179,7 +252,7 @@ def found_entities(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [(i, *e) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t
-                    for e in sorted({(k, c) for k, c, _, _ in entities(t)})]
+                    for e in sorted({part for k, c, _, _ in entities(t) for part in parts_of(k, c)})]
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -199,16 +272,29 @@ def drawn(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, made string")
 
 
-def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark, key: bytes | None = None) -> bytes:
+    """The key of the surrogates: given, or the session's setting KEY_SETTING. Only
+    a local session (tests) may do without."""
+    setting = spark.conf.get(KEY_SETTING, None)
+    if key or setting:
+        return key or setting.encode()
+    if spark.sparkContext.master.startswith("local"):
+        return b"local"
+    raise ValueError(f"surrogates need a secret key: pass one or set {KEY_SETTING}")
+
+
+def redrawn(distinct: DataFrame, key: bytes = b"") -> DataFrame:
     """(kind, canon, made) of the distinct entities (kind, canon) whose first
     surrogate was taken: by an entity that occurs, or by another entity's
     surrogate. Repeats until the surrogates of all entities are distinct.
     """
+    group = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind")).alias("group")
+    plain = F.when(F.col("kind") == "given", F.substring_index("canon", " ", -1)).otherwise(F.col("canon"))  # without the gender
     current = settled(drawn(distinct.withColumn("attempt", F.lit(0)), key), "surrogates")
-    real = distinct.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-    while True:
-        first = Window.partitionBy("kind", "made").orderBy("attempt", "canon")
-        marked = current.join(real, ["kind", "made"], "left").withColumn(
+    real = distinct.select(group, plain.alias("made"), F.lit(True).alias("real")).distinct()
+    for _ in range(ROUNDS):
+        first = Window.partitionBy("group", "made").orderBy("attempt", "kind", "canon")
+        marked = current.withColumn("group", group).join(real, ["group", "made"], "left").withColumn(
             "again", F.coalesce("real", F.lit(False)) | (F.row_number().over(first) > 1))
         marked = settled(marked.select("kind", "canon", "attempt", "made", "again"), "surrogates-checked")
         again = marked.where("again")
@@ -216,16 +302,19 @@ def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
             return marked.where("attempt > 0").select("kind", "canon", "made")
         fresh = drawn(again.withColumn("attempt", F.col("attempt") + 1), key)
         current = settled(marked.where("NOT again").select("kind", "canon", "attempt", "made").unionByName(fresh), "surrogates")
+    raise ValueError("entities of a type outnumber its surrogates")
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with the text's entities replaced, and the columns
     ``n_entities`` and ``entity_types`` (distinct types, sorted, comma between).
 
     All other columns pass through (columns named like the added ones are
     replaced). Null and empty texts stay as they are. Rows are independent, so
-    repeated rows and null ids are treated alike.
+    repeated rows and null ids are treated alike. A value without letters or digits
+    is no entity.
     """
+    key = key_of(docs.sparkSession, key)
     docs = docs.drop("n_entities", "entity_types")
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
     found = settled(found_entities(docs.select(ids, "text")), "entities")
@@ -244,7 +333,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 taken = {(r["kind"], r["canon"]): r["made"] for r in redrawn_here or ()}
                 parts, last, seen, n = [], 0, set(), 0
                 for kind, canon, a, b in entities(text or ""):
-                    made = taken.get((kind, canon)) or surrogate(kind, canon, 0, key)
+                    made = " ".join(taken.get(part) or surrogate(*part, 0, key) for part in parts_of(kind, canon))
                     parts += [text[last:a], written(kind, text[a:b], made)]
                     last, n = b, n + 1
                     seen.add(kind)

@@ -44,8 +44,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def demonstration_key(spark: SparkSession) -> bytes:
+    """The session's key; the made-up documents of the registered queries do
+    without a secret one."""
+    return spark.conf.get(pii_surrogates.KEY_SETTING, "demonstration").encode()
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), demonstration_key(spark))
     return found.select("doc_id", "text", "n_entities", "entity_types")
 
 

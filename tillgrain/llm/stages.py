@@ -34,7 +34,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by surrogates; ``n_chars``, where
     there is one, follows the text."""
-    done = pii_surrogates.replace(docs)
+    done = pii_surrogates.replace(docs, spark.conf.get(pii_surrogates.KEY_SETTING, "demonstration").encode())
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
