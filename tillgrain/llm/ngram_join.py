@@ -39,7 +39,7 @@ BLOCK = 1024
 #: Frequent shingles are found by counts in pieces of COUNT_PIECE shingles; the
 #: list that orders them last has at most FREQUENT entries (16 bytes each). It
 #: only changes the order, never which pairs are found.
-COUNT_PIECE, COUNT_LEAST, FREQUENT = 4 << 20, 3, 1 << 17
+COUNT_PIECE, COUNT_LEAST, FREQUENT = 1 << 20, 3, 1 << 17
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
