@@ -6,54 +6,40 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tillgrain.session import through_table
 
-#: value bands per power of ten
-BANDS_PER_DECADE = 40
-
-
-def _band(value: Column) -> Column:
-    """Order-preserving band of a number, a pure function of the value, so a
-    retried task puts a row into the same band."""
-    v = value.cast("double")
-    size = F.floor(F.log10(F.abs(v)) * BANDS_PER_DECADE) + 100_000
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("int")
-
-
-def ranked(
-    df: DataFrame, keys: list[str], value: str, tie: str, name: str = "place", write: bool = True
-) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "place") -> DataFrame:
     """Row number by ``value`` descending, then ``tie`` ascending, per group.
 
-    A plain window would sort all of a hot group in one task. Here rows are
-    numbered inside (group, value band), and the sizes of the bands before are
-    added. The band table holds a bounded number of rows per group, so its
-    window stays small however big a group is. The aggregated input is written
-    once (``write``), because both branches need it and the fact scan must not
-    run twice.
+    A plain window would sort all of a hot group in one task, and so would bands
+    of values where a million rows share one. Here the rows are dealt into ranges
+    of (group, value, tie) of about equal size, which split equal values by their
+    tie; rows are numbered inside (range, group), and the sizes of the ranges
+    before are added. The dealt rows are written once, so every branch sees the
+    same ranges; their table of sizes has a row per range and group.
     """
-    banded = (through_table(df, "ranked") if write else df).withColumns({
-        "_band": -_band(F.col(value)),
-        "_value": -F.col(value),
-    })
-    sizes = banded.groupBy(*keys, "_band").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_band").orderBy("_value", tie)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, F.col("_value"), F.col(tie)]
+    dealt = df.withColumn("_value", -F.col(value)).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    stored = through_table(dealt, "ranked")
+    sizes = stored.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_value", tie)
     return (
-        banded.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, [*keys, "_band"])
+        stored.withColumn("_at", F.row_number().over(inside))
+        .join(offsets, [*keys, "_range"])
         .withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint"))
-        .drop("_band", "_value", "_before", "_at")
+        .drop("_range", "_value", "_before", "_at")
     )
 
 
 def median(df: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
     """Exact median per group from the one or two middle ranks. The built-in
     ``median`` keeps every distinct value of a group in one task's memory.
-    ``df`` must be a stored table: it is read three times."""
+    ``df`` must be a stored table: it is read twice. NULLs do not count."""
     sizes = df.groupBy(*keys).agg(F.count(value).alias("_size"))
     middle = F.col("_place").isin(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1)
     return (
-        ranked(df, keys, value, tie, "_place", write=False)
+        ranked(df.filter(F.col(value).isNotNull()), keys, value, tie, "_place")
         .join(sizes, keys)
         .filter(middle)
         .groupBy(*keys)

@@ -98,12 +98,11 @@ def has_comparison(sales: DataFrame) -> DataFrame:
 
 
 def product_totals(sales: DataFrame) -> DataFrame:
-    """Revenue and units per product with its category."""
-    return sales.groupBy("user_id", "product").agg(
-        F.min("category").alias("category"),
-        F.sum(line_cents()).alias("rev"),
-        F.sum("quantity").alias("qty"),
-    )
+    """Revenue and units per product with its category. The lines are added up by
+    product and category, which a hash aggregate can do; a text minimum over them
+    would sort every line."""
+    lines = sales.groupBy("user_id", "product", "category").agg(F.sum(line_cents()).alias("rev"), F.sum("quantity").alias("qty"))
+    return lines.groupBy("user_id", "product").agg(F.min("category").alias("category"), F.sum("rev").alias("rev"), F.sum("qty").alias("qty"))
 
 
 def best_seller(sales: DataFrame) -> DataFrame:

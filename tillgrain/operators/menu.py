@@ -7,6 +7,8 @@ store it with ``item_table``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillgrain.functions import labels, rules
@@ -18,15 +20,27 @@ from tillgrain.session import through_table
 POPULARITY_FACTOR = 0.7
 
 
+def order_key() -> Column:
+    """Date, order and line as one number, so that the earliest line is a plain
+    minimum: a fixed-width value that a hash aggregate can hold."""
+    days = F.coalesce(F.datediff("order_date", F.lit("1900-01-01").cast("date")), F.lit(999_999)).cast("decimal(7,0)")
+    place = F.col("order_id").cast("decimal(19,0)") * F.lit(Decimal(10**5))
+    return days * F.lit(Decimal(10**24)) + place + F.col("line_no").cast("decimal(10,0)")
+
+
 def items(sales: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Totals per product; category, price and cost of the earliest line."""
-    earliest = F.struct("order_date", "order_id", "line_no", "price_cents", "cost_cents")
-    first = F.min_by(F.struct("category", "price_cents", "cost_cents"), earliest)
-    agg = sales.groupBy(*keys, "product").agg(
-        first.alias("f"),
-        F.sum("quantity").alias("qty"),
-        F.sum(F.col("quantity") * F.col("price_cents")).alias("rev_cents"),
-        F.sum(F.col("quantity") * F.col("cost_cents")).alias("total_cost_cents"),
+    """Totals per product; category, price and cost of the earliest line.
+
+    The lines are added up by product and price first, with the earliest place of
+    each price; what is left per product are its few prices."""
+    by = [*keys, "product"]
+    prices = sales.groupBy(*by, "category", "price_cents", "cost_cents").agg(
+        F.sum("quantity").alias("qty"), F.min(order_key()).alias("first"))
+    agg = prices.groupBy(*by).agg(
+        F.min_by(F.struct("category", "price_cents", "cost_cents"), F.struct("first", "price_cents", "cost_cents")).alias("f"),
+        F.sum("qty").alias("qty"),
+        F.sum(F.col("qty") * F.col("price_cents")).alias("rev_cents"),
+        F.sum(F.col("qty") * F.col("cost_cents")).alias("total_cost_cents"),
     )
     profit = F.col("rev_cents") - F.col("total_cost_cents")
     return agg.select(

@@ -131,7 +131,7 @@ SQL = {
         WHEN h.horizon <= directional_days THEN 'directional' ELSE 'extrapolation' END AS tier
         FROM data_range CROSS JOIN (VALUES (7),(30),(90),(365),(730),(1095),(3650)) AS h(horizon)""",
     "dash_products": f"""SELECT user_id, product, min(category) AS category, {big('sum(quantity)')} AS qty,
-        sum(quantity * price_cents) / 1e2 AS revenue FROM sales WHERE category = 'Cold Drinks' GROUP BY user_id, product""",
+        sum(quantity * price_cents) / 1e2 AS revenue FROM sales GROUP BY user_id, product""",
     "dash_rollup": f"""SELECT d.user_id, d.rev / 1e2 AS revenue, d.orders, {r('d.rev / 1e2 / d.orders')} AS avg_order_value,
         {r('d.rev / 1e2 / d.days')} AS avg_daily_revenue, coalesce(g.growth, 0e0) AS last_growth
         FROM (SELECT user_id, {big('sum(rev)')} AS rev, {big('sum(orders)')} AS orders, count(*) AS days FROM daily_rev

@@ -63,6 +63,8 @@ SELECT CAST(l_orderkey AS BIGINT) AS order_id, CAST(l_partkey AS BIGINT) AS prod
 block("star_products", """
 SELECT CAST(p_partkey AS BIGINT) AS product_id, CASE p_type WHEN 'ECONOMY' THEN 'Espresso Drinks' WHEN 'SMALL' THEN 'Sweets' WHEN 'MEDIUM' THEN 'Cold Drinks'
   WHEN 'LARGE' THEN 'Hot Sweets' WHEN 'PROMO' THEN 'Dripp Coffee Drinks' ELSE 'Gadgets' END AS category FROM part""")
+block("report_kpi", f"""
+SELECT user_id, {big('sum(quantity * price_cents)')} AS revenue, {big('sum(quantity)')} AS units, count(DISTINCT order_id) AS orders, count(DISTINCT order_date) AS days FROM real_sales GROUP BY user_id""")
 block("kpi_rev", f"SELECT user_id, {big('sum(quantity * price_cents)')} AS rev FROM real_sales GROUP BY user_id")
 
 
@@ -88,8 +90,10 @@ SQL = {
         price_cents, CASE WHEN year(order_date) >= 1998 THEN 'second' ELSE 'first' END AS file FROM lines""",
     "ing_resolve_fk": """SELECT i.* FROM star_items i JOIN star_orders o USING (order_id) JOIN star_products p USING (product_id)
         WHERE NOT o.is_imputed AND p.category <> 'Gadgets'""",
-    "ing_replace_all": f"""SELECT w."table", w.wiped, k.kept FROM ({counts(f'upload_id % 100 = {CLEARED_USER}', 'wiped')}) w
-        JOIN ({counts(f'upload_id % 100 <> {CLEARED_USER}', 'kept')}) k USING ("table")""",
+    "ing_replace_all": f"""SELECT w."table", w.wiped, k.kept, i.imported FROM ({counts(f'upload_id % 100 = {CLEARED_USER}', 'wiped')}) w
+        JOIN ({counts(f'upload_id % 100 <> {CLEARED_USER}', 'kept')}) k USING ("table")
+        JOIN ({counts(f'(upload_id % 100 <> {CLEARED_USER} OR upload_id = (SELECT max(upload_id) FROM star_uploads WHERE user_id = {CLEARED_USER}))', 'imported')}) i USING ("table")
+        UNION ALL SELECT 'forecasts', count(*) FILTER (user_id = {CLEARED_USER}), count(*) FILTER (user_id <> {CLEARED_USER}), count(*) FILTER (user_id <> {CLEARED_USER}) FROM star_uploads""",
     "ing_summary": """SELECT user_id, count(*) AS rows_in_file, count(*) FILTER (ok) AS rows_imported, count(*) FILTER (NOT ok) AS rows_skipped,
         count(*) FILTER (b_tp) AS filled_time_period, count(*) FILTER (b_se) AS filled_season, count(*) FILTER (b_oc) AS filled_occasion FROM clean_rows GROUP BY user_id""",
     "tbl_upload_history": f"""SELECT u.upload_id, u.user_id, 'sales_' || u.upload_id || '.csv' AS filename, u.uploaded_at,
@@ -105,10 +109,13 @@ SQL = {
         UNION ALL SELECT 'items', count(*) FROM star_items UNION ALL SELECT 'users', count(*) FROM nation""",
     "ing_seed_refs": """SELECT user_id, is_imputed, synthetic, count(*) AS rows, CASE WHEN synthetic THEN count(*) ELSE count(DISTINCT order_id) END AS "references"
         FROM (SELECT *, is_imputed OR order_id % 107 = 3 OR order_id % 109 = 4 AS synthetic FROM sales) GROUP BY user_id, is_imputed, synthetic""",
-    "ing_stream": "SELECT l_orderkey AS order_reference, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem GROUP BY l_orderkey",
+    "ing_stream": "SELECT order_reference, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units FROM clean_rows WHERE ok GROUP BY order_reference",
     "sink_tables": f"SELECT CAST(year(order_date) AS INTEGER) AS year, count(*) AS days, {big('sum(orders)')} AS orders FROM daily_rev GROUP BY 1",
     "sink_signature": f"SELECT user_id, CAST(max(year(order_date) * 100 + user_id) AS BIGINT) AS upload_id, count(*) AS item_count, '{MODEL_VERSION}' AS model_version FROM sales GROUP BY user_id",
-    "sink_report_csv": """SELECT user_id, 'kpi' AS section, CAST(1 AS BIGINT) AS row_no, 'revenue_cents' AS key, CAST(rev AS VARCHAR) AS value FROM kpi_rev
+    "sink_report_csv": """SELECT user_id, 'kpi' AS section, CAST(1 AS BIGINT) AS row_no, x.key, CAST(x.value AS VARCHAR) AS value
+        FROM report_kpi, LATERAL (VALUES ('revenue_cents', revenue), ('orders', orders), ('units', units), ('open_days', days)) AS x(key, value)
+        UNION ALL SELECT 0, 'chain', 1, x.key, CAST(x.value AS VARCHAR) FROM (SELECT CAST(sum(revenue) AS BIGINT) AS revenue, CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(units) AS BIGINT) AS units, count(*) AS n FROM report_kpi),
+          LATERAL (VALUES ('revenue_cents', revenue), ('orders', orders), ('units', units), ('workspaces', n)) AS x(key, value)
         UNION ALL SELECT user_id, 'trend', CAST(replace(month, '-', '') AS BIGINT), month, CAST(rev AS VARCHAR) FROM monthly
         UNION ALL SELECT user_id, 'categories', 1, category, CAST(CAST(sum(quantity * price_cents) AS BIGINT) AS VARCHAR) FROM real_sales GROUP BY user_id, category
         UNION ALL SELECT user_id, 'items', row_number() OVER (PARTITION BY user_id ORDER BY rev DESC, product), product, CAST(rev AS VARCHAR) FROM product_rev""",

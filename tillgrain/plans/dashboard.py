@@ -78,7 +78,7 @@ QUERIES = {
     "dash_category_list": lambda s, d: dash.category_list(real(s, d)),
     "dash_data_range": lambda s, d: dash.data_range(src.sales(s, d), AS_OF),
     "dash_reliability": lambda s, d: dash.reliability(src.sales(s, d), AS_OF),
-    "dash_products": lambda s, d: dash.products(src.sales(s, d), "Cold Drinks"),
+    "dash_products": lambda s, d: dash.products(src.sales(s, d), "all"),
     "dash_rollup": lambda s, d: dash.rollup(real(s, d), "1997-01-01", "1999-12-31"),
     "dash_special_days": lambda s, d: dash.special_days(real(s, d)),
     "cal_spine": lambda s, d: cal.spine(cal.date_bounds(src.sales(s, d), ["user_id"]), "first_ds", "last_ds", ["user_id"]),

@@ -122,10 +122,19 @@ def delete_upload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replace_all(spark: SparkSession, d: str) -> DataFrame:
-    """Counts wiped from one workspace, and what is left of the others."""
+    """A workspace starts over: what is wiped from it, its forecast runs included,
+    what is left of the others, and the tables after its last upload came in again."""
     t = src.star(spark, d)
+    runs = t["uploads"].select("upload_id", "user_id")  # one forecast run was stored after every upload
+    mine = t["uploads"].filter(F.col("user_id") == CLEARED_USER)
+    last = mine.agg(F.max("upload_id").alias("upload_id"))
     wiped = tbl.workspace_counts(t, CLEARED_USER).withColumnRenamed("rows", "wiped")
-    return wiped.join(tbl.table_counts(tbl.clear_workspace(t, CLEARED_USER), "kept"), "table")
+    left = tbl.clear_workspace(t, CLEARED_USER)
+    again = tbl.restore_upload(left, t, last)
+    counts = wiped.join(tbl.table_counts(left, "kept"), "table").join(tbl.table_counts(again, "imported"), "table")
+    gone = F.count_if(F.col("user_id") == CLEARED_USER)
+    forecasts = runs.agg(F.lit("forecasts").alias("table"), gone.alias("wiped"), (F.count("*") - gone).alias("kept"), (F.count("*") - gone).alias("imported"))
+    return counts.unionByName(forecasts)
 
 
 def orphan_uploads(spark: SparkSession, d: str) -> DataFrame:
@@ -145,14 +154,15 @@ def seed_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The lines table as a file stream, merged by order, totals per order."""
-    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
-    source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-        .select(F.col("l_orderkey").alias("order_reference"), F.col("l_partkey").alias("sku"), F.col("l_quantity").cast("bigint").alias("quantity"))
-    )
+    """The export as a stream of files, an order in one of them: cleaned like an
+    upload, merged by order over several batches, totals per order."""
+    inbox = run_path(spark, "stream-inbox")
+    rows = raw(spark, d)
+    rows.repartition(6, "user_id", F.coalesce(F.trim("Order ID"), F.lit(""))).write.parquet(inbox)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(inbox)
+    clean = lambda batch: cln.valid_rows(cln.enriched(cln.normalised(pos_files.resolve(batch))))
     table = run_path(spark, "stream-items")
-    stream.start(source, table, run_path(spark, "stream-log")).awaitTermination()
+    stream.start(source, table, run_path(spark, "stream-log"), clean=clean).awaitTermination()
     return stream.current(spark, table).groupBy("order_reference").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"))
 
 
@@ -164,15 +174,27 @@ def sink_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_report(spark: SparkSession, d: str) -> DataFrame:
+    """All panels as one sectioned file per workspace, with the chain's roll-up,
+    written as CSV and read back."""
     sales = real(spark, d)
     cents = lambda c: F.rint(F.col(c) * 100).cast("bigint")
     row = F.lit(1)
-    return tbl.report({
-        "kpi": (dash.kpis(sales), row, F.lit("revenue_cents"), cents("total_revenue")),
+    lines = sales.groupBy("user_id").agg(
+        F.sum(F.col("quantity") * F.col("price_cents")).alias("revenue"), F.sum("quantity").alias("units"), F.countDistinct("order_id").alias("orders"), F.countDistinct("order_date").alias("days"))
+    chain = lines.agg(F.lit(0).alias("user_id"), *[F.sum(c).alias(c) for c in ("revenue", "units", "orders")], F.count("*").alias("days"))
+    long = lambda df, names: df.select("user_id", F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(c).cast("bigint").alias("value")) for c, n in names.items()])))
+    kpis = long(lines, {"revenue": "revenue_cents", "orders": "orders", "units": "units", "days": "open_days"})
+    every = long(chain, {"revenue": "revenue_cents", "orders": "orders", "units": "units", "days": "workspaces"})
+    report = tbl.report({
+        "kpi": (kpis, row, F.col("key"), F.col("value")),
         "trend": (dash.monthly_growth(sales), F.regexp_replace("month", "-", ""), F.col("month"), cents("revenue")),
         "categories": (dash.by_category(sales), row, F.col("category"), cents("revenue")),
         "items": (dash.top_revenue(sales), F.col("place"), F.col("product"), cents("revenue")),
+        "chain": (every, row, F.col("key"), F.col("value")),
     })
+    path = run_path(spark, "report")
+    tbl.write_table(report, path, "csv")
+    return spark.read.schema(report.schema).option("header", True).csv(path)
 
 
 QUERIES = {

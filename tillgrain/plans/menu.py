@@ -30,8 +30,8 @@ QUERIES = {
     "menu_quadrants": lambda s, d: menu.quadrants(table(s, d)),
     "menu_classify_mean": lambda s, d: menu.classify_mean(table(s, d)),
     "menu_snapshot": lambda s, d: menu.snapshot(real(s, d)),
-    "price_elasticity": lambda s, d: pricing.elasticity_report(menu.items(real(s, d))),
-    "price_cost_cap": lambda s, d: pricing.cost_cap_report(menu.items(real(s, d))),
+    "price_elasticity": lambda s, d: pricing.elasticity_report(real(s, d).select("user_id", "category")),
+    "price_cost_cap": lambda s, d: pricing.cost_cap_report(real(s, d).select("user_id", "category")),
     "price_project_qty": lambda s, d: pricing.projection(priced(s, d), 20),
     "price_what_if": lambda s, d: pricing.what_if(priced(s, d), 10, -5),
     "price_band": lambda s, d: pricing.band(priced(s, d), 10),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Accepted headers per logical field, first match wins.
 ALIASES = {
@@ -55,18 +55,41 @@ def resolve(raw: DataFrame) -> DataFrame:
     return raw.select(*kept)
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below ``path`` by their header line. One job looks at all files: the
+    first line of a file's first split is its header. Empty files have none."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min("line").alias("line"))
+    found: dict[str, list[str]] = {}
+    for row in lines.join(first, ["file", "line"]).select("file", "value").orderBy("file").collect():  # a row for each file
+        found.setdefault(row["value"].lstrip("\ufeff"), []).append(row["file"])
+    return found
+
+
+def scan(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    """Files of one header as text columns; a line with another number of cells
+    is kept in ``malformed_line``, with the others NULL."""
+    columns = next(csv.reader([header]))
+    fields = [T.StructField(c, T.StringType()) for c in [*columns, "malformed_line"]]
+    return (
+        spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "malformed_line").csv(files)
+    )
+
+
 def read_csv(spark: SparkSession, path: str, each: Callable[[DataFrame], DataFrame] = lambda fields: fields) -> DataFrame:
     """All files below ``path``, columns as text; typing belongs to the cleaning
-    step. Files are grouped by their header, which Spark reads file by file, and
-    each group is scanned with its own, so column order and names may differ.
-    ``each`` runs on every group before they meet: fallbacks depend on the columns
-    a file has. Malformed files fail the job instead of losing rows."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    files = sorted(spark.read.text(path).inputFiles())
-    header = lambda file: tuple(spark.read.option("header", True).csv(file).columns)
-    with ThreadPoolExecutor(16) as pool:
-        for file, columns in zip(files, pool.map(header, files)):
-            groups.setdefault(columns, []).append(file)
-    scan = lambda some: spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(some)
-    parts = [each(resolve(scan(some))) for some in groups.values()]
+    step. Files are grouped by their header and each group is scanned with its
+    own, so column order and names may differ. ``each`` runs on every group before
+    they meet: fallbacks depend on the columns a file has. Malformed lines are
+    left out and counted by ``malformed``."""
+    parts = [each(resolve(scan(spark, h, files).filter("malformed_line IS NULL").drop("malformed_line"))) for h, files in headers(spark, path).items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines, malformed): data lines of every file and how many were left out."""
+    parts = [scan(spark, h, files).select(F.input_file_name().alias("file"), "*") for h, files in headers(spark, path).items()]
+    counts = [p.groupBy("file").agg(F.count("*").alias("lines"), F.count("malformed_line").alias("malformed")) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b), counts)
