@@ -34,6 +34,16 @@ def test_csv_scan_and_cleaning(spark, folder):
     assert (s.rows_in_file, s.rows_imported, s.rows_skipped) == (5, 3, 2)
 
 
+def test_headers_in_one_job_and_malformed_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,sku,qty,price,cost,category,date\n1,s1,2,10,4,Tea,2022-01-01\n2,s1\n3,s1,2,10,4,Tea,2022-01-01,more,and more\n")
+    (tmp_path / "b.csv").write_text("price,qty,order_id,category,cost,name,date\n20,3,2,Tea,5,Green,2022-01-01\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert sorted(len(f) for f in pos_files.headers(spark, str(tmp_path)).values()) == [1, 1]
+    assert pos_files.read_csv(spark, str(tmp_path)).count() == 2
+    got = {r.file.rsplit("/", 1)[1]: (r.lines, r.malformed) for r in pos_files.malformed(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (3, 2), "b.csv": (1, 0)}
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(pos_files.ContractError) as error:
         pos_files.resolve(spark.createDataFrame([("1", "2")], "order_id string, qty string"))
@@ -113,6 +123,10 @@ def test_stream_equals_batch(spark, tmp_path):
     arrive("2.csv", "b,z,5\nc,z,1\n")
     got = sorted(tuple(r) for r in stream.current(spark, table).select("order_reference", "sku", "quantity").collect())
     assert got == [("a", "x", 1), ("a", "x", 1), ("b", "z", 5), ("c", "z", 1)]
+    # a batch that is replayed changes nothing
+    merge = stream.merge_batches(table, "order_reference", lambda rows: rows)
+    merge(spark.createDataFrame([("b", "z", 5), ("c", "z", 1)], schema), 1)
+    assert sorted(tuple(r) for r in stream.current(spark, table).select("order_reference", "sku", "quantity").collect()) == got
 
 
 @pytest.mark.parametrize("date,time,want", [
@@ -121,7 +135,7 @@ def test_stream_equals_batch(spark, tmp_path):
     ("4/15/2022", "8:30 PM", "2022-04-15 20:30:00"), ("15 April 2022", "12:05 am", "2022-04-15 00:05:00"),
     ("Apr 15, 2022", "08:30:00.5Z", "2022-04-15 08:30:00"), ("20220415", None, "2022-04-15 12:00:00"),
     ("15/04/22", "08:30", "2022-04-15 08:30:00"), ("15-Apr-22", "08:30", "2022-04-15 08:30:00"), ("04/15/22", "08:30", "2022-04-15 08:30:00"),
-    ("Friday, April 15, 2022", "08:30", "2022-04-15 08:30:00"), ("May 5, 99", "08:30", "1999-05-05 08:30:00"), ("1/1/0202", "08:30", None),
+    ("Friday, April 15, 2022", "08:30", "2022-04-15 08:30:00"), ("May 5, 99", "08:30", "1999-05-05 08:30:00"), ("Sunday, November 23, 1997", "08:30", "1997-11-23 08:30:00"), ("1/1/0202", "08:30", None),
     ("2022-02-30", "08:30", None), ("someday", "08:30", None), ("2022-04-15", "soon", None), (None, "08:30", None),
 ])
 def test_spelled_moments(spark, date, time, want):

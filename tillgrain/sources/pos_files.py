@@ -78,18 +78,27 @@ def scan(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
     )
 
 
+def _filled(rows: DataFrame) -> Column:
+    """Lines with any cell. Spark reads no file for its malformed lines alone, and
+    checks the number of cells only where it is asked for cells."""
+    return F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull()
+
+
 def read_csv(spark: SparkSession, path: str, each: Callable[[DataFrame], DataFrame] = lambda fields: fields) -> DataFrame:
     """All files below ``path``, columns as text; typing belongs to the cleaning
     step. Files are grouped by their header and each group is scanned with its
     own, so column order and names may differ. ``each`` runs on every group before
-    they meet: fallbacks depend on the columns a file has. Malformed lines are
-    left out and counted by ``malformed``."""
-    parts = [each(resolve(scan(spark, h, files).filter("malformed_line IS NULL").drop("malformed_line"))) for h, files in headers(spark, path).items()]
+    they meet: fallbacks depend on the columns a file has. Malformed and blank
+    lines are left out; ``malformed`` counts the former."""
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("malformed_line").isNull() & _filled(rows.drop("malformed_line"))).drop("malformed_line")
+
+    parts = [each(resolve(kept(scan(spark, h, files)))) for h, files in headers(spark, path).items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def malformed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, lines, malformed): data lines of every file and how many were left out."""
-    parts = [scan(spark, h, files).select(F.input_file_name().alias("file"), "*") for h, files in headers(spark, path).items()]
-    counts = [p.groupBy("file").agg(F.count("*").alias("lines"), F.count("malformed_line").alias("malformed")) for p in parts]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    """(file, lines, malformed): lines with any cell of every file, and how many were left out."""
+    counted = lambda rows: rows.groupBy(F.input_file_name().alias("file")).agg(
+        F.count_if(_filled(rows)).alias("lines"), F.count("malformed_line").alias("malformed"))
+    return reduce(lambda a, b: a.unionByName(b), [counted(scan(spark, h, files)) for h, files in headers(spark, path).items()])
