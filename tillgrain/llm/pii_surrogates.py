@@ -18,6 +18,7 @@ from __future__ import annotations
 import hmac
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -50,18 +51,44 @@ _TELLS = "my name is|je m'appelle|mein name ist|mi nombre es|me llamo|меня 
 _NAME = r"[^\W\d_]\w*(?:[-'][^\W\d_]\w*)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(sorted((t + (r"\.?" if t in SHORT_TITLES else "") for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES), key=len, reverse=True))
-PATTERN = re.compile("|".join((
-    r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?=[\w/+.=~-]{8})[A-Za-z0-9_/+.=~-]*[A-Za-z0-9])",
-    r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})",
-    rf"(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w)(?!\.\d))",
-    r"(?P<world>(?<![\w.])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w))",
-    r"(?P<card>(?<![\w.])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\w))",
-    r"(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-    r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[ .-])?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w))",
-    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-    rf"(?P<name>(?<!\w)(?P<title>{_TITLE}) (?P<who>{_NAME}(?: {_NAME})?))",
-    rf"(?P<told>(?<!\w)(?i:{_TELLS}) (?P<self>{_NAME}(?: {_NAME})?))",
-)))
+#: Patterns in the order in which they are tried at a place.
+PATTERNS = {
+    "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?=[\w/+.=~-]{8})[A-Za-z0-9_/+.=~-]*[A-Za-z0-9])",
+    "email": r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})",
+    "ip": rf"(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w)(?!\.\d))",
+    "world": r"(?P<world>(?<![\w.])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w))",
+    "card": r"(?P<card>(?<![\w.])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\w))",
+    "ssn": r"(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    "phone": r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[ .-])?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w))",
+    "iban": r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+    "name": rf"(?P<name>(?<!\w)(?P<title>{_TITLE}) (?P<who>{_NAME}(?: {_NAME})?))",
+    "told": rf"(?P<told>(?<!\w)(?i:{_TELLS}) (?P<self>{_NAME}(?: {_NAME})?))",
+}
+WITH_DIGITS = ("ip", "world", "card", "ssn", "phone", "iban")
+_DIGIT = re.compile(r"\d")
+
+
+def possible(text: str) -> tuple[str, ...]:
+    """The types whose patterns can match at all: each needs a character or a word
+    of its own, which is looked for first."""
+    some = {"secret"} if ("=" in text or ":" in text) else set()
+    if "@" in text:
+        some.add("email")
+    if _DIGIT.search(text):
+        some.update(WITH_DIGITS)
+    if any(t in text for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES):
+        some.add("name")
+    low = text.lower()
+    if any(t in low for t in _TELLS.split("|")):
+        some.add("told")
+    return tuple(k for k in PATTERNS if k in some)
+
+
+@lru_cache(maxsize=256)
+def pattern_of(kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(PATTERNS[k] for k in kinds))
+
+
 DIGIT_TYPES = ("card", "ssn", "phone")
 
 
@@ -72,7 +99,7 @@ def _gender(title: str) -> str:
 
 def _names(m: re.Match) -> tuple[str, list[str], int]:
     """Gender, words and start of a titled or told name; no words if it is none."""
-    titled = m["name"] is not None
+    titled = "who" in m.re.groupindex and m["name"] is not None
     text, start = (m["who"], m.start("who")) if titled else (m["self"], m.start("self"))
     words = text.split(" ")
     words = words[:next((i for i, w in enumerate(words) if w[0].islower()), len(words))]
@@ -99,8 +126,9 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
     after a title is a family name, after an introduction a given one.
     """
     found, named, genders = [], [], {}
-    for m in PATTERN.finditer(text):
-        kind = next(k for k in ("secret", "email", "ip", "world", "card", "ssn", "phone", "iban", "name", "told") if m[k] is not None)
+    kinds = possible(text)
+    for m in pattern_of(kinds).finditer(text) if kinds else ():
+        kind = next(k for k in kinds if m[k] is not None)
         if kind in ("name", "told"):
             gender, words, start = _names(m)
             if words:
@@ -112,6 +140,7 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
                 named.append((given, family, start, end))
             continue
         value = m[kind]
+        name = kind
         if kind == "world":
             kind, canon = "phone", re.sub(r"\D", "", value)
             canon = canon[-10:] if len(canon) > 10 else canon
@@ -122,7 +151,6 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             canon = value.replace(" ", "")
         else:
             canon = value if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", value) else value.lower()
-        name = "world" if m["world"] is not None else kind
         found.append((kind, canon, m.start(name), m.end(name)))
     if named:
         people: dict[str, tuple[str, str]] = {}
