@@ -57,13 +57,13 @@ def diff(spark_table, duck_table) -> str | None:
 
 
 def main(argv: list[str]) -> int:
-    from tillgrain.plans.registry import all_oracles, all_queries
-    from tillgrain.session import local_session
+    import __spark_entry__ as entry
+    from tillgrain.session import local_session, run_tables
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = local_session(8, 8)
     spark.sparkContext.setLogLevel("ERROR")
-    queries, oracles = all_queries(), all_oracles()
+    queries, oracles = entry.queries(), entry.oracle_sql()
     con = duck(sf_dir)
     failed = 0
     for name, fn in queries.items():
@@ -71,7 +71,8 @@ def main(argv: list[str]) -> int:
             continue
         t0 = time.time()
         try:
-            got = fn(spark, sf_dir).toArrow()
+            with run_tables(spark):
+                got = fn(spark, sf_dir).toArrow()
             t1 = time.time()
             if name not in oracles:
                 print(f"rows {name:28s} {got.num_rows:8d} {t1 - t0:6.2f}s (no SQL)", flush=True)

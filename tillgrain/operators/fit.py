@@ -30,6 +30,8 @@ from tillgrain.operators.forecast import FEATURES, SEASON_FLAGS, WEEKLY, weighte
 PRIOR_LEVEL, MIN_PENALTY = 5.0, 1.0
 BLOCKS = {"weekly": WEEKLY, "holidays": calendar.HOLIDAY_KEYS, "seasons": SEASON_FLAGS, "weather": ["temp_max"]}
 PARTIAL = 0.30
+#: prior scale and smallest penalty of the earlier script
+LEGACY_PRIOR, LEGACY_PENALTY = 10.0, 1e-6
 #: places of fitted values: sums of a series agree to far more whatever the order
 DIGITS = 3
 #: systems solved at a time, and rows of a result batch
@@ -278,7 +280,7 @@ def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, f
     gram = (x * weight[:, None]).T @ x + np.diag(penalty)
     return np.linalg.solve(gram, (x * weight[:, None]).T @ z) * scale
 
-def dense_series(sales: DataFrame, key: str, least: int = 10) -> DataFrame:
+def dense_series(sales: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """Every date x period between the first and last sale of a series: missing
     quantities 0, labels carried forward then backward. Series with fewer than
     ten rows are left out. Windows are bounded by the calendar x 4."""
@@ -286,37 +288,39 @@ def dense_series(sales: DataFrame, key: str, least: int = 10) -> DataFrame:
     from tillgrain.functions.tables import values
 
     rows = calendar.with_calendar(sales.withColumn("ds", F.col("order_date")), ["occasion", "season"])
-    sold = rows.groupBy(key, "ds", labels.time_period(F.col("hour")).alias("time_period")).agg(
+    sold = rows.groupBy(*keys, "ds", labels.time_period(F.col("hour")).alias("time_period")).agg(
         F.sum("quantity").alias("y"), F.min("season").alias("season"), F.min("occasion").alias("occasion")
     )
-    bounds = sold.groupBy(key).agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
+    bounds = sold.groupBy(*keys).agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
     periods = values(sales.sparkSession, [(p, i) for i, p in enumerate(labels.PERIODS)], "time_period string, period_code int")
-    dense = calendar.spine(bounds, "a", "b", [key]).crossJoin(F.broadcast(periods)).join(sold, [key, "ds", "time_period"], "left")
+    dense = calendar.spine(bounds, "a", "b", keys).crossJoin(F.broadcast(periods)).join(sold, [*keys, "ds", "time_period"], "left")
     # both directions as running frames: a frame that ends in UNBOUNDED FOLLOWING
     # is evaluated anew for every row
-    ahead = Window.partitionBy(key).orderBy("ds", "period_code").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(key).orderBy(F.desc("ds"), F.desc("period_code")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("ds", "period_code").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.desc("ds"), F.desc("period_code")).rowsBetween(Window.unboundedPreceding, 0)
     fill = lambda c: F.coalesce(F.last(c, True).over(ahead), F.last(c, True).over(back))
-    size = F.count("*").over(Window.partitionBy(key))
+    size = F.count("*").over(Window.partitionBy(*keys))
     return dense.withColumns({"y": F.coalesce("y", F.lit(0)), "season": fill("season"), "occasion": fill("occasion"), "_n": size}).filter(
         F.col("_n") >= least
     ).drop("_n")
 
 
-def legacy_fit(dense: DataFrame, key: str, horizon: int = 30) -> DataFrame:
+def legacy_fit(dense: DataFrame, keys: list[str], horizon: int = 30) -> DataFrame:
     """Trend, weekly terms and label codes per series; rounded predictions for
     the history and 30 more days with the last labels."""
+    names = ", ".join(f"{k} {dense.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ds", "period_code"]).reset_index(drop=True)
         for c in ("season", "occasion"):
             pdf[c] = pdf[c].astype("category").cat.codes
         last = pdf.iloc[-1]
         days = pd.date_range(pd.Timestamp(last["ds"]) + pd.Timedelta(days=1), periods=horizon)
-        ahead = pd.DataFrame([
-            {"ds": d.date(), "time_period": p, "period_code": i, "y": np.nan, "season": last["season"], "occasion": last["occasion"]}
-            for d in days for i, p in enumerate(labels.PERIODS)
-        ])
+        k = len(labels.PERIODS)
+        ahead = pd.DataFrame({
+            "ds": np.repeat(days.date, k), "time_period": list(labels.PERIODS) * horizon, "period_code": list(range(k)) * horizon,
+            "y": np.nan, "season": last["season"], "occasion": last["occasion"],
+        })
         full = pd.concat([pdf, ahead], ignore_index=True)
         ds = pd.to_datetime(full["ds"])
         t = (ds - ds.min()).dt.days.to_numpy(dtype=float)
@@ -324,20 +328,23 @@ def legacy_fit(dense: DataFrame, key: str, horizon: int = 30) -> DataFrame:
         waves = [f(n * angle) for n in (1, 2, 3) for f in (np.sin, np.cos)]
         x = np.column_stack([np.ones(len(t)), t / max(t.max(), 1.0), *waves, full["season"], full["occasion"], full["period_code"]])
         train = full["y"].notna().to_numpy()
-        beta = solve(x[train], full.loc[train, "y"].to_numpy(dtype=float), np.ones(train.sum()), np.full(x.shape[1], 10.0), 1e-6)
-        return pd.DataFrame({key: k[0], "ds": full["ds"], "time_period": full["time_period"], "y": full["y"], "yhat": np.rint(x @ beta),
+        beta = solve(x[train], full.loc[train, "y"].to_numpy(dtype=float), np.ones(train.sum()), np.full(x.shape[1], LEGACY_PRIOR), LEGACY_PENALTY)
+        done = pd.DataFrame({"ds": full["ds"], "time_period": full["time_period"], "y": full["y"], "yhat": np.rint(x @ beta) + 0.0,
                              "type": np.where(train, "actual", "future")})
+        for i, (name, v) in enumerate(zip(keys, key)):
+            done.insert(i, name, v)
+        return done
 
-    return spread(dense.withColumn("y", F.col("y").cast("double")), [key]).groupBy(key).applyInPandas(
-        run, f"{key} string, ds date, time_period string, y double, yhat double, type string"
+    return spread(dense.withColumn("y", F.col("y").cast("double")), keys).groupBy(*keys).applyInPandas(
+        run, f"{names}, ds date, time_period string, y double, yhat double, type string"
     )
 
 
-def legacy_scores(predictions: DataFrame, key: str) -> DataFrame:
-    """MAE per series, and MAE and non-zero MAPE over all of them."""
+def legacy_scores(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """MAE per series, and MAE and non-zero MAPE over all of them (keys NULL)."""
     actual = predictions.filter(F.col("type") == "actual")
     err = F.abs(F.col("y") - F.col("yhat"))
     ape = F.when(F.col("y") > 0, err / F.col("y") * 100.0)
-    per = actual.groupBy(key).agg(rnd(F.avg(err), 2).alias("mae"), rnd(F.avg(ape), 2).alias("mape"))
-    every = actual.agg(F.lit("all").alias(key), rnd(F.avg(err), 2).alias("mae"), rnd(F.avg(ape), 2).alias("mape"))
-    return per.unionByName(every)
+    scores = [rnd(micro_mean(err), 2).alias("mae"), rnd(micro_mean(ape), 2).alias("mape")]
+    every = actual.agg(*scores).select(*[F.lit(None).cast(predictions.schema[k].dataType).alias(k) for k in keys], "mae", "mape")
+    return actual.groupBy(*keys).agg(*scores).unionByName(every)

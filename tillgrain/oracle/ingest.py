@@ -110,7 +110,6 @@ SQL = {
     "ing_seed_refs": """SELECT user_id, is_imputed, synthetic, count(*) AS rows, CASE WHEN synthetic THEN count(*) ELSE count(DISTINCT order_id) END AS "references"
         FROM (SELECT *, is_imputed OR order_id % 107 = 3 OR order_id % 109 = 4 AS synthetic FROM sales) GROUP BY user_id, is_imputed, synthetic""",
     "ing_stream": "SELECT order_reference, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units FROM clean_rows WHERE ok GROUP BY order_reference",
-    "sink_tables": f"SELECT CAST(year(order_date) AS INTEGER) AS year, count(*) AS days, {big('sum(orders)')} AS orders FROM daily_rev GROUP BY 1",
     "sink_signature": f"SELECT user_id, CAST(max(year(order_date) * 100 + user_id) AS BIGINT) AS upload_id, count(*) AS item_count, '{MODEL_VERSION}' AS model_version FROM sales GROUP BY user_id",
     "sink_report_csv": """SELECT user_id, 'kpi' AS section, CAST(1 AS BIGINT) AS row_no, x.key, CAST(x.value AS VARCHAR) AS value
         FROM report_kpi, LATERAL (VALUES ('revenue_cents', revenue), ('orders', orders), ('units', units), ('open_days', days)) AS x(key, value)

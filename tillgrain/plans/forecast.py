@@ -179,7 +179,8 @@ def scaled(spark: SparkSession, d: str) -> DataFrame:
     return fc.apply_scale(raw, fc.baseline_scale(raw, fc.history_rate(rows(spark, d))))
 
 
-SERIES = "category"
+#: series of the earlier script: a workspace's categories
+SERIES = ["user_id", "category"]
 
 QUERIES = {
     "fc_input": lambda s, d: fc.input_frame(labelled(s, d)),

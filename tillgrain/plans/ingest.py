@@ -166,13 +166,6 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.current(spark, table).groupBy("order_reference").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"))
 
 
-def sink_tables(spark: SparkSession, d: str) -> DataFrame:
-    path = run_path(spark, "sink")
-    daily = dash.daily(real(spark, d)).withColumn("year", F.year("order_date"))
-    tbl.write_table(daily, path, partition_by=("year",))
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("days"), F.sum("orders").alias("orders"))
-
-
 def sink_report(spark: SparkSession, d: str) -> DataFrame:
     """All panels as one sectioned file per workspace, with the chain's roll-up,
     written as CSV and read back."""
@@ -212,7 +205,6 @@ QUERIES = {
     "tbl_quality_counts": lambda s, d: tbl.quality_counts(src.star(s, d)),
     "ing_seed_refs": seed_refs,
     "ing_stream": ingest_stream,
-    "sink_tables": sink_tables,
     "sink_signature": lambda s, d: tbl.signature(src.sales(s, d), MODEL_VERSION),
     "sink_report_csv": sink_report,
     "cln_order_ref": lambda s, d: clean(s, d).select("user_id", "order_reference"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("dashboard", "menu", "ingest", "impute", "forecast", "views", "evaluate")
+MODULES = ("dashboard", "menu", "ingest", "impute", "forecast", "views", "evaluate", "sinks")
 
 
 def _gather(package: str, attribute: str) -> dict:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +55,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     fresh = tempfile.mkdtemp(prefix="tillgrain-")
+    atexit.register(shutil.rmtree, fresh, ignore_errors=True)
     sc.setCheckpointDir(fresh)
     return sc.getCheckpointDir() or fresh
 
 
+#: Paths made inside the runs that are open, innermost last.
+_RUNS: list[list[str]] = []
+
+
 def run_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder for one run's table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _RUNS:
+        _RUNS[-1].append(path)
+    return path
+
+
+@contextmanager
+def run_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """A run: the intermediate tables written inside are dropped at its end, so
+    results must have been written or collected by then. Without a run they stay,
+    because a lazy result may still read them."""
+    made: list[str] = []
+    _RUNS.append(made)
+    try:
+        yield made
+    finally:
+        _RUNS.remove(made)
+        for path in made:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
