@@ -168,3 +168,15 @@ def test_seed_references_are_stable(spark):
     rows = spark.createDataFrame(data, "order_reference string, date string, time_period string")
     refs = lambda df: sorted(r.order_reference for r in cln.seed_references(df).collect())
     assert refs(rows.repartition(1)) == refs(rows.repartition(5)) and len(set(refs(rows))) == 7
+
+
+def test_grid_is_not_exchanged_after_products_are_multiplied(spark, sf):
+    """Every exchange of the grid's plan lies below the slots and days."""
+    from tillgrain.session import shared_tables
+    with shared_tables():
+        daily, cells = pf.naive_future(spark, sf), pf.cells(spark, sf)
+        grid = factored.expand(daily, cells)
+    plan = grid._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan
+    above = plan[:plan.index("map_from_entries")]
+    assert "Exchange" not in above.replace("BroadcastExchange", "")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from tillgrain.session import shared_tables
+
 MODULES = ("dashboard", "menu", "ingest", "impute", "forecast", "views", "evaluate", "sinks")
 
 
@@ -20,8 +23,16 @@ def _gather(package: str, attribute: str) -> dict:
     return out
 
 
+def _call(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        with shared_tables():
+            return query(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict:
-    return _gather("plans", "QUERIES")
+    return {name: _call(query) for name, query in _gather("plans", "QUERIES").items()}
 
 
 def all_oracles() -> dict[str, str]:
