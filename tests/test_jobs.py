@@ -180,3 +180,12 @@ def test_grid_is_not_exchanged_after_products_are_multiplied(spark, sf):
     assert "SortMergeJoin" not in plan
     above = plan[:plan.index("map_from_entries")]
     assert "Exchange" not in above.replace("BroadcastExchange", "")
+
+
+def test_sales_are_joined_once_a_query_call(spark, sf, monkeypatch):
+    from tillgrain.plans import registry
+    from tillgrain.sources import sales
+    calls, plain = [], sales.sales
+    monkeypatch.setattr(sales, "sales", lambda *a: calls.append(a) or plain(*a))
+    registry.all_queries()["fc_total_daily"](spark, sf)
+    assert len(calls) == 1

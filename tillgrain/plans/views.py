@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillgrain.operators import forecast as fc, menu, views
 from tillgrain.plans import forecast as pf
-from tillgrain.plans.dashboard import real
+from tillgrain.plans import facts
+from tillgrain.plans.facts import real, real_hours
 from tillgrain.plans.params import AS_OF, PERIOD
+from tillgrain.session import through_table
 from tillgrain.sources import sales as src
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
     """Daily forecast of the window: PERIOD days from the first one that is due."""
-    return fc.window_slice(pf.service(spark, d), pf.data_end(spark, d), AS_OF, PERIOD)
+    return through_table(fc.window_slice(pf.service(spark, d), pf.data_end(spark, d), AS_OF, PERIOD), "window")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return menu.items(src.sales(spark, d))
+    return menu.items(facts.lines(spark, d))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
@@ -37,14 +39,14 @@ def breakdown(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "fc_revenue_profit": lambda s, d: views.revenue_profit(days(s, d), pf.cells(s, d), items(s, d)),
     "fc_daily_revenue": lambda s, d: views.daily_revenue(days(s, d), pf.cells(s, d), items(s, d)),
-    "fc_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real(s, d)),
-    "fc_heatmap_peak": lambda s, d: views.heatmap_peak(days(s, d), pf.cells(s, d), real(s, d)),
+    "fc_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d)),
+    "fc_heatmap_peak": lambda s, d: views.heatmap_peak(days(s, d), pf.cells(s, d), real_hours(s, d)),
     "fc_item": lambda s, d: views.item_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
     "fc_time_of_day_available": lambda s, d: views.time_of_day_available(src.labelled(src.sales(s, d))),
     "fc_period_totals": lambda s, d: views.period_totals(days(s, d), pf.cells(s, d)),
     "fc_period_breakdown": lambda s, d: views.period_breakdown(days(s, d), pf.cells(s, d)),
     "fc_category": lambda s, d: views.category_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
-    "fc_category_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real(s, d), items(s, d)),
+    "fc_category_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d), items(s, d)),
     "fc_category_items": lambda s, d: views.category_items(days(s, d), pf.cells(s, d), items(s, d)),
     "fc_total": lambda s, d: views.category_totals(days(s, d), pf.cells(s, d), items(s, d)),
     "fc_total_daily": lambda s, d: views.menu_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
