@@ -189,3 +189,12 @@ def test_sales_are_joined_once_a_query_call(spark, sf, monkeypatch):
     monkeypatch.setattr(sales, "sales", lambda *a: calls.append(a) or plain(*a))
     registry.all_queries()["fc_total_daily"](spark, sf)
     assert len(calls) == 1
+
+
+def test_moment_is_parsed_below_the_generator(spark, sf):
+    """The parse is a column of its own, not repeated in the generator."""
+    from tillgrain.operators import cleaning as cln
+    from tillgrain.plans import ingest
+    plan = cln.normalised(ingest.fields(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Generate inline" in x)
+    assert "gettimestamp" not in line.lower() and "regexp" not in line.lower()
