@@ -193,3 +193,39 @@ def test_moment_is_parsed_below_the_generator(spark, sf):
     plan = cln.normalised(ingest.fields(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     line = next(x for x in plan.splitlines() if "Generate inline" in x)
     assert "gettimestamp" not in line.lower() and "regexp" not in line.lower()
+
+
+def exchanges_of_products(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x for x in plan if ("Exchange" in x or "Window" in x) and "product#" in x]
+
+
+def test_products_are_dealt_once(spark, sf):
+    """What is asked of a product is read off its stored row."""
+    daily, cells = pf.naive_future(spark, sf), pf.cells(spark, sf)
+    assert cells.count() == cells.select("user_id", "product").distinct().count()
+    for rows in (factored.expand(daily, cells), factored.wide_totals(daily, cells), pf.actuals(spark, sf)):
+        assert not exchanges_of_products(rows)
+
+
+def test_folds_know_the_lines_until_their_cutoff(spark):
+    from tillgrain.operators import evaluate as ev
+    lines = [(1, "tea", "2000-01-03", 8, 5), (1, "tea", "2000-01-10", 8, -5), (1, "tea", "2000-01-11", 13, 2), (1, "jam", "2000-01-11", 8, 4), (1, "pie", "2000-03-01", 8, 9)]
+    sold = spark.createDataFrame(lines, "user_id int, product string, order_date string, hour int, quantity bigint").withColumn("order_date", F.col("order_date").cast("date"))
+    plan = [("A", "2000-01-05", 7), ("B", "2000-01-20", 7)]
+    folds = ev.fold_cells(ev.first_seen(sold, plan), plan)
+    assert not [x for x in exchanges_of_products(folds) if "fold#" in x]
+    got = {tuple(r) for r in fc.opened(folds, ["user_id", "fold"]).select("fold", "product", "season", "dow", "time_period", "qty").collect()}
+    assert got == {("A", "tea", "Winter", 0, "morning", 5), ("B", "tea", "Winter", 0, "morning", 0), ("B", "tea", "Winter", 1, "Afternoon", 2), ("B", "jam", "Winter", 1, "morning", 4)}
+    whole = {(r.fold, r.product): r.product_qty for r in folds.collect()}
+    assert whole == {("A", "tea"): 5, ("B", "tea"): 2, ("B", "jam"): 4}
+
+
+def test_units_hold_no_prices(spark, sf):
+    from tillgrain.plans import facts
+    from tillgrain.session import shared_tables
+    with shared_tables():
+        slim = facts.units(spark, sf)
+        assert set(slim.columns) == set(facts.UNITS) and slim.count() == src.sales(spark, sf).count()
+    with shared_tables():
+        assert facts.units(spark, sf).sameSemantics(facts.units(spark, sf))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillgrain.operators import forecast as fc, menu, views
 from tillgrain.plans import forecast as pf
 from tillgrain.plans import facts
-from tillgrain.plans.facts import real, real_hours
+from tillgrain.plans.facts import real, real_hours, with_lines
 from tillgrain.plans.params import AS_OF, PERIOD
 from tillgrain.session import through_table
 from tillgrain.sources import sales as src
@@ -37,24 +37,24 @@ def breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "fc_revenue_profit": lambda s, d: views.revenue_profit(days(s, d), pf.cells(s, d), items(s, d)),
-    "fc_daily_revenue": lambda s, d: views.daily_revenue(days(s, d), pf.cells(s, d), items(s, d)),
+    "fc_revenue_profit": with_lines(lambda s, d: views.revenue_profit(days(s, d), pf.cells(s, d), items(s, d))),
+    "fc_daily_revenue": with_lines(lambda s, d: views.daily_revenue(days(s, d), pf.cells(s, d), items(s, d))),
     "fc_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d)),
     "fc_heatmap_peak": lambda s, d: views.heatmap_peak(days(s, d), pf.cells(s, d), real_hours(s, d)),
-    "fc_item": lambda s, d: views.item_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
+    "fc_item": with_lines(lambda s, d: views.item_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d))),
     "fc_time_of_day_available": lambda s, d: views.time_of_day_available(src.labelled(src.sales(s, d))),
     "fc_period_totals": lambda s, d: views.period_totals(days(s, d), pf.cells(s, d)),
     "fc_period_breakdown": lambda s, d: views.period_breakdown(days(s, d), pf.cells(s, d)),
-    "fc_category": lambda s, d: views.category_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
-    "fc_category_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d), items(s, d)),
-    "fc_category_items": lambda s, d: views.category_items(days(s, d), pf.cells(s, d), items(s, d)),
-    "fc_total": lambda s, d: views.category_totals(days(s, d), pf.cells(s, d), items(s, d)),
-    "fc_total_daily": lambda s, d: views.menu_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d)),
-    "fc_top_items": lambda s, d: views.top_items(totals(s, d), real(s, d)),
-    "fc_bottom_items": lambda s, d: views.bottom_items(totals(s, d), real(s, d)),
+    "fc_category": with_lines(lambda s, d: views.category_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d))),
+    "fc_category_heatmap": with_lines(lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d), items(s, d))),
+    "fc_category_items": with_lines(lambda s, d: views.category_items(days(s, d), pf.cells(s, d), items(s, d))),
+    "fc_total": with_lines(lambda s, d: views.category_totals(days(s, d), pf.cells(s, d), items(s, d))),
+    "fc_total_daily": with_lines(lambda s, d: views.menu_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d))),
+    "fc_top_items": with_lines(lambda s, d: views.top_items(totals(s, d), real(s, d))),
+    "fc_bottom_items": with_lines(lambda s, d: views.bottom_items(totals(s, d), real(s, d))),
     "fc_peak_day": lambda s, d: views.peak_day(days(s, d)),
     "fc_seasonality": lambda s, d: views.seasonality(src.sales(s, d)),
     "fc_tips": lambda s, d: views.tips(days(s, d)),
     "fc_summary": lambda s, d: views.summary(days(s, d)),
-    "fc_breakdown": breakdown,
+    "fc_breakdown": with_lines(breakdown),
 }
