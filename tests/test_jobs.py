@@ -229,3 +229,14 @@ def test_units_hold_no_prices(spark, sf):
         assert set(slim.columns) == set(facts.UNITS) and slim.count() == src.sales(spark, sf).count()
     with shared_tables():
         assert facts.units(spark, sf).sameSemantics(facts.units(spark, sf))
+
+
+def test_item_prices_meet_their_products_in_place(spark, sf):
+    """Prices and history are each dealt by product once; the view exchanges no product."""
+    from tillgrain.plans import registry, views as pv
+    assert not exchanges_of_products(registry.all_queries()["fc_item"](spark, sf))
+    want = {(r.user_id, r.product): r.price for r in menu.items(src.sales(spark, sf)).select("user_id", "product", "price").collect()}
+    got = {(r.user_id, r.product): r.price for r in menu.first_prices(src.sales(spark, sf)).collect()}
+    assert got == want
+    kept = {(r.user_id, r.product): r.price for r in pv.priced_cells(spark, sf).select("user_id", "product", "price").collect()}
+    assert kept and all(want[k] == v for k, v in kept.items())

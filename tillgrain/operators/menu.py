@@ -56,6 +56,15 @@ def items(sales: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     )
 
 
+def first_prices(sales: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """The price of ``items`` alone: that of a product's earliest line. Lines are
+    dealt by product, like ``forecast.cells``, so a join with that finds both in place."""
+    by = [*keys, "product"]
+    lines = sales.select(*by, "price_cents", order_key().alias("place")).repartition(*by)
+    prices = lines.groupBy(*by, "price_cents").agg(F.min("place").alias("first"))
+    return prices.groupBy(*by).agg(money(F.min_by("price_cents", F.struct("first", "price_cents"))).alias("price"))
+
+
 def with_rules(items: DataFrame) -> DataFrame:
     """Elasticity and cost cap of the item's category."""
     return items.withColumns({

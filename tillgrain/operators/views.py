@@ -55,11 +55,12 @@ def _view(days: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def item_view(days: DataFrame, cells: DataFrame, items: DataFrame, stats: DataFrame) -> DataFrame:
-    """Integers, revenue, bands and peak of every product's days. A product's days
+def item_view(days: DataFrame, cells: DataFrame, stats: DataFrame) -> DataFrame:
+    """Integers, revenue, bands and peak of every product's days. ``cells`` has the
+    ``price`` of each product. A product's days
     are one row's array until the end: integers by largest remainder and the peak
     need no window, so nothing is sorted or exchanged by product and day."""
-    rows = factored.product_series(days, cells, priced(items).select("user_id", "product", F.coalesce("price", F.lit(0.0)).alias("price")))
+    rows = factored.product_series(days, cells, ("price",))
     at = F.col("series")
     unit = F.transform(at, lambda d: F.floor(F.greatest(d["yhat"], F.lit(0.0))).cast("bigint"))
     add = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)

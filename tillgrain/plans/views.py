@@ -26,6 +26,13 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
     return fc.residual_stats(pf.history_of(pf.fitted_total(spark, d)))
 
 
+def priced_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The history by product with its price: both are dealt by product before they
+    meet, so nothing is exchanged for it."""
+    prices = menu.first_prices(facts.lines(spark, d))
+    return through_table(fc.cells(pf.rows(spark, d)).join(prices, ["user_id", "product"], "left"), "priced-cells")
+
+
 def totals(spark: SparkSession, d: str) -> DataFrame:
     return views.product_totals(days(spark, d), pf.cells(spark, d), items(spark, d))
 
@@ -41,7 +48,7 @@ QUERIES = {
     "fc_daily_revenue": with_lines(lambda s, d: views.daily_revenue(days(s, d), pf.cells(s, d), items(s, d))),
     "fc_heatmap": lambda s, d: views.heatmap(days(s, d), pf.cells(s, d), real_hours(s, d)),
     "fc_heatmap_peak": lambda s, d: views.heatmap_peak(days(s, d), pf.cells(s, d), real_hours(s, d)),
-    "fc_item": with_lines(lambda s, d: views.item_view(days(s, d), pf.cells(s, d), items(s, d), stats(s, d))),
+    "fc_item": with_lines(lambda s, d: views.item_view(days(s, d), priced_cells(s, d), stats(s, d))),
     "fc_time_of_day_available": lambda s, d: views.time_of_day_available(src.labelled(src.sales(s, d))),
     "fc_period_totals": lambda s, d: views.period_totals(days(s, d), pf.cells(s, d)),
     "fc_period_breakdown": lambda s, d: views.period_breakdown(days(s, d), pf.cells(s, d)),
