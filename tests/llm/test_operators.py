@@ -74,6 +74,40 @@ def test_ngram_join_repeated_and_null_ids(spark):
     assert sorted(listed(got, "doc_id", "n_shingles", "component_id"), key=str) == [(3, 3, 3), (3, 3, 3), (9, 3, 3), (None, 3, None)]
 
 
+def test_frequent_shingles_of_unlike_documents_make_no_cluster(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)
+    chain = [(token, doc, token - doc, 100, 3) for doc in range(60) for token in range(doc, doc + 3)]
+    shared = spark.createDataFrame(chain, "token long, doc_id long, place int, n int, df int")
+    assert ngram_join.candidate_edges(shared).where("a <> b").count() == 0
+
+
+def test_ngram_join_by_frequent_shingles_alone(spark, monkeypatch):
+    for name, value in (("LIGHT", 1), ("BLOCK", 3), ("LENGTHS", (2, 4))):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = [str(rng.randrange(10**6)) for _ in range(rng.randint(6, 90))]
+        for _ in range(rng.randint(1, 14)):
+            own = [str(rng.randrange(10**6)) if rng.random() < 0.03 else w for w in base]
+            rows.append((len(rows), " ".join(own[rng.randint(0, 3):])))
+    got = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {d: (n, c) for d, n, c in listed(got, "doc_id", "n_shingles", "component_id")} == brute.jaccard(rows)
+
+
+def test_parts_of_a_cluster_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    part = {d: 0 if d < 50 else d for d in range(63)} | {61: 60}
+    placed = spark.createDataFrame([(d, 0, p) for d, p in part.items()] + [(100 + d, 100, 100) for d in range(40)], "doc_id long, label long, part long")
+    tasks = defaultdict(list)
+    for doc, i, j, side in listed(ngram_join.across(placed), "doc_id", "i", "j", "side"):
+        tasks[i, j].append((doc, side))
+    met = [tuple(sorted((a, b))) for (i, j), held in tasks.items() for a, s in held for b, t in held if a < b and (i == j or s != t) and part[a] != part[b]]
+    assert sorted(met) == sorted((a, b) for a in part for b in part if a < b and part[a] != part[b])
+    # the large part is read once for each block of the others, the connected cluster not at all
+    assert sum(doc < 50 for held in tasks.values() for doc, _ in held) == 100 and max(doc for held in tasks.values() for doc, _ in held) < 63
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50 + i) for i in range(30)]
     got = dict(listed(components(spark.createDataFrame(edges, "a long, b long")), "node", "label"))

@@ -15,8 +15,14 @@ but leaves fewer pairs.
 Everything is exact: candidates are a superset of the links, and links are
 verified on the whole shingle sets. Pairs are not expanded inside groups:
 rare shingles give pairs, shingles in more than LIGHT documents only say that
-their documents belong to one cluster, and clusters are verified inside tasks
-in blocks of bounded size, which skip pairs that are already connected.
+their documents belong to one cluster. The least l any document may choose is
+also the least number of shingles two linked documents share in their prefixes,
+so a pair without a rare shingle has that many frequent ones in common, and of
+h frequent shingles only the first h - l + 1 can be the first common one: no
+others make clusters. Otherwise shingles that a few dozen unlike documents
+share would chain most of a large table into one cluster. Clusters are verified
+inside tasks in blocks of bounded size, which skip pairs that are already
+connected; across blocks only documents of different parts meet.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from tillgrain.llm.common import hashed, mixed, raw_texts, rolling, settled, sig
 from tillgrain.llm.components import components
 
 WIDTH = 5
-LENGTHS = (1, 2, 4, 8)
+LENGTHS = (16, 24, 32)
 #: Shingles in more documents than this make clusters instead of pairs.
 LIGHT = 24
 #: Documents of a cluster in one block; a task verifies two blocks.
@@ -131,7 +137,7 @@ def _least(n: Column) -> Column:
 
 
 def chosen_prefixes(shared: DataFrame) -> DataFrame:
-    """(doc_id, p): each document's prefix length at the least estimated cost.
+    """(doc_id, n, p): each document's prefix length at the least estimated cost.
     With l extra matches it reads the postings of its prefix and leaves about
     postings / matches needed candidates, each as dear to verify as its set."""
     n = F.col("n")
@@ -139,39 +145,50 @@ def chosen_prefixes(shared: DataFrame) -> DataFrame:
     reads = shared.groupBy("doc_id", "n").agg(*[F.sum(F.when(F.col("place") < base + k, F.col("df") - 1).otherwise(0)).alias(f"r{k}") for k in LENGTHS])
     need = lambda k: F.ceil(6 * n / 7) - _least(n) + k
     costs = [F.struct((F.col(f"r{k}") * (1 + n / need(k))).alias("cost"), F.lit(k).alias("k")) for k in LENGTHS]
-    return reads.select("doc_id", F.least(n, base + F.least(*costs)["k"]).cast("int").alias("p"))
+    return reads.select("doc_id", "n", F.least(n, base + F.least(*costs)["k"]).cast("int").alias("p"))
+
+
+def cluster_shingles(heavy: DataFrame) -> DataFrame:
+    """The rows of frequent shingles that can be the first common one of a pair that
+    has no rare one in common. Such a pair shares min(LENGTHS) frequent shingles at
+    least, or 0.75 of the smaller set where that is less."""
+    rows = Window.partitionBy("doc_id", "n")
+    need = F.least(F.lit(min(LENGTHS)), _least(F.col("n")))
+    ranked = heavy.withColumn("h", F.count("*").over(rows)).withColumn("rank", F.row_number().over(rows.orderBy("df", "token")))
+    return ranked.where(F.col("rank") <= F.col("h") - need + 1)
 
 
 def candidate_edges(shared: DataFrame) -> DataFrame:
     """(a, b): pairs with enough matches in their prefixes, and for shingles in
     many documents the link of each document to the first of them."""
-    rows = shared.join(chosen_prefixes(shared).hint("merge"), "doc_id").where("place < p")
+    rows = shared.join(chosen_prefixes(shared).hint("merge"), ["doc_id", "n"]).where("place < p")
     heavy = rows.where(F.col("df") > LIGHT)
     rest = heavy.groupBy("doc_id").agg(F.count("*").alias("heavy"))
     light = rows.where(F.col("df") <= LIGHT).select("token", "doc_id", "n", "p")
     a, b = light.alias("a"), light.alias("b")
     pairs = a.join(b, F.expr("a.token = b.token AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"))
-    counted = pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(
-        F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"),
-        F.first(F.expr("greatest(a.n - a.p, b.n - b.p)")).alias("beyond"))
+    counted = pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(
+        F.count("*").alias("c"), F.first(F.expr("greatest(a.n - a.p, b.n - b.p)")).alias("beyond"))
     missing = F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.col("beyond") - F.col("c")
     more = rest.select(F.col("doc_id").alias("a"), F.col("heavy").alias("ha"))
     also = rest.select(F.col("doc_id").alias("b"), F.col("heavy").alias("hb"))
     close = counted.withColumn("missing", missing)
     enough = close.join(more.hint("merge"), "a", "left").join(also.hint("merge"), "b", "left").where(
         "missing <= least(coalesce(ha, 0), coalesce(hb, 0))").select("a", "b")
-    hubs = heavy.groupBy("token").agg(F.min("doc_id").alias("b"))
-    return enough.unionByName(heavy.join(hubs, "token").select(F.col("doc_id").alias("a"), "b"))
+    first = cluster_shingles(heavy)
+    hubs = first.groupBy("token").agg(F.min("doc_id").alias("b"))
+    return enough.unionByName(first.join(hubs, "token").select(F.col("doc_id").alias("a"), "b"))
 
 
-def links_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+def links_of(ids: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that connect all similar sets of a task: a spanning forest of them.
-    ``side``: with two blocks only pairs across are compared."""
+    Sets of one part are connected already. ``side``: with two blocks only pairs
+    across are compared."""
     sizes = np.array([len(s) for s in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     marked = np.zeros(int(flat.max()) + 1, np.int32)
-    label, found = np.arange(len(sets)), []
+    label, found = np.unique(parts, return_inverse=True)[1], []
     for x in range(len(sets)):
         own = flat[starts[x]:starts[x] + sizes[x]]
         want = (label != label[x]) & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x]))
@@ -200,48 +217,89 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None) -
     return found
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): links found inside clusters (node, label), verified on whole sets.
-
-    A cluster of k blocks makes k (k + 1) / 2 tasks of two blocks each, so a
-    task's memory is bounded whatever the cluster's size.
-    """
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "label").select(
-        F.col("node").alias("doc_id"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+def block_links(docs: DataFrame, placed: DataFrame, name: str) -> DataFrame:
+    """(a, b): links between documents of different parts, verified on whole sets.
+    ``placed`` (doc_id, label, part, i, j, side) names the meetings (label, i, j) a
+    document takes part in; where i <> j only documents of unlike side are compared."""
     # a table of its own, so that a large cluster's rows can be split where they meet the texts
-    placed = settled(placed, "placed")
+    placed = settled(placed, f"{name}-placed")
     # by merge at every size: a plan that broadcasts while tables are small would
     # not show what the join costs when they are not
-    rows = docs.join(placed.hint("merge"), "doc_id").select("label", "doc_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
+    rows = docs.join(placed.hint("merge"), "doc_id").select("label", "i", "j", "side", "part", "doc_id", "text")
     dealt = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def found(key: tuple, ids: list, blocks: list, sets: list) -> list[tuple[int, int]]:
+    def found(key: tuple, ids: list, parts: list, sides: list, sets: list) -> list[tuple[int, int]]:
         if len(ids) < 2:
             return []
-        return links_of(np.array(ids), sets, None if key[1] == key[2] else np.array(blocks) == key[2])
+        return links_of(np.array(ids), sets, np.array(parts), None if key[1] == key[2] else np.array(sides))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, blocks, sets, out = None, [], [], [], []
+        key, held, out = None, ([], [], [], []), []
         for batch in slices(batches):
-            keys = zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j")))
-            for k, block, doc_id, text in zip(keys, batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), raw_texts(batch)):
-                if k != key:
-                    out += found(key, ids, blocks, sets) if key else []
-                    key, ids, blocks, sets = k, [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "doc_id", "part", "side")]
+            for label, i, j, doc_id, part, side, text in zip(*columns, raw_texts(batch)):
+                if (label, i, j) != key:
+                    out += found(key, *held) if key else []
+                    key, held = (label, i, j), ([], [], [], [])
                 own = shingles(text)
                 if len(own):
-                    ids.append(doc_id), blocks.append(block), sets.append(own)
+                    for values, value in zip(held, (doc_id, part, side, own)):
+                        values.append(value)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
                 out = []
-        out += found(key, ids, blocks, sets) if key else []
+        out += found(key, *held) if key else []
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return settled(dealt.mapInArrow(run, "a bigint, b bigint"), name)
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """Meetings of every two documents of a cluster (doc_id, label, part) that are in
+    different parts. Those outside the cluster's largest part meet one another and
+    all others; the largest part's own blocks do not meet. So a cluster of one part
+    is not read, and one of a large part and r others is read 1 + r / BLOCK times."""
+    sizes = placed.groupBy("label", "part").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("label").agg(F.max(F.struct("k", F.col("part").alias("main"))).alias("most"), F.sum("k").alias("n"))
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    split = most.where("n > most.k").select(
+        "label", F.col("most.main").alias("main"), blocks(F.col("n") - F.col("most.k")).alias("others"), blocks(F.col("most.k")).alias("mains"))
+    at = placed.join(split, "label").withColumn("own", F.when(F.col("part") == F.col("main"), F.col("others") + _block(F.col("mains"))).otherwise(_block(F.col("others"))))
+    last = F.when(F.col("part") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    met = at.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select("doc_id", "label", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+
+
+def verified_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): links found inside clusters (node, label), verified on whole sets.
+
+    Documents of a cluster are dealt to blocks, and a task holds one or two, so its
+    memory is bounded whatever the cluster's size. First blocks are verified one by
+    one. Where a cluster has several, the first documents of the parts found meet,
+    which connects like blocks, and then all documents of different parts do.
+    """
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    named = clusters.select(F.col("node").alias("doc_id"), "label").join(sizes, "label")
+    once = named.withColumn("i", _block(F.col("blocks")))
+    links = block_links(docs, once.select("doc_id", "label", F.col("doc_id").alias("part"), "i", F.col("i").alias("j"), F.lit(False).alias("side")), "links")
+    wide = settled(named.where("blocks > 1").select("doc_id", "label"), "wide")
+    if wide.isEmpty():
+        return links
+
+    def parted(links: DataFrame) -> DataFrame:
+        found = components(links, "parts").toDF("doc_id", "part")
+        return settled(wide.join(found.hint("merge"), "doc_id", "left").select("doc_id", "label", F.coalesce("part", "doc_id").alias("part")), "parted")
+
+    parts = parted(links)
+    several = parts.where("doc_id <> part").select("label", "part").distinct()
+    links = links.unionByName(block_links(docs, across(several.select(F.col("part").alias("doc_id"), "label", "part")), "first-links"))
+    return links.unionByName(block_links(docs, across(parted(links)), "far-links"))
 
 
 def join_ngrams(docs: DataFrame) -> DataFrame:
@@ -263,7 +321,7 @@ def join_ngrams(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).where("df > 1")
     shared = settled(dealt, "shared-tokens")
     clusters = settled(components(settled(candidate_edges(shared), "candidates"), "clusters"), "cluster-labels")
-    links = settled(verified_links(named, clusters), "links")
+    links = verified_links(named, clusters)
     # equal sets are one class; links connect classes
     same = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     heads = settled(same.groupBy("s1", "s2").agg(F.min("doc_id").alias("head")), "heads")
