@@ -125,6 +125,19 @@ def test_bpe_like_tiktoken(docs, rows, nothing):
     assert len(got) == len(rows) and bpe.decode(bpe.encode(nothing)).count() == 0
 
 
+def test_bpe_merges_a_word_once_a_task(docs, rows, spark, monkeypatch):
+    """Later batches of a task bring new words only; a task that knows too many starts anew."""
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 200)
+    one = docs.coalesce(1)
+    found = listed(bpe.split_batches(one), "known", "words")
+    words = [w for _, own in found for w in own]
+    assert len(found) > 20 and len(words) == len(set(words)) and [k for k, _ in found] == [sum(len(own) for _, own in found[:i]) for i in range(len(found))]
+    want = sorted(listed(bpe.encode(one), "doc_id", "ids"))
+    monkeypatch.setattr(bpe, "KNOWN", 150)
+    assert sum(known == 0 for known, in listed(bpe.split_batches(one), "known")) > 3
+    assert sorted(listed(bpe.encode(one), "doc_id", "ids")) == want
+
+
 def test_suffix_runs(docs, rows, nothing, monkeypatch, spark):
     want = sorted(brute.suffixes(rows))
     for size in (1 << 20, 3000):  # the second splits frequent keys over several indexes

@@ -2,8 +2,9 @@
 higher-order functions fold ranked merges over the bytes of distinct words with
 a literal rank map; decoding concatenates the pieces of ids.
 
-A batch of documents becomes one row with its distinct words, so a word is
-merged once a batch and nothing is shuffled. Bytes travel as characters of the
+A batch of documents becomes one row with the words that its task has not met
+before, so a word is merged about once a task and nothing is shuffled; the ids
+of earlier words are kept where documents are put together again. Bytes travel as characters of the
 same number (Latin-1), because map keys are strings. The rank map is a literal
 array of small maps, chosen by hash, so that a lookup reads a few entries.
 """
@@ -26,8 +27,11 @@ from tillgrain.llm.common import settled, slices
 
 MAPS = 1 << 15
 NONE = 1 << 30
-#: Text bytes of the documents that share one row of distinct words.
-BATCH_BYTES = 8 << 20
+MASK = (1 << 32) - 1
+#: Characters of the documents that share one row of new words.
+BATCH_BYTES = 1 << 20
+#: Words a task remembers; with more it starts anew.
+KNOWN = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -56,57 +60,76 @@ def rank_map(spark, path: str) -> Column:
 
 def merged_ids(word: Column, maps: Column) -> Column:
     """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is
-    merged until no pair has a rank. A merge ranks anew only the pairs beside it."""
+    merged until no pair has a rank. The state has a number for each piece: the rank
+    of the pair it begins, then its start, so the least number is the pair to merge.
+    A merge ranks anew only the pairs beside it."""
     rank = lambda piece: F.coalesce(F.try_element_at(F.get(maps, _slot(piece)), piece), F.lit(NONE))
-
-    def ranks(p: Column) -> Column:
-        pairs = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.concat(x, F.get(p, i + 1)))
-        return F.transform(pairs, rank)
+    size = F.length(word)
+    start = lambda x: x.bitwiseAND(MASK).cast("int")
+    part = lambda a, b: word.substr(a + 1, b - a)
+    pair = lambda a, b: F.shiftleft(rank(part(a, b)).cast("bigint"), 32) + a
+    alone = lambda a: F.lit(NONE << 32) + a
 
     def step(state: Column) -> Column:
-        p, r = state["p"], state["r"]
+        begin = lambda i: F.coalesce(start(F.get(state, i)), size)
 
         def merge(at: Column) -> Column:
-            joined = F.concat(F.slice(p, 1, at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-            around = lambda q: F.slice(q, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2))
-            return let(joined, lambda q: F.struct(q.alias("p"), F.concat(
-                F.slice(r, 1, F.greatest(at - 2, F.lit(0))), let(around(q), ranks), F.slice(r, at + 2, F.size(r))).alias("r")))
+            own = F.when(at + 1 < F.size(state), pair(begin(at - 1), begin(at + 2))).otherwise(alone(begin(at - 1)))
+            beside = F.when(at > 1, F.array(pair(begin(at - 2), begin(at + 1)), own)).otherwise(F.array(own))
+            return F.flatten(F.array(F.slice(state, 1, F.greatest(at - 2, F.lit(0))), beside, F.slice(state, at + 2, F.size(state))))
 
-        return let(F.array_min(r), lambda least: F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(
-            let(F.array_position(r, least).cast("int"), merge)))
+        return let(F.array_min(state), lambda least: F.when(least >= NONE << 32, state).otherwise(
+            let(F.array_position(state, least).cast("int"), merge)))
 
-    start = let(F.split(word, ""), lambda p: F.struct(p.alias("p"), ranks(p).alias("r")))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda s, _: step(s), lambda s: F.transform(s["p"], rank))
+    first = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i + 1 < size, pair(i, i + 2)).otherwise(alone(i)))
+    folded = F.aggregate(F.sequence(F.lit(1), size), first, lambda s, _: step(s), lambda s: F.transform(
+        s, lambda x, i: rank(part(start(x), F.coalesce(start(F.get(s, i + 1)), size)))))
     return F.when(rank(word) < NONE, F.array(rank(word))).otherwise(folded)
 
 
+class Places(dict):
+    """Word -> its place; a new word takes the next one and is noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 def split_batches(docs: DataFrame) -> DataFrame:
     """A row for each batch of documents: ids, words a document, each word's place
-    among the distinct words (int32), and the distinct words as Latin-1 text."""
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
+    among the task's words (int32), how many of these earlier rows of the task have
+    brought (0: the task starts anew), and the new words as Latin-1 text."""
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("known", pa.int32()), ("words", pa.list_(pa.string()))])
     pattern = regex.compile(public_tokenizers.PATTERN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
-            words = pa.array([w.encode().decode("latin-1") for w in seen], pa.string())
+            words = pa.array([w.encode().decode("latin-1") for w in seen.fresh], pa.string())
+            known, seen.fresh = len(seen) - len(seen.fresh), []
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            return pa.record_batch([one(ids, pa.int64()), one(counts, pa.int32()), pa.array([np.concatenate(places).tobytes() if places else b""]),
+            return pa.record_batch([one(ids, pa.int64()), one(counts, pa.int32()), pa.array([np.concatenate(places).tobytes()]), pa.array([known], pa.int32()),
                                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=schema)
 
-        seen, ids, counts, places, held = {}, [], [], [], 0
+        seen, ids, counts, places, held = Places(), [], [], [], 0
         for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = pattern.findall(text or "")
-                places.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+                places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id), counts.append(len(words))
                 held += len(text or "")
                 if held >= BATCH_BYTES:
                     yield row()
-                    seen, ids, counts, places, held = {}, [], [], [], 0
+                    ids, counts, places, held = [], [], [], 0
+                    if len(seen) >= KNOWN:
+                        seen = Places()
         if ids:
             yield row()
 
-    return docs.mapInArrow(run, "doc_ids array<bigint>, counts array<int>, places binary, words array<string>")
+    return docs.mapInArrow(run, "doc_ids array<bigint>, counts array<int>, places binary, known int, words array<string>")
 
 
 def gathered(offsets: np.ndarray, values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +151,24 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = split_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     # bound once: every use of a literal would be a copy of it in the plan and in each task
     tokens = let(rank_map(docs.sparkSession, path), lambda maps: F.transform("words", lambda w: merged_ids(w, maps)))
-    found = rows.select("doc_ids", "counts", "places", tokens.alias("tokens"))
+    found = rows.select("doc_ids", "counts", "places", "known", tokens.alias("tokens"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, counts, tokens = (batch.column(c)[k].values for c in ("doc_ids", "counts", "tokens"))
-                places = np.frombuffer(batch.column("places")[k].as_py(), np.int32)
-                offsets = tokens.offsets.to_numpy().astype(np.int64)
-                values = tokens.values.to_numpy().astype("<u4")
+                places, known = np.frombuffer(batch.column("places")[k].as_py(), np.int32), batch.column("known")[k].as_py()
+                if known == 0:
+                    values, sizes = values[:0], sizes[:0]
+                if known != len(sizes):
+                    raise RuntimeError("rows of a task came in another order than they were made")
+                # the child of a sliced list begins at its first offset
+                ends = tokens.offsets.to_numpy()
+                values = np.concatenate([values, tokens.values.to_numpy()[ends[0]:ends[-1]].astype("<u4")])
+                sizes = np.concatenate([sizes, np.diff(ends).astype(np.int32)])
+                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 words = np.concatenate([[0], np.cumsum(counts.to_numpy())])
                 done = [gathered(offsets, values, places[a:b])[0].tobytes() for a, b in zip(words[:-1].tolist(), words[1:].tolist())]
                 for at in range(0, len(done), 1000):
