@@ -21,6 +21,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillgrain.llm.common import settled, slices
@@ -29,7 +30,7 @@ MAPS = 1 << 15
 NONE = 1 << 30
 MASK = (1 << 32) - 1
 #: Characters of the documents that share one row of new words.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 #: Words a task remembers; with more it starts anew.
 KNOWN = 1 << 19
 
@@ -88,17 +89,46 @@ def merged_ids(word: Column, maps: Column) -> Column:
 
 
 class Places(dict):
-    """Word -> its place; a new word takes the next one and is noted in ``fresh``."""
-
-    def __init__(self):
-        self.fresh = []
+    """Word -> its place; a new word takes the next one."""
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self)
-        self.fresh.append(word)
         return place
 
 
+class Known:
+    """Words a task has met, by 128-bit hashes in order of their first half: 20 bytes
+    a word instead of some 200 as text in a dictionary."""
+
+    def __init__(self):
+        self.first, self.second, self.place = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of these distinct words, and which of them are new."""
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode()) for w in words]), "<u8").reshape(-1, 2)
+        order = np.argsort(halves[:, 0])
+        first, second = halves[order, 0], halves[order, 1]
+        at = np.searchsorted(self.first, first)
+        if len(self):
+            near = np.minimum(at, len(self) - 1)
+            new = (self.first[near] != first) | (self.second[near] != second)
+            places = np.where(new, 0, self.place[near]).astype(np.int32)
+        else:
+            new, places = np.ones(len(words), bool), np.zeros(len(words), np.int32)
+        # new words in the order of the batch
+        fresh = np.sort(order[new])
+        places[new] = len(self) + np.searchsorted(fresh, order[new])
+        self.first = np.insert(self.first, at[new], first[new])
+        self.second = np.insert(self.second, at[new], second[new])
+        self.place = np.insert(self.place, at[new], places[new])
+        placed = np.empty(len(words), np.int32)
+        placed[order] = places
+        return placed, fresh
+
+
 def split_batches(docs: DataFrame) -> DataFrame:
     """A row for each batch of documents: ids, words a document, each word's place
     among the task's words (int32), how many of these earlier rows of the task have
@@ -108,14 +138,15 @@ def split_batches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
-            words = pa.array([w.encode().decode("latin-1") for w in seen.fresh], pa.string())
-            known, seen.fresh = len(seen) - len(seen.fresh), []
+            before, own = len(known), list(seen)
+            placed, fresh = known.add(own)
+            words = pa.array([own[k].encode().decode("latin-1") for k in fresh.tolist()], pa.string())
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            return pa.record_batch([one(ids, pa.int64()), one(counts, pa.int32()), pa.array([np.concatenate(places).tobytes()]), pa.array([known], pa.int32()),
+            return pa.record_batch([one(ids, pa.int64()), one(counts, pa.int32()), pa.array([placed[np.concatenate(places)].tobytes()]), pa.array([before], pa.int32()),
                                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=schema)
 
-        seen, ids, counts, places, held = Places(), [], [], [], 0
-        for batch in slices(batches):
+        known, seen, ids, counts, places, held = Known(), Places(), [], [], [], 0
+        for batch in slices(batches, most=BATCH_BYTES):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = pattern.findall(text or "")
                 places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
@@ -123,9 +154,9 @@ def split_batches(docs: DataFrame) -> DataFrame:
                 held += len(text or "")
                 if held >= BATCH_BYTES:
                     yield row()
-                    ids, counts, places, held = [], [], [], 0
-                    if len(seen) >= KNOWN:
-                        seen = Places()
+                    seen, ids, counts, places, held = Places(), [], [], [], 0
+                    if len(known) >= KNOWN:
+                        known = Known()
         if ids:
             yield row()
 
@@ -134,12 +165,21 @@ def split_batches(docs: DataFrame) -> DataFrame:
 
 def gathered(offsets: np.ndarray, values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists at ``places`` one after the other, and the length of each."""
-    size = np.diff(offsets)[places]
+    start = offsets[places]
+    size = offsets[places + 1] - start
     ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(offsets[:-1][places], size)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
     return values[at], size
 
 
+def appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` after its first n values; its room doubles when it is full."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.empty(max(n, len(more)), held.dtype)])
+    held[n:n + len(more)] = more
+    return held
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of every whole text.
 
@@ -155,24 +195,24 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
+        values, offsets, n = np.empty(0, "<u4"), np.zeros(1, np.int64), 0
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, counts, tokens = (batch.column(c)[k].values for c in ("doc_ids", "counts", "tokens"))
-                places, known = np.frombuffer(batch.column("places")[k].as_py(), np.int32), batch.column("known")[k].as_py()
+                places, known = np.frombuffer(batch.column("places")[k].as_buffer(), np.int32), batch.column("known")[k].as_py()
                 if known == 0:
-                    values, sizes = values[:0], sizes[:0]
-                if known != len(sizes):
+                    n = 0
+                if known != n:
                     raise RuntimeError("rows of a task came in another order than they were made")
                 # the child of a sliced list begins at its first offset
                 ends = tokens.offsets.to_numpy()
-                values = np.concatenate([values, tokens.values.to_numpy()[ends[0]:ends[-1]].astype("<u4")])
-                sizes = np.concatenate([sizes, np.diff(ends).astype(np.int32)])
-                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                values = appended(values, int(offsets[n]), tokens.values.to_numpy()[ends[0]:ends[-1]])
+                offsets = appended(offsets, n + 1, offsets[n] + ends[1:] - ends[0])
+                n += len(tokens)
                 words = np.concatenate([[0], np.cumsum(counts.to_numpy())])
-                done = [gathered(offsets, values, places[a:b])[0].tobytes() for a, b in zip(words[:-1].tolist(), words[1:].tolist())]
-                for at in range(0, len(done), 1000):
-                    yield pa.record_batch([ids[at:at + 1000].cast(pa.int64()), pa.array(done[at:at + 1000], pa.binary())], schema=schema)
+                for at in range(0, len(ids), 1000):
+                    done = [gathered(offsets, values, places[a:b])[0].tobytes() for a, b in zip(words[at:at + 1000].tolist(), words[at + 1:at + 1001].tolist())]
+                    yield pa.record_batch([ids[at:at + 1000].cast(pa.int64()), pa.array(done, pa.binary())], schema=schema)
 
     return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids")
 
