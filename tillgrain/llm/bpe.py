@@ -30,7 +30,7 @@ MAPS = 1 << 15
 NONE = 1 << 30
 MASK = (1 << 32) - 1
 #: Characters of the documents that share one row of new words.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Words a task remembers; with more it starts anew.
 KNOWN = 1 << 19
 
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     done = [gathered(offsets, values, places[a:b])[0].tobytes() for a, b in zip(words[at:at + 1000].tolist(), words[at + 1:at + 1001].tolist())]
                     yield pa.record_batch([ids[at:at + 1000].cast(pa.int64()), pa.array(done, pa.binary())], schema=schema)
 
-    return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids")
+    return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids", batch_bytes=1 << 20)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             pieces[rank] = piece
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         flat = np.frombuffer(b"".join(pieces), np.uint8)
-        for batch in batches:
+        for batch in slices(batches, "ids", BATCH_BYTES):
             out = []
             for ids in batch.column("ids").to_pylist():
                 ids = ids or b""
