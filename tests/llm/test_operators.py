@@ -4,12 +4,14 @@ long texts, ties, repeated rows and columns that clash with internal ones."""
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 import public_tokenizers
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -125,6 +127,38 @@ def test_bpe_like_tiktoken(docs, rows, nothing):
     assert len(got) == len(rows) and bpe.decode(bpe.encode(nothing)).count() == 0
 
 
+def test_bpe_looks_pairs_up_by_number():
+    """Every pair of pieces whose join is a piece, and no other pair, is in the table."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    place, (base, left, joined) = {t: n for n, t in enumerate(bpe.numbers(path))}, bpe.pair_table(path)
+    assert sorted(place) == sorted(bpe.read_ranks(path))
+    want = {(place[t[:k]], place[t[k:]]): n for t, n in place.items() for k in range(1, len(t)) if t[:k] in place and t[k:] in place}
+    a, b = np.array(list(want)).T
+    assert (left[base[a] + b] == a).all() and joined[base[a] + b].tolist() == list(want.values())
+    assert (left >= 0).sum() == len(want) and base.max() + len(base) <= len(left) < 10 * len(want)
+
+
+def test_bpe_with_pieces_that_merging_does_not_reach(spark, tmp_path):
+    """Bytes in another order, ranks with gaps, and a whole word that no merge makes."""
+    ranks = {bytes([x]): (x * 7 + 3) % 256 for x in range(256)} | {b"abc": 300, b"bc": 310, b" a": 305, b"xyz": 900, b"ba": 320, b"bab": 299, b" abc": 1000}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    assert bpe.unreached(str(path)) == {b"xyz": 900} and bpe.unreached(public_tokenizers.path("byte_bpe_50k.tiktoken")) == {}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["abc abc xyz bab babab", "xyzxyz abcabc bcbc", "bababa cbab\u00e9", "", "aaaa bbbb  xyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(listed(bpe.encode(docs, str(path)), "doc_id", "ids"))
+    assert got == {d: np.array(enc.encode_ordinary(t), "<u4").tobytes() for d, t in enumerate(texts)}
+
+
+def test_bpe_splits_without_property_lookups():
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    texts = ["", "".join(every), " ".join(every), "it's  I'LL\n\n x\x1c\x85 \u3000y 12²½ ...!?  ", "a\U0001d4b3b \U0001d7d8 1\U0001f600 's"]
+    assert [bpe.split_text(t) for t in texts] == [pattern.findall(t) for t in texts]
+    assert isinstance(bpe.plain_pattern(), re.Pattern)
+
+
 def test_bpe_merges_a_word_once_a_task(docs, rows, spark, monkeypatch):
     """Later batches of a task bring new words only; a task that knows too many starts anew."""
     monkeypatch.setattr(bpe, "BATCH_BYTES", 200)

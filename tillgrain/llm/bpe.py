@@ -2,11 +2,16 @@
 higher-order functions fold ranked merges over the bytes of distinct words with
 a literal rank map; decoding concatenates the pieces of ids.
 
+A merge looks up two neighbouring pieces by number, not by text: the literal map
+has every pair of pieces whose join is a piece, in two flat arrays, so that a
+lookup reads one place of each. A word that is a piece is that piece; merging gives
+it, save for the few pieces (if any) that merging does not reach and that are
+looked up whole.
+
 A batch of documents becomes one row with the words that its task has not met
 before, so a word is merged about once a task and nothing is shuffled; the ids
-of earlier words are kept where documents are put together again. Bytes travel as characters of the
-same number (Latin-1), because map keys are strings. The rank map is a literal
-array of small maps, chosen by hash, so that a lookup reads a few entries.
+of earlier words are kept where documents are put together again. Words travel as
+numbers of their bytes and, for lookups, as characters of the same number (Latin-1).
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +34,8 @@ from tillgrain.llm.common import settled, slices
 
 MAPS = 1 << 15
 NONE = 1 << 30
-MASK = (1 << 32) - 1
+#: Most bits of a piece's number: two of them and a place of 2^26 bytes in a word share 62.
+MOST_BITS = 18
 #: Characters of the documents that share one row of new words.
 BATCH_BYTES = 1 << 20
 #: Words a task remembers; with more it starts anew.
@@ -49,43 +56,145 @@ def _slot(piece: Column) -> Column:
     return F.pmod(F.xxhash64(piece), F.lit(MAPS)).cast("int")
 
 
-def rank_map(spark, path: str) -> Column:
+@lru_cache(maxsize=4)
+def unreached(path: str) -> dict[bytes, int]:
+    """The pieces that merging their own bytes does not give: words to look up whole."""
+    ranks = read_ranks(path)
+
+    def reached(piece: bytes) -> bool:
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == NONE:
+                return False
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return True
+
+    return {piece: rank for piece, rank in ranks.items() if not reached(piece)}
+
+
+def _literal(values, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def whole_map(spark, found: dict[bytes, int]) -> Column:
     """The ranks as a literal array of maps; the slot of a piece is Spark's hash of it."""
-    pieces = [(token.decode("latin-1"), rank) for token, rank in read_ranks(path).items()]
+    pieces = [(token.decode("latin-1"), rank) for token, rank in found.items()]
     placed = spark.createDataFrame(pieces, "piece string, rank int").select("piece", "rank", _slot(F.col("piece")).alias("slot")).toArrow()
     maps: list[dict] = [{} for _ in range(MAPS)]
     for piece, rank, slot in zip(*(c.to_pylist() for c in placed.columns)):
         maps[slot][piece] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return _literal(maps, "array<map<string,int>>")
+
+
+def numbers(path: str) -> list[bytes]:
+    """All pieces by their number in a fold: bytes have their own value, and longer
+    pieces follow by rank, so that a lower number is a lower rank among them."""
+    ranks = read_ranks(path)
+    return [bytes([x]) for x in range(256)] + sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)
 
 
-def merged_ids(word: Column, maps: Column) -> Column:
-    """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is
-    merged until no pair has a rank. The state has a number for each piece: the rank
-    of the pair it begins, then its start, so the least number is the pair to merge.
-    A merge ranks anew only the pairs beside it."""
-    rank = lambda piece: F.coalesce(F.try_element_at(F.get(maps, _slot(piece)), piece), F.lit(NONE))
-    size = F.length(word)
-    start = lambda x: x.bitwiseAND(MASK).cast("int")
-    part = lambda a, b: word.substr(a + 1, b - a)
-    pair = lambda a, b: F.shiftleft(rank(part(a, b)).cast("bigint"), 32) + a
-    alone = lambda a: F.lit(NONE << 32) + a
+@lru_cache(maxsize=4)
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, left, joined): numbers a and b side by side are joined[base[a] + b] if
+    left[base[a] + b] is a, and no piece otherwise. The rows of all a lie over one
+    another, each moved to where its entries meet free places. One number more than
+    there are has a base and no entries."""
+    place = {t: n for n, t in enumerate(numbers(path))}
+    pairs = sorted((place[t[:k]], place[t[k:]], n) for t, n in place.items() for k in range(1, len(t)) if t[:k] in place and t[k:] in place)
+    rows = np.array(pairs, np.int64).reshape(-1, 3)
+    rows = [row for row in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(row)]
+    width, room, chance = len(place) + 1, 8 * len(pairs) + 1, np.random.default_rng(0)
+    base, left, joined = np.zeros(width, np.int64), np.full(room + width, -1), np.zeros(room + width, np.int64)
+    for row in sorted(rows, key=len, reverse=True):
+        right = row[:, 1]
+        for _ in range(64):
+            tries = chance.integers(0, room, 32)
+            fits = tries[(left[tries[:, None] + right] < 0).all(axis=1)]
+            if len(fits):
+                at = fits[0]
+                break
+        else:  # behind all others
+            at = len(left)
+            left, joined = np.append(left, np.full(width, -1)), np.append(joined, np.zeros(width, np.int64))
+        base[row[0, 0]], left[at + right], joined[at + right] = at, row[0, 0], row[:, 2]
+    return base, left, joined
+
+
+def merged_ids(raw: Column, ranks: Column, base: Column, left: Column, joined: Column, edge: int) -> Column:
+    """Ids of one word of these bytes: the adjacent pair of least rank, the leftmost of
+    equals, is merged until no pair has a rank. The state has a number for each piece:
+    that of the pair it begins, then its start, then its own, so the least is the pair
+    to merge. A merge ranks anew only the pairs beside it; ``edge`` stands before the
+    first piece and joins with nothing."""
+    bits = edge.bit_length()
+    up, own, none = 62 - bits, (1 << bits) - 1, 1 << 62
+    low = (1 << up) - 1
+    number = lambda x: x.bitwiseAND(F.lit(own)).cast("int")
+
+    def pair(a: Column, b: Column) -> Column:
+        """The piece of two in its place; none if they join to none or there is no second."""
+        at = F.get(base, a) + b
+        return F.when(F.get(left, at) == a, F.get(joined, at)).otherwise(F.lit(none))
 
     def step(state: Column) -> Column:
-        begin = lambda i: F.coalesce(start(F.get(state, i)), size)
+        def merge(least: Column, at: Column) -> Column:
+            made, before = F.shiftright(least, up).cast("int"), F.get(state, at - 2)
+            beside = F.array(pair(number(before), made) + before.bitwiseAND(F.lit(low)),
+                             pair(made, number(F.get(state, at + 1))) + least.bitwiseAND(F.lit(low - own)) + made)
+            return F.concat(F.slice(state, 1, at - 2), beside, F.slice(state, at + 2, F.size(state)))
+
+        return let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(
+            let(F.array_position(state, least).cast("int"), lambda at: merge(least, at))))
+
+    first = lambda raw: F.transform(raw, lambda x, i: pair(x, F.get(raw, i + 1)) + F.shiftleft(i.cast("bigint"), bits) + x)
+    return let(raw, lambda raw: F.aggregate(
+        raw, F.concat(F.array(F.lit(none + edge)), first(raw)), lambda state, _: step(state),
+        lambda state: F.transform(F.slice(state, 2, F.size(state)), lambda x: F.get(ranks, number(x)))))
+
+
+def word_ids(spark, path: str) -> Column:
+    """Ids of each of ``words``, whose bytes are ``raw``. Literals are bound once:
+    every use of one would be a copy of it in the plan and in each task."""
+    ranks, pieces, whole = read_ranks(path), numbers(path), unreached(path)
+    edge = len(pieces)
+    if edge.bit_length() > MOST_BITS:
+        raise ValueError(f"{edge} pieces leave too few bits for places in a word")
+    base, left, joined = pair_table(path)
+    tables = [_literal([ranks[t] for t in pieces], "array<int>"), _literal(base.tolist(), "array<int>"),
+              _literal(left.tolist(), "array<int>"), _literal((joined << (62 - edge.bit_length())).tolist(), "array<bigint>")]
+
+    def bound(body, *names: Column) -> Column:
+        return let(tables[len(names)], lambda t: bound(body, *names, t)) if len(names) < len(tables) else body(*names)
+
+    folded = lambda i, names: merged_ids(F.get("raw", i), *names, edge)
+    if not whole:
+        return bound(lambda *names: F.transform("words", lambda word, i: folded(i, names)))
+    rank = lambda maps, piece: F.try_element_at(F.get(maps, _slot(piece)), piece)
+    return let(whole_map(spark, whole), lambda maps: bound(lambda *names: F.transform("words", lambda word, i: F.coalesce(
+        F.when(rank(maps, word).isNotNull(), F.array(rank(maps, word))), folded(i, names)))))
+
+
+@lru_cache(maxsize=1)
+def plain_pattern() -> re.Pattern:
+    """The tokenizer's pattern for texts without characters beyond U+FFFF: with its
+    classes written out it needs no property lookups, which take most of the time."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    members = {e: "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(e + "+", every)) for e in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def written(found: re.Match) -> str:
+        if found[0] == r"\S":
+            return f"[^{members[r'\s']}]"
+        inside = re.sub(r"\\p\{[LN]\}|\\s", lambda m: members[m[0]], found[0])
+        return inside if found[0].startswith("[") else f"[{inside}]"
 
-        def merge(at: Column) -> Column:
-            own = F.when(at + 1 < F.size(state), pair(begin(at - 1), begin(at + 2))).otherwise(alone(begin(at - 1)))
-            beside = F.when(at > 1, F.array(pair(begin(at - 2), begin(at + 1)), own)).otherwise(F.array(own))
-            return F.flatten(F.array(F.slice(state, 1, F.greatest(at - 2, F.lit(0))), beside, F.slice(state, at + 2, F.size(state))))
+    return re.compile(re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\[sS]", written, public_tokenizers.PATTERN))
 
-        return let(F.array_min(state), lambda least: F.when(least >= NONE << 32, state).otherwise(
-            let(F.array_position(state, least).cast("int"), merge)))
 
-    first = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i + 1 < size, pair(i, i + 2)).otherwise(alone(i)))
-    folded = F.aggregate(F.sequence(F.lit(1), size), first, lambda s, _: step(s), lambda s: F.transform(
-        s, lambda x, i: rank(part(start(x), F.coalesce(start(F.get(s, i + 1)), size)))))
-    return F.when(rank(word) < NONE, F.array(rank(word))).otherwise(folded)
+def split_text(text: str, pattern: regex.Pattern = regex.compile(public_tokenizers.PATTERN)) -> list[str]:
+    """All matches of the tokenizer's pattern."""
+    beyond = len(text.encode("utf-16-le")) > 2 * len(text)
+    return (pattern if beyond else plain_pattern()).findall(text)
 
 
 class Places(dict):
@@ -132,23 +241,26 @@ class Known:
 def split_batches(docs: DataFrame) -> DataFrame:
     """A row for each batch of documents: ids, words a document, each word's place
     among the task's words (int32), how many of these earlier rows of the task have
-    brought (0: the task starts anew), and the new words as Latin-1 text."""
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("known", pa.int32()), ("words", pa.list_(pa.string()))])
-    pattern = regex.compile(public_tokenizers.PATTERN)
+    brought (0: the task starts anew), the new words as Latin-1 text and their bytes."""
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("known", pa.int32()), ("words", pa.list_(pa.string())), ("raw", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
             before, own = len(known), list(seen)
             placed, fresh = known.add(own)
-            words = pa.array([own[k].encode().decode("latin-1") for k in fresh.tolist()], pa.string())
+            new = [own[k].encode() for k in fresh.tolist()]
+            words = pa.array([w.decode("latin-1") for w in new], pa.string())
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in new])]).astype(np.int32)
+            raw = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(new), np.uint8).astype(np.int32)))
+            whole = pa.array([0, len(words)], pa.int32())
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             return pa.record_batch([one(ids, pa.int64()), one(counts, pa.int32()), pa.array([placed[np.concatenate(places)].tobytes()]), pa.array([before], pa.int32()),
-                                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=schema)
+                                    pa.ListArray.from_arrays(whole, words), pa.ListArray.from_arrays(whole, raw)], schema=schema)
 
         known, seen, ids, counts, places, held = Known(), Places(), [], [], [], 0
         for batch in slices(batches, most=BATCH_BYTES):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = pattern.findall(text or "")
+                words = split_text(text or "")
                 places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id), counts.append(len(words))
                 held += len(text or "")
@@ -160,7 +272,7 @@ def split_batches(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInArrow(run, "doc_ids array<bigint>, counts array<int>, places binary, known int, words array<string>")
+    return docs.mapInArrow(run, "doc_ids array<bigint>, counts array<int>, places binary, known int, words array<string>, raw array<array<int>>")
 
 
 def gathered(offsets: np.ndarray, values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +301,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = split_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    # bound once: every use of a literal would be a copy of it in the plan and in each task
-    tokens = let(rank_map(docs.sparkSession, path), lambda maps: F.transform("words", lambda w: merged_ids(w, maps)))
-    found = rows.select("doc_ids", "counts", "places", "known", tokens.alias("tokens"))
+    found = rows.select("doc_ids", "counts", "places", "known", word_ids(docs.sparkSession, path).alias("tokens"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
