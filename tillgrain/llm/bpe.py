@@ -3,8 +3,8 @@ higher-order functions fold ranked merges over the bytes of distinct words with
 a literal rank map; decoding concatenates the pieces of ids.
 
 A merge looks up two neighbouring pieces by number, not by text: the literal map
-has every pair of pieces whose join is a piece, in two flat arrays, so that a
-lookup reads one place of each. A word that is a piece is that piece; merging gives
+has every pair of pieces whose join is a piece, in a flat array, so that a
+lookup reads one place. A word that is a piece is that piece; merging gives
 it, save for the few pieces (if any) that merging does not reach and that are
 looked up whole.
 
@@ -39,7 +39,9 @@ MOST_BITS = 18
 #: Characters of the documents that share one row of new words.
 BATCH_BYTES = 1 << 20
 #: Words a task remembers; with more it starts anew.
-KNOWN = 1 << 19
+KNOWN = 1 << 20
+#: Bytes of a file that one task reads: the more, the fewer words are merged in several tasks.
+SCAN_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=4)
@@ -121,33 +123,37 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return base, left, joined
 
 
-def merged_ids(raw: Column, ranks: Column, base: Column, left: Column, joined: Column, edge: int) -> Column:
+def number_bits(edge: int) -> int:
+    """Bits for the numbers of ``edge`` pieces, the edge and a free place."""
+    return (edge + 1).bit_length()
+
+
+def merged_ids(raw: Column, ranks: Column, base: Column, joined: Column, edge: int) -> Column:
     """Ids of one word of these bytes: the adjacent pair of least rank, the leftmost of
     equals, is merged until no pair has a rank. The state has a number for each piece:
     that of the pair it begins, then its start, then its own, so the least is the pair
     to merge. A merge ranks anew only the pairs beside it; ``edge`` stands before the
     first piece and joins with nothing."""
-    bits = edge.bit_length()
+    bits = number_bits(edge)
     up, own, none = 62 - bits, (1 << bits) - 1, 1 << 62
-    low = (1 << up) - 1
+    start = lambda x: x.bitwiseAND(F.lit((1 << up) - 1 - own))
     number = lambda x: x.bitwiseAND(F.lit(own)).cast("int")
 
     def pair(a: Column, b: Column) -> Column:
-        """The piece of two in its place; none if they join to none or there is no second."""
-        at = F.get(base, a) + b
-        return F.when(F.get(left, at) == a, F.get(joined, at)).otherwise(F.lit(none))
+        """The state of a before b without its start; b is null behind the last piece."""
+        found = F.get(joined, F.get(base, a) + b)
+        return F.when(found.bitwiseAND(F.lit(own)) == a, found).otherwise(F.lit(none) + a)
 
     def step(state: Column) -> Column:
         def merge(least: Column, at: Column) -> Column:
             made, before = F.shiftright(least, up).cast("int"), F.get(state, at - 2)
-            beside = F.array(pair(number(before), made) + before.bitwiseAND(F.lit(low)),
-                             pair(made, number(F.get(state, at + 1))) + least.bitwiseAND(F.lit(low - own)) + made)
+            beside = F.array(pair(number(before), made) + start(before), pair(made, number(F.get(state, at + 1))) + start(least))
             return F.concat(F.slice(state, 1, at - 2), beside, F.slice(state, at + 2, F.size(state)))
 
         return let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(
             let(F.array_position(state, least).cast("int"), lambda at: merge(least, at))))
 
-    first = lambda raw: F.transform(raw, lambda x, i: pair(x, F.get(raw, i + 1)) + F.shiftleft(i.cast("bigint"), bits) + x)
+    first = lambda raw: F.transform(raw, lambda x, i: pair(x, F.get(raw, i + 1)) + F.shiftleft(i.cast("bigint"), bits))
     return let(raw, lambda raw: F.aggregate(
         raw, F.concat(F.array(F.lit(none + edge)), first(raw)), lambda state, _: step(state),
         lambda state: F.transform(F.slice(state, 2, F.size(state)), lambda x: F.get(ranks, number(x)))))
@@ -158,11 +164,13 @@ def word_ids(spark, path: str) -> Column:
     every use of one would be a copy of it in the plan and in each task."""
     ranks, pieces, whole = read_ranks(path), numbers(path), unreached(path)
     edge = len(pieces)
-    if edge.bit_length() > MOST_BITS:
+    bits = number_bits(edge)
+    if bits > MOST_BITS:
         raise ValueError(f"{edge} pieces leave too few bits for places in a word")
     base, left, joined = pair_table(path)
     tables = [_literal([ranks[t] for t in pieces], "array<int>"), _literal(base.tolist(), "array<int>"),
-              _literal(left.tolist(), "array<int>"), _literal((joined << (62 - edge.bit_length())).tolist(), "array<bigint>")]
+              # a free place has a number that no piece has
+              _literal(np.where(left < 0, edge + 1, (joined << (62 - bits)) + left).tolist(), "array<bigint>")]
 
     def bound(body, *names: Column) -> Column:
         return let(tables[len(names)], lambda t: bound(body, *names, t)) if len(names) < len(tables) else body(*names)
@@ -324,7 +332,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     done = [gathered(offsets, values, places[a:b])[0].tobytes() for a, b in zip(words[at:at + 1000].tolist(), words[at + 1:at + 1001].tolist())]
                     yield pa.record_batch([ids[at:at + 1000].cast(pa.int64()), pa.array(done, pa.binary())], schema=schema)
 
-    return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids", batch_bytes=1 << 20)
+    return settled(found.mapInArrow(run, "doc_id bigint, ids binary"), "bpe-ids", batch_bytes=1 << 20, scan_bytes=SCAN_BYTES)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
