@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import brute
-from tillgrain.llm import (bpe, exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows,
+from tillgrain.llm import (bpe, common, exact_blocks, host_quality, ngram_join, packing, pii_surrogates, substring_windows,
                            suffix_runs, toxicity_chain, url_lm)
 from tillgrain.llm.components import components
 
@@ -151,6 +151,16 @@ def test_bpe_with_pieces_that_merging_does_not_reach(spark, tmp_path):
     assert got == {d: np.array(enc.encode_ordinary(t), "<u4").tobytes() for d, t in enumerate(texts)}
 
 
+def test_bpe_sets_what_a_task_reads(spark, tmp_path, monkeypatch):
+    """The size of a task's part is that of the step, and the session's afterwards."""
+    spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text").write.parquet(f"{tmp_path}/d.parquet")
+    docs, key, tasks = spark.read.parquet(f"{tmp_path}/d.parquet"), "spark.sql.files.maxPartitionBytes", []
+    monkeypatch.setattr(common, "through_table", lambda df, name: tasks.append(df.sparkSession.conf.get(key)) or df)
+    before = spark.conf.get(key)
+    assert bpe.encode(docs).count() == 4000
+    assert tasks == [str(bpe.SCAN_BYTES)] and spark.conf.get(key) == before
+
+
 def test_bpe_splits_without_property_lookups():
     pattern = regex.compile(public_tokenizers.PATTERN)
     every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
