@@ -240,3 +240,19 @@ def test_item_prices_meet_their_products_in_place(spark, sf):
     assert got == want
     kept = {(r.user_id, r.product): r.price for r in pv.priced_cells(spark, sf).select("user_id", "product", "price").collect()}
     assert kept and all(want[k] == v for k, v in kept.items())
+
+
+def test_item_days_are_made_as_arrays(spark, sf):
+    """No function runs over a product's days one by one; values equal the factors' own."""
+    import numpy as np
+    from tillgrain.operators import grid
+    from tillgrain.plans import registry
+    plan = registry.all_queries()["fc_item"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    daily, cells = pf.naive_future(spark, sf), pf.cells(spark, sf).withColumn("price", F.lit(1.0))
+    total = lambda df, c: {tuple(r[k] for k in ("user_id", "ds")): r.s for r in df.groupBy("user_id", "ds").agg(F.sum(c).alias("s")).collect()}
+    want = total(factored.product_days(daily, cells), F.rint(F.col("yhat") * 100) / 100)
+    got = total(grid.product_units(daily, cells, "price"), "revenue")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    value, there = np.array([[0.5, 0.5, 0.5, 0.2, 0.0], [1.25, 0.5, 0.0, 0.0, 0.0]]), np.array([[True] * 4 + [False], [True, True, False, False, False]])
+    assert grid.largest_remainder(value, there).tolist() == [[1, 1, 0, 0, 0], [1, 1, 0, 0, 0]]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from tillgrain.functions import labels
 from tillgrain.functions.numeric import micro_mean, micro_sum, rnd, share, whole
 from tillgrain.functions.ranking import top_k
-from tillgrain.operators import calendar, factored
+from tillgrain.operators import calendar, factored, grid
 from tillgrain.operators.dashboard import dense_hours
 from tillgrain.operators.forecast import band, round_to_total
 from tillgrain.session import through_table
@@ -57,25 +57,9 @@ def _view(days: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 def item_view(days: DataFrame, cells: DataFrame, stats: DataFrame) -> DataFrame:
     """Integers, revenue, bands and peak of every product's days. ``cells`` has the
-    ``price`` of each product. A product's days
-    are one row's array until the end: integers by largest remainder and the peak
-    need no window, so nothing is sorted or exchanged by product and day."""
-    rows = factored.product_series(days, cells, ("price",))
-    at = F.col("series")
-    unit = F.transform(at, lambda d: F.floor(F.greatest(d["yhat"], F.lit(0.0))).cast("bigint"))
-    add = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
-    grid = add(F.transform(at, lambda d: F.rint(d["yhat"] * 1e6).cast("bigint")))
-    order = F.array_sort(F.transform(at, lambda d: F.struct(
-        (-rnd(F.greatest(d["yhat"], F.lit(0.0)) - F.floor(F.greatest(d["yhat"], F.lit(0.0))), 6)).alias("f"), d["ds"].alias("ds"))))
-    steps = rows.withColumns({"_floor": unit, "_order": order, "_sum": grid})
-    steps = steps.withColumn("_left", F.greatest(whole(F.col("_sum") / 1e6), F.lit(0)) - add(F.col("_floor")))
-    # the days that get one more: the first ``_left`` of the order
-    more = F.transform(F.slice(F.col("_order"), F.lit(1), F.greatest(F.col("_left"), F.lit(0)).cast("int")), lambda o: o["ds"])
-    steps = steps.withColumn("_more", more).withColumn("_units", F.transform(at, lambda d, i: F.element_at(F.col("_floor"), (i + 1).cast("int")) + F.when(F.array_contains("_more", d["ds"]), 1).otherwise(0)))
-    steps = steps.withColumn("_peak", F.array_position("_units", F.array_max("_units")))
-    done = steps.select("user_id", "product", "price", "_units", "_peak", F.posexplode("series").alias("_at", "d")).select(
-        "user_id", "product", F.col("d.ds").alias("ds"), F.element_at("_units", F.col("_at") + 1).alias("units"),
-        rnd(F.col("d.yhat") * F.coalesce("price", F.lit(0.0))).alias("revenue"), (F.col("_at") + 1 == F.col("_peak")).alias("is_peak"))
+    ``price`` of each product. The days of many products are one array until the
+    end, so nothing is sorted or exchanged by product and day."""
+    done = grid.product_units(days, cells, "price")
     return band(done, through_table(stats, "stats"), "units", "revenue").select(
         "user_id", "product", "ds", "units", "units_low", "units_high", "revenue", "revenue_low", "revenue_high", "is_peak")
 
