@@ -256,3 +256,15 @@ def test_item_days_are_made_as_arrays(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     value, there = np.array([[0.5, 0.5, 0.5, 0.2, 0.0], [1.25, 0.5, 0.0, 0.0, 0.0]]), np.array([[True] * 4 + [False], [True, True, False, False, False]])
     assert grid.largest_remainder(value, there).tolist() == [[1, 1, 0, 0, 0], [1, 1, 0, 0, 0]]
+
+
+def test_every_product_is_sliced(spark, sf):
+    """Not the most sold ones alone: each product that a fold knew, over all its scored days."""
+    from tillgrain.operators import evaluate as ev
+    from tillgrain.plans import evaluate as pe, registry
+    from tillgrain.session import shared_tables
+    got = {r.value: r.n for r in registry.all_queries()["ev_slice"](spark, sf).filter("dimension = 'product'").collect()}
+    with shared_tables():
+        known = pe.fold_cells(spark, sf).select(*ev.UF, "product").join(pe.scored(spark, sf).select(*ev.UF, "ds"), ev.UF)
+        want = {r["product"]: r["n"] for r in known.groupBy("product").agg(F.count("*").alias("n")).collect()}
+    assert got == want
