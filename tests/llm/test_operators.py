@@ -401,3 +401,20 @@ def test_toxicity_on_held_out_labels(spark):
     odd = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (2, "")], "doc_id long, text string")
     assert toxicity_chain.score(odd, chain).where("p_toxic IS NOT NULL").count() == 4
     assert toxicity_chain.detect(odd, labels.limit(0)).where("NOT toxic AND p_toxic IS NULL").count() == 4
+
+
+def test_a_passage_of_unlike_documents_makes_no_cluster(spark, monkeypatch):
+    """Whatever the first order knows of it: the suspects' own order puts it last."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_join, "LIGHT", 8)
+    rng = random.Random(3)
+    words = lambda k: " ".join(str(rng.randrange(10**9)) for _ in range(k))
+    passage = words(70)
+    rows = [(i, f"{words(40)} {passage}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    none = np.empty(0, np.int64)
+    dealt = ngram_join.prefix_rows(docs, none, none).withColumn("df", F.expr("CAST(count(*) OVER (PARTITION BY token) AS INT)")).where("df > 1")
+    assert ngram_join.candidate_edges(dealt).where("a <> b").count() > 0
+    assert ngram_join.candidate_edges(dealt, docs).where("a <> b").count() == 0
+    assert {c for _, c in listed(ngram_join.join_ngrams(docs), "doc_id", "component_id")} == set(range(30))

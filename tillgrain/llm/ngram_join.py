@@ -17,11 +17,14 @@ verified on the whole shingle sets. Pairs are not expanded inside groups:
 rare shingles give pairs, shingles in more than LIGHT documents only say that
 their documents belong to one cluster. The least l any document may choose is
 also the least number of shingles two linked documents share in their prefixes,
-so a pair without a rare shingle has that many frequent ones in common, and of
-h frequent shingles only the first h - l + 1 can be the first common one: no
-others make clusters. Otherwise shingles that a few dozen unlike documents
-share would chain most of a large table into one cluster. Clusters are verified
-inside tasks in blocks of bounded size, which skip pairs that are already
+so a pair without a rare shingle has that many frequent ones in common. Documents
+with as many are suspects. The order of the first prefixes knows the most
+frequent shingles only, so passages that a few dozen unlike documents share stand
+in them, and would chain most of a large table into one cluster. So suspects are
+joined again among themselves, with all their shingles in exact order: a
+prefix then holds a frequent shingle only where all but a quarter of the set is
+frequent. Of h frequent shingles in it only the first h - l + 1 can be the first
+common one; no others make clusters. Clusters are verified inside tasks in blocks of bounded size, which skip pairs that are already
 connected; across blocks only documents of different parts meet.
 """
 
@@ -148,36 +151,100 @@ def chosen_prefixes(shared: DataFrame) -> DataFrame:
     return reads.select("doc_id", "n", F.least(n, base + F.least(*costs)["k"]).cast("int").alias("p"))
 
 
+def _needed(n: Column) -> Column:
+    """Frequent shingles that a pair without a rare one in common shares at least:
+    min(LENGTHS), or 0.75 of a set where that is less."""
+    return F.least(F.lit(min(LENGTHS)), _least(n))
+
+
+def prefixes(shared: DataFrame) -> DataFrame:
+    """The rows of ``shared`` inside the prefix that each document chooses."""
+    return shared.join(chosen_prefixes(shared).hint("merge"), ["doc_id", "n"]).where("place < p")
+
+
+def frequent_rows(rows: DataFrame) -> DataFrame:
+    """The rows of frequent shingles in the shortest prefixes, where two documents
+    that link without a rare shingle have enough of them in common."""
+    return rows.where(F.col("df") > LIGHT).where(F.col("place") < F.col("n") - _least(F.col("n")) + min(LENGTHS))
+
+
+def suspects(rows: DataFrame) -> DataFrame:
+    """Documents that may link without a rare shingle in common: their prefixes hold
+    as many frequent ones as such a pair shares."""
+    heavy = frequent_rows(rows).groupBy("doc_id", "n").agg(F.count("*").alias("h"))
+    return heavy.where(F.col("h") >= _needed(F.col("n"))).select("doc_id").distinct()
+
+
+def ordered_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``prefix_rows`` for few documents, in the exact order of the shingles
+    by their number among these; ``df`` is that number, 1 left out. A shingle that
+    many share comes after all rarer ones, so it is in a prefix only where a quarter
+    of the set is not rarer."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(text) for text in raw_texts(batch)]
+            k = [len(x) for x in sets]
+            if sum(k):
+                each = lambda values: pa.array(np.repeat(np.array(values, np.int64), k))
+                yield pa.record_batch([pa.array(np.concatenate(sets)), each(batch.column("doc_id").to_pylist()), each([signature(x)[0] for x in sets]),
+                                       each(k).cast(pa.int32())], schema=schema)
+
+    tokens = docs.mapInArrow(run, "token bigint, doc_id bigint, s bigint, n int")
+    found = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).where("df > 1")
+    own = Window.partitionBy("doc_id", "s")
+    # the shingles that no other document has come first
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    return found.withColumn("place", place.cast("int")).where(F.col("place") < F.col("n") - _least(F.col("n")) + max(LENGTHS)).select("token", "doc_id", "place", "n", "df")
+
+
 def cluster_shingles(heavy: DataFrame) -> DataFrame:
     """The rows of frequent shingles that can be the first common one of a pair that
-    has no rare one in common. Such a pair shares min(LENGTHS) frequent shingles at
-    least, or 0.75 of the smaller set where that is less."""
+    has no rare one in common."""
     rows = Window.partitionBy("doc_id", "n")
-    need = F.least(F.lit(min(LENGTHS)), _least(F.col("n")))
     ranked = heavy.withColumn("h", F.count("*").over(rows)).withColumn("rank", F.row_number().over(rows.orderBy("df", "token")))
-    return ranked.where(F.col("rank") <= F.col("h") - need + 1)
+    return ranked.where(F.col("rank") <= F.col("h") - _needed(F.col("n")) + 1)
 
 
-def candidate_edges(shared: DataFrame) -> DataFrame:
-    """(a, b): pairs with enough matches in their prefixes, and for shingles in
-    many documents the link of each document to the first of them."""
-    rows = shared.join(chosen_prefixes(shared).hint("merge"), ["doc_id", "n"]).where("place < p")
-    heavy = rows.where(F.col("df") > LIGHT)
-    rest = heavy.groupBy("doc_id").agg(F.count("*").alias("heavy"))
+def pair_edges(rows: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs with a rare shingle in common and enough matches in their
+    prefixes. Two documents of ``apart`` must have enough of rare ones alone: they
+    are looked at again."""
+    rest = rows.where(F.col("df") > LIGHT).groupBy("doc_id").agg(F.count("*").alias("heavy"))
     light = rows.where(F.col("df") <= LIGHT).select("token", "doc_id", "n", "p")
     a, b = light.alias("a"), light.alias("b")
     pairs = a.join(b, F.expr("a.token = b.token AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"))
     counted = pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(
         F.count("*").alias("c"), F.first(F.expr("greatest(a.n - a.p, b.n - b.p)")).alias("beyond"))
     missing = F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.col("beyond") - F.col("c")
-    more = rest.select(F.col("doc_id").alias("a"), F.col("heavy").alias("ha"))
-    also = rest.select(F.col("doc_id").alias("b"), F.col("heavy").alias("hb"))
-    close = counted.withColumn("missing", missing)
-    enough = close.join(more.hint("merge"), "a", "left").join(also.hint("merge"), "b", "left").where(
-        "missing <= least(coalesce(ha, 0), coalesce(hb, 0))").select("a", "b")
-    first = cluster_shingles(heavy)
+    rest = rest.withColumn("later", F.lit(False)) if apart is None else rest.join(apart.withColumn("later", F.lit(True)).hint("merge"), "doc_id", "left")
+    more = rest.select(F.col("doc_id").alias("a"), F.col("heavy").alias("ha"), F.col("later").alias("la"))
+    also = rest.select(F.col("doc_id").alias("b"), F.col("heavy").alias("hb"), F.col("later").alias("lb"))
+    both = F.expr("coalesce(la, false) AND coalesce(lb, false)")
+    close = counted.withColumn("missing", missing).join(more.hint("merge"), "a", "left").join(also.hint("merge"), "b", "left")
+    return close.where(F.col("missing") <= F.when(both, 0).otherwise(F.expr("least(coalesce(ha, 0), coalesce(hb, 0))"))).select("a", "b")
+
+
+def cluster_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): for shingles in many documents the link of each document to the first of them."""
+    first = cluster_shingles(frequent_rows(rows))
     hubs = first.groupBy("token").agg(F.min("doc_id").alias("b"))
-    return enough.unionByName(first.join(hubs, "token").select(F.col("doc_id").alias("a"), "b"))
+    return first.join(hubs, "token").select(F.col("doc_id").alias("a"), "b")
+
+
+def candidate_edges(shared: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(a, b): a superset of the links, or what connects it. Pairs with a rare shingle
+    in common come from the prefixes; documents that may link without one are
+    ordered again among themselves by exact numbers (from ``docs``) before frequent
+    shingles make clusters of them."""
+    rows = settled(prefixes(shared), "prefixes")
+    if docs is None:
+        return pair_edges(rows).unionByName(cluster_edges(rows))
+    again = settled(suspects(rows), "suspects")
+    tokens = settled(ordered_rows(docs.join(again.hint("merge"), "doc_id").select("doc_id", "text")), "ordered-tokens")
+    second = settled(prefixes(tokens), "second-prefixes")
+    return pair_edges(rows, again).unionByName(pair_edges(second)).unionByName(cluster_edges(second))
 
 
 def links_of(ids: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
@@ -320,7 +387,7 @@ def join_ngrams(docs: DataFrame) -> DataFrame:
     dealt = prefix_rows(named, often.column("key").to_numpy()[by_key], often.column("n").to_numpy()[by_key])
     dealt = dealt.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).where("df > 1")
     shared = settled(dealt, "shared-tokens")
-    clusters = settled(components(settled(candidate_edges(shared), "candidates"), "clusters"), "cluster-labels")
+    clusters = settled(components(settled(candidate_edges(shared, named), "candidates"), "clusters"), "cluster-labels")
     links = verified_links(named, clusters)
     # equal sets are one class; links connect classes
     same = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
