@@ -268,3 +268,16 @@ def test_every_product_is_sliced(spark, sf):
         known = pe.fold_cells(spark, sf).select(*ev.UF, "product").join(pe.scored(spark, sf).select(*ev.UF, "ds"), ev.UF)
         want = {r["product"]: r["n"] for r in known.groupBy("product").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_staged_batches_are_dropped(spark):
+    """Beside the table nothing of a batch stays."""
+    import os
+    table, schema = run_path(spark, "staged"), "order_reference string, sku string, quantity int"
+    merge = stream.merge_batches(table, "order_reference", lambda rows: rows)
+    merge(spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], schema), 0)
+    merge(spark.createDataFrame([("b", "z", 5)], schema), 1)
+    merge(spark.createDataFrame([], schema), 2)
+    assert sorted(tuple(r) for r in stream.current(spark, table).select("order_reference", "sku", "quantity").collect()) == [("a", "x", 1), ("b", "z", 5)]
+    left = [f for top, _, files in os.walk(table.removeprefix("file:") + "/stage") for f in files]
+    assert not left
