@@ -281,3 +281,24 @@ def test_staged_batches_are_dropped(spark):
     assert sorted(tuple(r) for r in stream.current(spark, table).select("order_reference", "sku", "quantity").collect()) == [("a", "x", 1), ("b", "z", 5)]
     left = [f for top, _, files in os.walk(table.removeprefix("file:") + "/stage") for f in files]
     assert not left
+
+
+def test_open_partitions_hold_small_row_groups(spark, tmp_path, monkeypatch):
+    import glob
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(tbl, "ROW_GROUP", 1 << 16)
+    rows = spark.range(400_000, numPartitions=1).select((F.col("id") % 4).cast("int").alias("user_id"), F.rand(7).alias("v"))
+    tbl.write_table(rows, str(tmp_path / "t"), "parquet", ("user_id",))
+    files = glob.glob(f"{tmp_path}/t/user_id=*/*.parquet")
+    assert len(files) == 4 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400_000
+
+
+def test_ranked_rows_are_exchanged_once(spark):
+    from tillgrain.functions import ranking
+    rows = spark.createDataFrame([(i % 3, i % 7 if i % 5 else None, f"p{i:03}") for i in range(400)], "user_id int, v int, product string").repartition(5)
+    done = ranking.ranked(rows, ["user_id"], "v", "product")
+    assert not exchanges_of_products(done)
+    want = sorted(((r.user_id, -1000 if r.v is None else -r.v, r.product) for r in rows.collect()))
+    place = {p: 1 + sum(u == u2 for u2, _, _ in want[:i]) for i, (u, _, p) in enumerate(want)}
+    assert {r.product: r.place for r in done.collect()} == place
