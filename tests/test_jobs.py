@@ -302,3 +302,18 @@ def test_ranked_rows_are_exchanged_once(spark):
     want = sorted(((r.user_id, -1000 if r.v is None else -r.v, r.product) for r in rows.collect()))
     place = {p: 1 + sum(u == u2 for u2, _, _ in want[:i]) for i, (u, _, p) in enumerate(want)}
     assert {r.product: r.place for r in done.collect()} == place
+
+
+def test_history_meets_its_days_in_place(spark, sf, monkeypatch):
+    """Also where the days of all workspaces are above the broadcast threshold."""
+    fitted, cells = pf.fitted_total(spark, sf), pf.day_cells(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def sorted_joins():
+            plan = factored.observed(pf.history_of(fitted), cells)._jdf.queryExecution().executedPlan().toString()
+            return [x for x in plan.splitlines() if "SortMergeJoin" in x and "ds#" in x]
+        assert not sorted_joins()
+        monkeypatch.setattr(factored, "SENT_DAYS", -1)
+        assert sorted_joins()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
